@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import merkle, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=2, seed=42)
 
 
+def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
+    return merkle.against_edits(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op2_merkle": op2_merkle}
 
 
 def oracle_sql() -> dict[str, str]:
