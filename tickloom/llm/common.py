@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as all contracts define it: a run of anything but ASCII white space.
@@ -55,3 +55,31 @@ def hash_cell(column: Column, salt: str, cells: int) -> Column:
     """A cell of 0..cells-1 from the md5 of salt and value (null: its own value): SQL engines agree on it."""
     text = F.concat(F.lit(salt), F.coalesce(column.cast("string"), F.lit("null")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(cells)
+
+
+def ordered_buckets(df: DataFrame, key: str, rows_a_bucket: int) -> DataFrame:
+    """df with a column `bucket`: rows in ascending key (null: last) are cut at quantiles of the key; buckets ascend with it.
+
+    Rows with equal keys share a bucket. The driver holds one key for each bucket.
+    """
+    last = (1 << 63) - 1
+    value = F.coalesce(F.col(key).cast("long"), F.lit(last))
+    n, low = df.agg(F.count("*"), F.min(value)).first()
+    buckets = -(-n // rows_a_bucket)
+    if buckets < 2:
+        return df.withColumn("bucket", F.lit(0))
+    bounds = sorted(set(df.select(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 20 * buckets)).first()[0]))
+    return df.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < value)))
+
+
+def running_total(df: DataFrame, key: str, value: str, into: str, ties: list[str], rows_a_bucket: int = 100_000) -> DataFrame:
+    """df with `into`: the sum of `value` over all rows before, in ascending key (null last), then by `ties`.
+
+    Sums of buckets first, then inside each bucket: no window spans the table.
+    """
+    dealt = ordered_buckets(df, key, rows_a_bucket)
+    sums = dealt.groupBy("bucket").agg(F.sum(value).alias("_sum"))
+    before = sums.select("bucket", (F.sum("_sum").over(Window.orderBy("bucket")) - F.col("_sum")).alias("_before"))  # one row a bucket
+    inside = Window.partitionBy("bucket").orderBy(F.asc_nulls_last(key), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    summed = dealt.join(F.broadcast(before), "bucket")
+    return summed.withColumn(into, F.col("_before") + F.sum(value).over(inside) - F.col(value)).drop("bucket", "_before")
