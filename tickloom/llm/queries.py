@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, simhash
+from . import merkle, mixing, packing, sharding, simhash, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +23,36 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(documents(spark, sf_dir))
 
 
+def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, bytes, key, depth, shard, shard_bytes, shard_docs for every document: shards of at most 4 MiB."""
+    return sharding.shard(documents(spark, sf_dir), 4 << 20)
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece: sequences of at most 4096 tokens."""
+    return packing.pack(documents(spark, sf_dir), capacity=4096, end_id=1)
+
+
+def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32, verified for every document, read back from the store's files."""
+    return store.write_and_verify(documents(spark, sf_dir), end_id=2)
+
+
+def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies for every document."""
+    return mixing.mix(documents(spark, sf_dir), seed=42)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_merkle": op2_merkle}
+    return {
+        "op1_simhash": op1_simhash,
+        "op2_merkle": op2_merkle,
+        "op5_extendible_shards": op5_extendible_shards,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_content_store": op8_content_store,
+        "op9_systematic_mix": op9_systematic_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_extendible_shards": sharding.oracle(4 << 20), "op9_systematic_mix": mixing.oracle(42)}
