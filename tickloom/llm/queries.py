@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import merkle, mixing, packing, sharding, simhash, store
+from . import bytecnn, fertility, merkle, mixing, packing, sharding, simhash, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(documents(spark, sf_dir))
 
 
+def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base measures, base_failed, kept, n_tokens, chars_per_token, byte_share, token_entropy for every document."""
+    return fertility.score(documents(spark, sf_dir))
+
+
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, bytes, key, depth, shard, shard_bytes, shard_docs for every document: shards of at most 4 MiB."""
     return sharding.shard(documents(spark, sf_dir), 4 << 20)
@@ -43,14 +48,23 @@ def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), seed=42)
 
 
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted for every document; fitted on at most 1200 documents of each label outside the held-out fold."""
+    docs = documents(spark, sf_dir)
+    net = bytecnn.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), bytecnn.Sample(documents=1200, chunks=12))
+    return bytecnn.score(docs, net, threshold=0.3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_merkle": op2_merkle,
+        "op4_fertility_rules": op4_fertility_rules,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_content_store": op8_content_store,
         "op9_systematic_mix": op9_systematic_mix,
+        "op10_byte_cnn": op10_byte_cnn,
     }
 
 
