@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, fertility, merkle, mixing, packing, sharding, simhash, store
+from . import bytecnn, fertility, merkle, mixing, packing, pii, sharding, simhash, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), capacity=4096, end_id=1)
 
 
+def op7_bilstm_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for every document."""
+    return pii.scan(documents(spark, sf_dir))
+
+
 def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, verified for every document, read back from the store's files."""
     return store.write_and_verify(documents(spark, sf_dir), end_id=2)
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fertility_rules": op4_fertility_rules,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_bilstm_pii": op7_bilstm_pii,
         "op8_content_store": op8_content_store,
         "op9_systematic_mix": op9_systematic_mix,
         "op10_byte_cnn": op10_byte_cnn,
