@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, fertility, merkle, mixing, packing, pii, sharding, simhash, store
+from . import bytecnn, fertility, katz, merkle, mixing, packing, pii, sharding, simhash, store
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.against_edits(documents(spark, sf_dir))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document; fold 2 of 7 is held out."""
+    return katz.score(documents(spark, sf_dir), folds=7, fold=2)
+
+
 def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base measures, base_failed, kept, n_tokens, chars_per_token, byte_share, token_entropy for every document."""
     return fertility.score(documents(spark, sf_dir))
@@ -71,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op2_merkle": op2_merkle,
+        "op3_katz_backoff": op3_katz_backoff,
         "op4_fertility_rules": op4_fertility_rules,
         "op5_extendible_shards": op5_extendible_shards,
         "op6_best_fit_packing": op6_best_fit_packing,
