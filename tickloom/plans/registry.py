@@ -3,17 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.plans import indicator_queries
+from tickloom.plans.base import Registry
+
+MODULES = (indicator_queries,)
+
+
+@cache
+def _all() -> Registry:
+    reg = Registry()
+    for module in MODULES:
+        module.register(reg)
+    return reg
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return _all().queries["ind_sma"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_all().queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_all().oracles)
