@@ -7,10 +7,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import indicator_queries, sequential_queries
+from tickloom.plans import indicator_queries, portfolio_queries, sequential_queries
 from tickloom.plans.base import Registry
 
-MODULES = (indicator_queries, sequential_queries)
+MODULES = (indicator_queries, sequential_queries, portfolio_queries)
 
 
 @cache
