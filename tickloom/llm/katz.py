@@ -11,10 +11,10 @@ A context without a count backs off with weight 1. Words are XXH64 values throug
 
 The work goes in rounds over tables partitioned by word or context:
 
-1. Word counts. The most frequent words, at most `DICTIONARY`, are known to every later task by rank, with their counts.
+1. Word counts. The most frequent words, at most a fixed number, are known to every later task by rank, with their counts.
 2. Every task turns its documents into blocks. A block's word pairs, each with the rows that have it, go to the table part that
    counts the pair: that of the pair if the word has a rank, else that of the word. So no part depends on a
-   frequent word. Pairs of two of the `HOT` most frequent words send counts alone; their rows wait in the block.
+   frequent word. Pairs of two of the few hundred most frequent words send counts alone; their rows wait in the block.
 3. A part adds up its pairs' counts and sends rows their share of the score, contexts their counts of counts, and, for pairs not seen, asks
    for the context's backoff weight.
 4. Contexts' weights are computed where their counts meet and answered to the blocks; those of ranked contexts are broadcast.
@@ -75,6 +75,7 @@ class Unigrams(NamedTuple):
     keys: np.ndarray
     counts: np.ndarray
     hot: np.ndarray  # number among the hot words, or -1
+    hot_words: int
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
         """Places in keys, 65535 where there is none."""
@@ -107,7 +108,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def count_words(docs: DataFrame, folds: int, fold: int) -> DataFrame:
+def count_words(docs: DataFrame, folds: int, fold: int, block_tokens: int) -> DataFrame:
     """(w, c): the training words' hashes and counts, the end included."""
 
     def run(batches):
@@ -117,7 +118,7 @@ def count_words(docs: DataFrame, folds: int, fold: int) -> DataFrame:
                 if not _held_out(doc_id, folds, fold):
                     held += [token_hashes(text.as_py()), np.array([_END])]
                     size += len(held[-2]) + 1
-                if size >= BLOCK_TOKENS:
+                if size >= block_tokens:
                     yield _counted(held)
                     held, size = [], 0
         if held:
@@ -130,21 +131,21 @@ def count_words(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     return docs.mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def summarise(words: DataFrame) -> Unigrams:
-    """From the word table: sums, and its most frequent words, at most DICTIONARY."""
+def summarise(words: DataFrame, dictionary: int, hot_words: int) -> Unigrams:
+    """From the word table: sums, and its most frequent words, at most `dictionary`."""
     k = DISCOUNTED
     row = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.count_if(F.col("c") == r) for r in range(1, k + 2)]).first()
     distinct, tokens, of_counts = row[0], row[1], list(row[2:])
-    top = words.orderBy(F.desc("c"), "w").limit(DICTIONARY).toPandas()  # bounded
+    top = words.orderBy(F.desc("c"), "w").limit(dictionary).toPandas()  # bounded
     keys, counts = top["w"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.int64)
-    hot = np.where(np.arange(len(keys)) < HOT - 1, np.arange(len(keys)), -1)
+    hot = np.where(np.arange(len(keys)) < hot_words - 1, np.arange(len(keys)), -1)
     docs = int(counts[keys == _END].sum())
-    keys, counts, hot = np.append(keys, _START), np.append(counts, docs), np.append(hot, min(HOT - 1, len(hot)))
+    keys, counts, hot = np.append(keys, _START), np.append(counts, docs), np.append(hot, min(hot_words - 1, len(hot)))
     order = np.argsort(keys)
     d = discounts(of_counts)
     left = sum((1 - d[r - 1]) * r * of_counts[r - 1] for r in range(1, k + 1)) / tokens if tokens else 1.0
     scale = 1.0 if left > 0 else tokens / (tokens + 1)
-    return Unigrams(tokens, distinct, d, left if left > 0 else 1 / (tokens + 1), scale, keys[order], counts[order], hot[order])
+    return Unigrams(tokens, distinct, d, left if left > 0 else 1 / (tokens + 1), scale, keys[order], counts[order], hot[order], hot_words)
 
 
 def _cells(pairs_from: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -170,7 +171,7 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
 _MESSAGE = "kind string, key long, block long, data binary"
 
 
-def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: int) -> DataFrame:
+def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: int, block_tokens: int) -> DataFrame:
     """Messages to table parts: (kind, key: part, block, data)."""
 
     def flush(block, ids, lengths, hashes):
@@ -186,9 +187,9 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
         rank_w, rank_u = uni.ranks(w), uni.ranks(u)
         known, known_u = rank_w != _NONE, rank_u != _NONE
         counts = uni.counts[rank_w[known]] if len(uni.counts) else np.zeros(0)
-        base = np.bincount(row[known], np.log10(counts + 1.0), minlength=len(ids))
+        base = np.bincount(row[known], np.log10(counts + 1.0), minlength=len(ids)).astype(float)
         n_known = np.bincount(row[known], counts > 0, minlength=len(ids)).astype(np.int64)
-        score = -np.bincount(row[known_u], np.log10(np.where(uni.counts[rank_u[known_u]] > 0, uni.counts[rank_u[known_u]] + NOVEL, 1.0)), minlength=len(ids))
+        score = -np.bincount(row[known_u], np.log10(np.where(uni.counts[rank_u[known_u]] > 0, uni.counts[rank_u[known_u]] + NOVEL, 1.0)), minlength=len(ids)).astype(float)
         tagged = row | np.where(held[row], _HELD, np.uint32(0))
         order = np.lexsort((tagged, u, w))
         w, u, tagged, rank_w, rank_u = w[order], u[order], tagged[order], rank_w[order], rank_u[order]
@@ -201,7 +202,7 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
         hot_w, hot_u = (np.where(r != _NONE, uni.hot[np.minimum(r, len(uni.hot) - 1)], -1) for r in (rank_w, rank_u))
         hot = (hot_w >= 0) & (hot_u >= 0)
         at = _cells(pair_at[hot], n[hot])
-        pair = np.repeat((hot_w[hot] * HOT + hot_u[hot]).astype(np.uint16), n[hot])
+        pair = np.repeat((hot_w[hot] * uni.hot_words + hot_u[hot]).astype(np.uint16), n[hot])
         yield "info", block % parts, block, pickle.dumps((ids, held, lengths + 1, n_known, base, score, pair, tagged[at] & _ROW, tf[at]), protocol=5)
         trained = np.add.reduceat(np.where(tagged & _HELD, 0, tf), pair_at) if len(pair_at) else np.zeros(0)
         order = np.argsort(part, kind="stable")
@@ -230,7 +231,7 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
                 lengths.append(len(found))
                 hashes.append(found)
                 size += len(found) + 1
-                if size >= BLOCK_TOKENS:
+                if size >= block_tokens:
                     for message in flush((task << 24) + made, ids, lengths, hashes):
                         yield _send([message])
                     ids, lengths, hashes, size, made = [], [], [], 0, made + 1
@@ -287,7 +288,7 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         hot_w, hot_u = (np.where(x != _NONE, uni.hot[np.minimum(x, len(uni.hot) - 1)], -1) for x in (grw, gru))
         hot = (hot_w >= 0) & (hot_u >= 0) & seen_group
         if hot.any():
-            out.append(("hot", 0, 0, pickle.dumps(((hot_w[hot] * HOT + hot_u[hot]).astype(np.int64), r_of[hot]), protocol=5)))
+            out.append(("hot", 0, 0, pickle.dumps(((hot_w[hot] * uni.hot_words + hot_u[hot]).astype(np.int64), r_of[hot]), protocol=5)))
         # what contexts get
         by_u = np.argsort(gu[seen_group], kind="stable")
         su, sr, sp = gu[seen_group][by_u], r_of[seen_group][by_u], 10.0 ** log_p[seen_group][by_u]
@@ -376,7 +377,7 @@ _RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def finish(messages: DataFrame, uni: Unigrams, d: np.ndarray, weights: np.ndarray, pair_counts: np.ndarray) -> DataFrame:
     """Step 5: the rows of each block."""
     names = [x.split()[0] for x in _RESULT.split(", ")]
-    by_hot = np.zeros(HOT, np.int64)
+    by_hot = np.zeros(uni.hot_words, np.int64)
     for rank in np.flatnonzero(uni.hot >= 0):
         by_hot[uni.hot[rank]] = rank
 
@@ -394,7 +395,7 @@ def finish(messages: DataFrame, uni: Unigrams, d: np.ndarray, weights: np.ndarra
                 few[r][at] += classes[r]
         if len(pair):
             r = pair_counts[pair]
-            w, u = by_hot[pair // HOT], by_hot[pair % HOT]
+            w, u = by_hot[pair // uni.hot_words], by_hot[pair % uni.hot_words]
             gain = np.where(r > 0, np.log10(np.maximum(r, 1)), uni.log_p(uni.counts[w]) + weights[u])
             score += np.bincount(row, gain * tf, minlength=len(ids))
             for k in range(DISCOUNTED):
@@ -411,26 +412,26 @@ def finish(messages: DataFrame, uni: Unigrams, d: np.ndarray, weights: np.ndarra
     return messages.groupBy("key").applyInArrow(run, _RESULT)
 
 
-def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id", text_col: str = "text", dictionary: int = DICTIONARY, hot_words: int = HOT, block_tokens: int = BLOCK_TOKENS, part_tokens: int = PART_TOKENS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row; rows of the held-out fold are not learned from.
 
     Null and empty texts have the end alone. A null id's text is empty for the fold. Repeated rows are learned from and scored each; an
     empty table gives an empty one; other columns are not looked at. If no row is learned from, all scores are those of unknown words, 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    uni = summarise(materialise(count_words(rows, folds, fold), "words"))
-    parts = max(4, -(-uni.tokens // PART_TOKENS))
-    found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold), uni, parts), "pairs")
+    uni = summarise(materialise(count_words(rows, folds, fold, block_tokens), "words"), dictionary, hot_words)
+    parts = max(4, -(-uni.tokens // part_tokens))
+    found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold, block_tokens), uni, parts), "pairs")
     of_kind = lambda *kinds: found.where(F.col("kind").isin(*kinds))
     tallies = [pickle.loads(r[0]) for r in of_kind("tally").select("data").collect()]  # a few numbers a part
     d = discounts([sum(x) for x in zip(*tallies, strict=True)] or [0] * (DISCOUNTED + 1))
-    pair_counts = np.zeros(HOT * HOT, np.int64)
-    for r in of_kind("hot").select("data").toLocalIterator():  # at most HOT * HOT pairs in all
+    pair_counts = np.zeros(hot_words * hot_words, np.int64)
+    for r in of_kind("hot").select("data").toLocalIterator():  # at most hot_words squared pairs in all
         pairs, counts = pickle.loads(r[0])
         pair_counts[pairs] = counts
     answers = materialise(weigh_contexts(of_kind("context", "ask_context"), uni, d), "weights")
     weights = np.zeros(len(uni.keys))
-    for r in answers.where("kind = 'weight'").select("data").toLocalIterator():  # at most DICTIONARY in all
+    for r in answers.where("kind = 'weight'").select("data").toLocalIterator():  # at most `dictionary` in all
         ranks, values = pickle.loads(r[0])
         weights[ranks] = values
     return finish(of_kind("info", "row", "ask").unionByName(answers.where("kind = 'answer'")), uni, d, weights, pair_counts)
