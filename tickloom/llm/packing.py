@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_cell, materialise
-from .tokens import Encoder, default_vocabulary
+from .tokens import Encoder, default_vocabulary, encoded
 
 #: Pieces that one task ranks, about.
 RANKED_AT_ONCE = 100_000
@@ -97,8 +97,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | No
         encoder = Encoder(vocabulary)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, (x.as_py() for x in batch.column(1))), strict=True):
                 if end_id is not None:
                     ids = np.append(ids, np.uint32(end_id))
                 data = ids.astype("<u4")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop_path, running_total, shared_dir
-from .tokens import Encoder, default_vocabulary
+from .tokens import Encoder, default_vocabulary, encoded
 
 #: A chunk ends where the hash of the last WINDOW ids is 0 modulo MEAN; it has LEAST to MOST ids.
 WINDOW, MEAN, LEAST, MOST = 4, 256, 32, 2048
@@ -74,8 +74,7 @@ def write_store(docs: DataFrame, path: str, end_id: int | None = 2, vocabulary:
         encoder, seen = Encoder(vocabulary), set()
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(encoder, (x.as_py() for x in batch.column(1))), strict=True):
                 if end_id is not None:
                     ids = np.append(ids, np.uint32(end_id))
                 if len(ids) and int(ids.max()) >> (8 * width):

@@ -1,12 +1,15 @@
 """Token ids of whole texts from a public vocabulary, word by word.
 
 The vocabulary's own rules drop white space and never join what it parts, so a text's ids are its words' ids
-in a row. Each task keeps the ids of words it has met; the tokenizers library encodes the others.
+in a row. They also lower the case, and never join a letter or digit with a sign beside it (but an apostrophe), so that a word's
+core and the signs around it can be encoded apart. Each task keeps the ids of what it has met; the tokenizers
+library encodes the rest, letters-only cores many at a time.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -14,7 +17,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words whose ids a task keeps before it forgets them all; this bounds memory and changes no result.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 @cache
@@ -24,45 +27,143 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _bare_tokenizer(path: str):
+    """The same model without what words of plain lower-case letters do not need: for words already spelt in byte signs."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    found = Tokenizer.from_file(path)
+    found.normalizer, found.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+    return found
+
+
+def _byte_signs() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes that are not printable Latin-1: as the characters from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(others) if b != 32}
+
+
+_SPELLING = _byte_signs()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: ASCII signs but the apostrophe, which some contractions join with letters.
+_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+
+
+def split_word(word: bytes) -> tuple[bytes, ...]:
+    """Parts whose ids in a row are the word's: signs, core, signs. Words that may hold a special token stay as they are."""
+    if word.isalpha():
+        return (word.lower(),)
+    if b"<|" in word:
+        return (word,)
+    word = word.lower()
+    core = word.strip(_SIGNS)
+    if len(core) == len(word) or not core:
+        return (word,)
+    at = word.index(core)
+    before, after = word[:at], word[at + len(core) :]
+    if before and core[0] not in _PLAIN:
+        before, core = b"", before + core
+    if after and core[-1] not in _PLAIN:
+        after, core = b"", core + after
+    return tuple(filter(None, (before, core, after)))
+
+
 class Encoder:
     """ids(text): the token ids (uint32) of a whole text, without special tokens; null: none."""
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
-        self.tokenizer, self.kept_words = _tokenizer(path), kept_words
+        self.tokenizer, self.bare, self.kept_words = _tokenizer(path), _bare_tokenizer(path), kept_words
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends_word[i] = token.endswith("</w>")
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.parts: dict[bytes, np.ndarray] = {}
         self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[bytes]) -> None:
+        """Cores of Latin-1 letters go to the bare tokenizer in one string, where each ends with one end-of-word token; others one by one."""
+        letters, rest = [], []
+        for part in parts:
+            text = part.decode("utf-8", "replace")
+            if part.isalpha() or text.isalpha() and max(text) <= "\u00ff":
+                letters.append(part if part.isalpha() else text.lower().encode())
+                self.parts[part] = len(letters)
+            else:
+                rest.append((part, text))
+        if letters:
+            joined = b" ".join(letters)
+            spelt = joined.decode() if joined.isascii() else joined.decode("latin-1").translate(_SPELLING)
+            ids = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            if len(ends) != len(letters) + 1:
+                raise ValueError("the vocabulary does not end each word with an end-of-word token")
+            for part in parts:
+                if (k := self.parts.get(part)) is not None:
+                    self.parts[part] = ids[ends[k - 1] : ends[k]]
+        for (part, _), ids in zip(rest, self._encode([t for _, t in rest]), strict=True):
+            self.parts[part] = ids
+
     def _learn(self, words: list[bytes]) -> None:
-        for found, word in zip(self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), words, strict=True):
-            ids, at = found.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.start[at], self.size[at] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[word] = at
+        split = [split_word(w) for w in words]
+        if new := {p for s in split for p in s}.difference(self.parts):
+            self._learn_parts(list(new))
+        arrays = [self.parts[p] for s in split for p in s]
+        sizes = np.add.reduceat([len(a) for a in arrays], np.cumsum([0, *map(len, split[:-1])]))
+        flat, at, n = np.concatenate(arrays), len(self.known), len(words)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[at : at + n] = sizes
+        self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.known.update(zip(words, range(at, at + n), strict=True))
 
     def ids(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "replace").split()
-        if not words:
-            return np.zeros(0, dtype=np.uint32)
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
+        """ids of several texts, whose new words are encoded together."""
+        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
         if len(self.known) > self.kept_words:
             self._forget()
-        if new := set(words).difference(self.known):
+        if new := set().union(*split).difference(self.known):
             self._learn(list(new))
+        return [self._gather(words) for words in split]
+
+    def _gather(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0, dtype=np.uint32)
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         size = self.size[at]
         ends = np.cumsum(size)
         return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+
+
+def encoded(encoder: Encoder, texts: Iterable[str | None], characters: int = 1 << 18) -> Iterator[np.ndarray]:
+    """ids of texts, one after the other, encoded in groups of about so many characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "")
+        if size >= characters:
+            yield from encoder.ids_of(held)
+            held, size = [], 0
+    yield from encoder.ids_of(held)
