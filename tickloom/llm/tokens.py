@@ -1,16 +1,18 @@
 """Token ids of whole texts from a public vocabulary, word by word.
 
 The vocabulary's own rules drop white space and never join what it parts, so a text's ids are its words' ids
-in a row. They also lower the case, and never join a letter or digit with a sign beside it (but an apostrophe), so that a word's
-core and the signs around it can be encoded apart. Each task keeps the ids of what it has met; the tokenizers
-library encodes the rest, letters-only cores many at a time.
+in a row. They also lower the case and part letters, digits and signs from each other, so that words of ASCII and
+Latin-1 letters can be lower-cased, parted and spelt in byte signs many at a time. Each task keeps the ids of words it has met; the tokenizers
+library encodes the rest. Words with anything else in them go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import count, islice
 
 import numpy as np
 
@@ -29,7 +31,7 @@ def _tokenizer(path: str):
 
 @cache
 def _bare_tokenizer(path: str):
-    """The same model without what words of plain lower-case letters do not need: for words already spelt in byte signs."""
+    """The same model without normalising and parting: for pieces already spelt in byte signs."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     found = Tokenizer.from_file(path)
@@ -53,28 +55,49 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: ASCII signs but the apostrophe, which some contractions join with letters.
-_SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
-_PLAIN = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: By byte: its lower case, its class (0 blank, 1 letter, 2 digit, 3 sign), its spelling, and whether words with it go through the whole tokenizer:
+#: apostrophes (some contractions join them with letters), what may start a special token, control signs, letters beyond Latin-1.
+_BLANK, _LETTER, _DIGIT, _SIGN = range(4)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
+_CLASS = np.array([_BLANK if b == 32 else _LETTER if b >= 128 or chr(b).isalpha() else _DIGIT if chr(b).isdigit() else _SIGN for b in range(256)], dtype=np.uint8)
+_SPELT = np.array([_SPELLING.get(b, b) for b in range(256)], dtype="<u4")
+_OTHER = np.array([b < 32 or b == 127 or chr(b) in "'<" or b >= 0xC0 and b != 0xC3 for b in range(256)])
+_LATIN = 0xC3  # with 0x80..0xBF: the letters U+00C0..U+00FF, and two signs
+_TIMES, _DIVIDE, _SHARP_S = 0x97, 0xB7, 0x9F
 
 
-def split_word(word: bytes) -> tuple[bytes, ...]:
-    """Parts whose ids in a row are the word's: signs, core, signs. Words that may hold a special token stay as they are."""
-    if word.isalpha():
-        return (word.lower(),)
-    if b"<|" in word:
-        return (word,)
-    word = word.lower()
-    core = word.strip(_SIGNS)
-    if len(core) == len(word) or not core:
-        return (word,)
-    at = word.index(core)
-    before, after = word[:at], word[at + len(core) :]
-    if before and core[0] not in _PLAIN:
-        before, core = b"", before + core
-    if after and core[-1] not in _PLAIN:
-        after, core = b"", core + after
-    return tuple(filter(None, (before, core, after)))
+class _Known:
+    """Ids of things met, numbered in the order in which they were."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.flat, self.used, self.n = np.zeros(1 << 16, dtype=np.uint32), 0, 0
+        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def find(self, things: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, things), dtype=np.int64, count=len(things))
+
+    def new(self) -> list[bytes]:
+        """Things numbered since the last `add`."""
+        return list(islice(reversed(self.number), len(self.number) - self.n))[::-1]
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of `new` things, one after the other."""
+        n = self.n + len(sizes)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.size[self.n : n], self.start[self.n : n] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used, self.n = self.used + len(flat), n
+
+    def gather(self, at: np.ndarray) -> np.ndarray:
+        if not len(at):
+            return np.zeros(0, dtype=np.uint32)
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
 
 
 class Encoder:
@@ -85,76 +108,61 @@ class Encoder:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.parts: dict[bytes, np.ndarray] = {}
-        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn_parts(self, parts: list[bytes]) -> None:
-        """Cores of Latin-1 letters go to the bare tokenizer in one string, where each ends with one end-of-word token; others one by one."""
-        letters, rest = [], []
-        for part in parts:
-            text = part.decode("utf-8", "replace")
-            if part.isalpha() or text.isalpha() and max(text) <= "\u00ff":
-                letters.append(part if part.isalpha() else text.lower().encode())
-                self.parts[part] = len(letters)
-            else:
-                rest.append((part, text))
-        if letters:
-            joined = b" ".join(letters)
-            spelt = joined.decode() if joined.isascii() else joined.decode("latin-1").translate(_SPELLING)
-            ids = np.array(self.bare.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            ends = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
-            if len(ends) != len(letters) + 1:
-                raise ValueError("the vocabulary does not end each word with an end-of-word token")
-            for part in parts:
-                if (k := self.parts.get(part)) is not None:
-                    self.parts[part] = ids[ends[k - 1] : ends[k]]
-        for (part, _), ids in zip(rest, self._encode([t for _, t in rest]), strict=True):
-            self.parts[part] = ids
+        self.words, self.pieces = _Known(), _Known()
+
+    def _encode_plain(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that lie in data one blank apart, and the number of each word's ids."""
+        data = _LOWER[data]
+        after = np.flatnonzero(data[:-1] == _LATIN) + 1
+        data[after] += np.where(data[after] < _SHARP_S, 32, 0).astype(np.uint8)
+        kind = _CLASS[data]
+        parted = np.zeros(len(data), dtype=bool)
+        parted[1:] = (kind[1:] != _BLANK) & (kind[:-1] != _BLANK) & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        pieces = np.add.reduceat(parted.astype(np.int64), starts) + 1
+        apart = np.full(len(data) + int(parted.sum()), 32, dtype=np.uint8)
+        apart[np.arange(len(data)) + np.cumsum(parted)] = data
+        at = self.pieces.find(apart.tobytes().split())
+        if new := self.pieces.new():
+            text = _SPELT[np.frombuffer(b" ".join(new), dtype=np.uint8)].tobytes().decode("utf-32-le")
+            ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(new):
+                raise ValueError("the vocabulary does not end each piece with one end-of-word token")
+            self.pieces.add(ids, np.diff(ends, prepend=0))
+        return self.pieces.gather(at), np.add.reduceat(self.pieces.size[at], np.cumsum(pieces) - pieces)
 
     def _learn(self, words: list[bytes]) -> None:
-        split = [split_word(w) for w in words]
-        if new := {p for s in split for p in s}.difference(self.parts):
-            self._learn_parts(list(new))
-        arrays = [self.parts[p] for s in split for p in s]
-        sizes = np.add.reduceat([len(a) for a in arrays], np.cumsum([0, *map(len, split[:-1])]))
-        flat, at, n = np.concatenate(arrays), len(self.known), len(words)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + n > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.size[at : at + n] = sizes
-        self.start[at : at + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(flat)
-        self.known.update(zip(words, range(at, at + n), strict=True))
+        """The ids of new words: plain ones together, others word by word."""
+        data, n = np.frombuffer(b" ".join(words), dtype=np.uint8), len(words)
+        starts = np.concatenate([[0], np.flatnonzero(data == 32) + 1])
+        odd = _OTHER[data]
+        odd[:-1] |= (data[:-1] == _LATIN) & ((data[1:] == _TIMES) | (data[1:] == _DIVIDE))
+        whole, lengths = np.logical_or.reduceat(odd, starts), np.diff(np.append(starts, len(data) + 1))
+        if not whole.any():
+            self.words.add(*self._encode_plain(data, starts))
+            return
+        sizes = np.zeros(n, dtype=np.int64)
+        ids = np.zeros(0, dtype=np.uint32)
+        if not whole.all():
+            ids, sizes[~whole] = self._encode_plain(data[np.repeat(~whole, lengths)[: len(data)]], np.cumsum(lengths[~whole]) - lengths[~whole])
+        texts = [words[i].decode("utf-8", "replace") for i in np.flatnonzero(whole).tolist()]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes[whole] = [len(x) for x in found]
+        flat, of_whole = np.empty(int(sizes.sum()), dtype=np.uint32), np.repeat(whole, sizes)
+        flat[~of_whole], flat[of_whole] = ids, [i for x in found for i in x]
+        self.words.add(flat, sizes)
 
     def ids(self, text: str | None) -> np.ndarray:
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """ids of several texts, whose new words are encoded together."""
-        split = [(text or "").encode("utf-8", "replace").split() for text in texts]
-        if len(self.known) > self.kept_words:
-            self._forget()
-        if new := set().union(*split).difference(self.known):
-            self._learn(list(new))
-        return [self._gather(words) for words in split]
-
-    def _gather(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, dtype=np.uint32)
-        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1])]
+        if self.words.n > self.kept_words:
+            self.words, self.pieces = _Known(), _Known()
+        places = [self.words.find((text or "").encode("utf-8", "replace").split()) for text in texts]
+        if new := self.words.new():
+            self._learn(new)
+        return [self.words.gather(at) for at in places]
 
 
 def encoded(encoder: Encoder, texts: Iterable[str | None], characters: int = 1 << 18) -> Iterator[np.ndarray]:
