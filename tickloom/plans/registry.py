@@ -7,10 +7,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import indicator_queries, market_queries, portfolio_queries, sequential_queries
+from tickloom.plans import indicator_queries, market_queries, pattern_queries, portfolio_queries, sequential_queries, text_queries
 from tickloom.plans.base import Registry
 
-MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries)
+MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries)
 
 
 @cache
