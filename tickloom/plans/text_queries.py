@@ -36,7 +36,7 @@ def register(reg: Registry) -> None:
     )
     reg.add("text_tags", lambda spark, d: docs(spark, d).select("doc_id", F.concat_ws(",", text.hashtags(body)).alias("tags"), F.concat_ws(",", text.mentions(body)).alias("mentions")), r"""select doc_id, array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '#(\w+)', 1), lambda x: lower(x)), ',') as tags, array_to_string(regexp_extract_all(coalesce(text, ''), '@(\w+)', 1), ',') as mentions from documents""")
     stops = ", ".join(f"'{x}'" for x in text.STOP_TICKERS)
-    reg.add("text_symbols", lambda spark, d: docs(spark, d).select("doc_id", F.concat_ws(",", text.symbols(body)).alias("symbols")), rf"""select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(list_concat(regexp_extract_all(coalesce(text, ''), '\$([A-Z]{{1,5}})\b', 1), regexp_extract_all(coalesce(text, ''), '\(([A-Z]{{2,5}})\)', 1)), regexp_extract_all(coalesce(text, ''), '\b([A-Z]{{2,5}})\b', 1))), lambda x: x not in ({stops}))), ',') as symbols from documents""")
+    reg.add("text_symbols", lambda spark, d: docs(spark, d).select("doc_id", F.concat_ws(",", text.symbols(body)).alias("symbols")), rf"""select doc_id, array_to_string(list_sort(list_filter(list_distinct(list_concat(list_concat(regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'a', 'g'), '\$([A-Z]{{1,5}})\b', 1), regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'a', 'g'), '\(([A-Z]{{2,5}})\)', 1)), regexp_extract_all(regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'a', 'g'), '\b([A-Z]{{2,5}})\b', 1))), lambda x: x not in ({stops}))), ',') as symbols from documents""")
     cats = _case([(" or ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws), f"'{n}'") for n, ws in text.CATEGORIES.items()], "'GENERAL'")
     reg.add("text_categories", lambda spark, d: docs(spark, d).groupBy(text.category(body).alias("category")).agg(F.count("*").alias("documents")), f"select {cats} as category, count(*) as documents from documents group by 1")
     as_of = "2024-01-30 23:30:00"
