@@ -29,6 +29,5 @@ def register(reg: Registry) -> None:
     votes = lambda spark, d: table(spark, d, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.when(F.col("l_returnflag") == "A", "BUY").when(F.col("l_returnflag") == "R", "OVERBOUGHT").otherwise("NEUTRAL").alias("signal"), (F.col("l_discount") * 1000).alias("confidence"))
     reg.add("signal_consensus", lambda spark, d: rounded(signals.consensus(votes(spark, d))), f"""with v as (select l_suppkey as symbol, count(*) as n, count(*) filter (where l_returnflag = 'A') as bulls, count(*) filter (where l_returnflag = 'R') as bears, avg(l_discount * 1000) filter (where l_returnflag = 'A') as b, avg(l_discount * 1000) filter (where l_returnflag = 'R') as s from lineitem group by 1),
         w as (select *, bulls >= 3 and bulls > bears as up, bears >= 3 and bears > bulls as down from v) select symbol, bulls, bears, case when up then 'BUY' when down then 'SELL' else 'NEUTRAL' end as consensus, {r('least(95.0::double, case when up then b * bulls / n when down then s * bears / n else 0.0 end)', 'confidence')} from w""")
-    price = F.col("o_totalprice")
-    reg.add("signal_execution", lambda spark, d: rounded(table(spark, d, "orders").select("o_orderkey", signals.commission(price).alias("commission"), signals.execution_price(price, F.when(F.col("o_custkey") % 2 == 0, "BUY").otherwise("SELL"), F.lit(20.0), price).alias("executed"))),
+    reg.add("signal_execution", lambda spark, d: rounded(table(spark, d, "orders").select("o_orderkey", signals.commission(F.col("o_totalprice")).alias("commission"), signals.execution_price(F.col("o_totalprice"), F.when(F.col("o_custkey") % 2 == 0, "BUY").otherwise("SELL"), F.lit(20.0), F.col("o_totalprice")).alias("executed"))),
         f"select o_orderkey, {r('case when o_totalprice <= 1000 then 1.0 when o_totalprice <= 10000 then o_totalprice * 0.005 else o_totalprice * 0.001 end', 'commission')}, {r('o_totalprice + case when o_custkey % 2 = 0 then 1 else -1 end * (o_totalprice * 0.0005 * 3 / 2 + o_totalprice * 0.0001 * o_totalprice / 1e6)', 'executed')} from orders")
