@@ -57,6 +57,20 @@ def hash_cell(column: Column, salt: str, cells: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(cells)
 
 
+def row_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with `_text` and `_row`, 64-bit hashes of the text and of all columns: rows that share both are repeats of one row."""
+    return docs.withColumns({"_text": F.xxhash64(text_col), "_row": F.xxhash64(*docs.columns)})
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row of docs for each root of classes (doc_id, _text, _row, root): the least doc_id (null: last), then text hash, then row hash.
+
+    The id alone chooses nothing: rows without an id, and different texts that share one, stand for their own classes.
+    """
+    stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")).alias("x")).select("x._text", "x._row")
+    return row_keys(docs, text_col).join(stay, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*docs.columns)
+
+
 def ordered_buckets(df: DataFrame, key: str, rows_a_bucket: int) -> DataFrame:
     """df with a column `bucket`: rows in ascending key (null: last) are cut at quantiles of the key; buckets ascend with it.
 

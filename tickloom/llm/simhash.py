@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, one_of_each, row_keys
 from .components import connected_components
 
 BITS = 64
@@ -28,20 +28,26 @@ PAIRWISE = 8
 _ROWS_AT_ONCE = 1 << 18
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of one text, as a signed 64-bit integer (null or no word: 0)."""
+def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of one text, repeats included (at most `words` words: one of all of them; no word: none)."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(found)
     if len(found) <= words:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    else:
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ends = np.cumsum(sizes + 1) - 1
-        starts = (ends - sizes)[: len(found) - words + 1].tolist()
-        slices = map(joined.__getitem__, map(slice, starts, ends[words - 1 :].tolist()))
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(seed)), dtype=np.uint64, count=len(starts))
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = (ends - sizes)[: len(found) - words + 1].tolist()
+    slices = map(joined.__getitem__, map(slice, starts, ends[words - 1 :].tolist()))
+    return np.fromiter(map(xxhash.xxh64_intdigest, slices, repeat(seed)), dtype=np.uint64, count=len(starts))
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of one text, as a signed 64-bit integer (null or no word: 0)."""
+    hashes = shingle_hashes(text, words, seed)
+    if not len(hashes):
+        return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), _ROWS_AT_ONCE):
         part = hashes[at : at + _ROWS_AT_ONCE]
@@ -102,6 +108,12 @@ def links(prints: DataFrame, radius: int = 2, pairwise: int = PAIRWISE) -> DataF
     return near.unionByName(star).distinct()
 
 
+def roots(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Different fingerprints (fp) to (fp, root): the least fingerprint reachable over links."""
+    found = connected_components(links(prints, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
+    return prints.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp_copies): the near-duplicate class of each row.
 
@@ -112,18 +124,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialise(add_fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("fp_copies")), "distinct")
-    found = connected_components(links(distinct.select("fp"), radius)).withColumnsRenamed({"node": "fp", "component": "root"})
-    classes = distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = distinct.join(roots(distinct.select("fp"), radius), "fp")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = classes.join(least, "root").select("fp", "component_id", "fp_copies")
     return prints.join(by_print, "fp").select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id", "fp_copies")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of docs, one of each near-duplicate class: that with the least doc_id.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
+    """The rows of docs, one of each near-duplicate class, as one_of_each chooses it."""
 
-    Of rows that share that doc_id one stays; of classes without any doc_id one row each stays.
-    """
-    classes = near_duplicates(docs, id_col, text_col, **kw)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates([id_col])
+    def run(batches):
+        for batch in batches:
+            prints = [fingerprint(x.as_py(), words, seed) for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64())], ["doc_id", "_text", "_row", "fp"])
+
+    keyed = row_keys(docs, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "_text", "_row", F.col(text_col).alias("text"))
+    prints = materialise(keyed.mapInArrow(run, "doc_id long, _text long, _row long, fp long"), "fingerprints")
+    classes = roots(materialise(prints.select("fp").distinct(), "distinct"), radius)
+    return one_of_each(docs, prints.join(classes, "fp"), text_col)
