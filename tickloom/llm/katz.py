@@ -41,7 +41,7 @@ DISCOUNTED = 5
 NOVEL = 0.1
 DICTIONARY, HOT = 60_000, 256
 #: Tokens of a block, and of a table part, about.
-BLOCK_TOKENS, PART_TOKENS = 1_500_000, 3_000_000
+BLOCK_TOKENS, PART_TOKENS = 500_000, 2_000_000
 _NONE = np.uint16(65535)
 _START, _END = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in (b"\x00 start", b"\x00 end"))
 _HELD, _ROW = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
