@@ -17,11 +17,16 @@ def broken_order() -> Column:
     return F.coalesce(rules[0], F.lit(False)) | F.coalesce(rules[1], F.lit(False)) | F.coalesce(rules[2], F.lit(False)) | F.coalesce(rules[3], F.lit(False)) | F.coalesce(rules[4], F.lit(False))
 
 
+def with_group(bars: DataFrame, by: str, *aggregates: Column) -> DataFrame:
+    """bars with aggregates over all rows of each key: partial sums and a join of one row a key, so that no key's rows meet in one task."""
+    return bars.join(bars.groupBy(by).agg(*aggregates), by, "left")
+
+
 def measures(bars: DataFrame, by: str = "symbol") -> DataFrame:
-    """Counts for all rules, in two passes over the same partitioning: rows, nulls, ranges, order of prices, gaps over 10 %, zero volume, volume spikes over 10 times the mean, duplicates, median step and steps over 3 of it."""
+    """Counts for all rules, lags over one window, the rest aggregates: rows, nulls, ranges, order of prices, gaps over 10 %, zero volume, volume spikes over 10 times the mean, duplicates, median step and steps over 3 of it."""
     window = in_order(by)
-    rows = bars.withColumns({"_before": F.lag("close").over(window), "_step": (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(window).cast("timestamp"))).cast("double"), "_mean": F.avg("volume").over(Window.partitionBy(by))})
-    rows = rows.withColumn("_median", F.median(F.when(F.col("_step") > 0, F.col("_step"))).over(Window.partitionBy(by)))
+    rows = bars.withColumns({"_before": F.lag("close").over(window), "_step": (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag("ts").over(window).cast("timestamp"))).cast("double")})
+    rows = with_group(rows, by, F.avg("volume").alias("_mean"), F.median(F.when(F.col("_step") > 0, F.col("_step"))).alias("_median"))
     count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
     any_price = lambda f: count(f("open") | f("high") | f("low") | f("close"))
     return rows.groupBy(by).agg(
@@ -62,12 +67,9 @@ def quality_score(found: DataFrame, by: str = "symbol") -> DataFrame:
 
 def remove_outliers(bars: DataFrame, by: str = "symbol", most: float = 3.0) -> DataFrame:
     """Rows with no price further than `most` population deviations from the symbol's mean; a null price is no outlier."""
-    whole = Window.partitionBy(by)
-    far = F.lit(False)
-    for c in PRICES:
-        sd = F.stddev_pop(c).over(whole)
-        far = far | F.coalesce((sd > 0) & (F.abs(F.col(c) - F.avg(c).over(whole)) / sd > most), F.lit(False))
-    return bars.withColumn("_far", far).where("not _far").drop("_far")
+    out = with_group(bars, by, *[f(c).alias(f"_{n}_{c}") for c in PRICES for n, f in (("mean", F.avg), ("sd", F.stddev_pop))])
+    far = [F.coalesce((F.col(f"_sd_{c}") > 0) & (F.abs(F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_sd_{c}") > most), F.lit(False)) for c in PRICES]
+    return out.where(~(far[0] | far[1] | far[2] | far[3])).select(*bars.columns)
 
 
 def interpolate(bars: DataFrame, columns: tuple[str, ...] = PRICES, most: int = 3, by: str = "symbol") -> DataFrame:
@@ -86,9 +88,9 @@ def interpolate(bars: DataFrame, columns: tuple[str, ...] = PRICES, most: int =
 
 
 def correct(bars: DataFrame) -> DataFrame:
-    """Prices that are not positive to null, negative volume to 0, high and low stretched over all prices."""
+    """Prices that are not positive to null, negative volume to 0 (null stays null), high and low stretched over all prices that there are."""
     out = bars.withColumns({c: F.when(F.col(c) > 0, F.col(c)) for c in PRICES})
-    return out.withColumns({"high": F.greatest(*PRICES), "low": F.least(*PRICES), "volume": F.greatest("volume", F.lit(0.0))})
+    return out.withColumns({"high": F.greatest(*PRICES), "low": F.least(*PRICES), "volume": F.when(F.col("volume") < 0, 0.0).otherwise(F.col("volume"))})
 
 
 def clean(bars: DataFrame) -> DataFrame:
@@ -99,9 +101,8 @@ def drop_extremes(bars: DataFrame, by: str = "symbol") -> DataFrame:
     """Rows without a null or broken bar, then, price by price, those within half the 1st and twice the 99th percentile of what is left."""
     out = bars.dropna(subset=[*PRICES, "volume"]).where(~broken_order() & (F.col("volume") >= 0))
     for c in PRICES:
-        whole = Window.partitionBy(by)
-        out = out.withColumns({"_lo": F.percentile(c, 0.01).over(whole), "_hi": F.percentile(c, 0.99).over(whole)})
-        out = out.where((F.col(c) <= 2 * F.col("_hi")) & (F.col(c) >= 0.5 * F.col("_lo"))).drop("_lo", "_hi")
+        out = with_group(out, by, F.percentile(c, 0.01).alias("_lo"), F.percentile(c, 0.99).alias("_hi"))
+        out = out.where((F.col(c) <= 2 * F.col("_hi")) & (F.col(c) >= 0.5 * F.col("_lo"))).select(*bars.columns)
     return out
 
 

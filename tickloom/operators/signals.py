@@ -116,8 +116,9 @@ def execution_price(price: Column, side: Column, volatility: Column, value: Colu
 
 
 def engine_size(value: Column, kelly: Column, volatility: Column, loss_pct: Column) -> Column:
-    """The least of Kelly times min(1, 20 / max(volatility, 5)), a tenth, and 2 % of the value over the loss (5 % where there is none)."""
-    return F.least(value * kelly * F.least(F.lit(1.0), 20 / F.greatest(volatility, F.lit(5.0))), value * 0.1, value * 0.02 / F.coalesce(F.nullif(loss_pct, F.lit(0.0)), F.lit(0.05)))
+    """The least of Kelly times min(1, 20 / max(volatility, 5)), a tenth, and 2 % of the value over the loss (5 % where there is none); null where value, Kelly or volatility is."""
+    known = value.isNotNull() & kelly.isNotNull() & volatility.isNotNull()
+    return F.when(known, F.least(value * kelly * F.least(F.lit(1.0), 20 / F.greatest(volatility, F.lit(5.0))), value * 0.1, value * 0.02 / F.coalesce(F.nullif(loss_pct, F.lit(0.0)), F.lit(0.05))))
 
 
 def session_filter(ts: Column, confidence: Column) -> Column:

@@ -22,6 +22,11 @@ def _ln(a: str, b: str | Column) -> Column:
     return F.when((F.col(a) > 0) & (b > 0), F.ln(F.col(a) / b))
 
 
+def _root(variance: Column) -> Column:
+    """Volatility a year; a variance under 0, which these estimates can have, counts as 0, null stays null."""
+    return F.when(variance >= 0, F.sqrt(variance * _YEAR)).when(variance.isNotNull(), 0.0)
+
+
 def historical(bars: DataFrame, n: int = 20, name: str = "hist_vol") -> DataFrame:
     return bars.withColumn("_r", simple_return()).withColumn(name, full("_r", F.stddev_samp("_r"), n) * _YEAR**0.5).drop("_r")
 
@@ -32,7 +37,7 @@ def parkinson(bars: DataFrame, n: int = 20) -> DataFrame:
 
 def garman_klass(bars: DataFrame, n: int = 20) -> DataFrame:
     step = 0.5 * F.pow(_ln("high", "low"), 2) - (2 * _LN2 - 1) * F.pow(_ln("close", "open"), 2)
-    return bars.withColumn("_x", step).withColumn("garman_klass_vol", F.sqrt(F.greatest(mean("_x", n), F.lit(0.0)) * _YEAR)).drop("_x")
+    return bars.withColumn("_x", step).withColumn("garman_klass_vol", _root(mean("_x", n))).drop("_x")
 
 
 def yang_zhang(bars: DataFrame, n: int = 20) -> DataFrame:
@@ -41,7 +46,7 @@ def yang_zhang(bars: DataFrame, n: int = 20) -> DataFrame:
     before = lag("close")
     night, day = F.pow(_ln("open", before), 2), F.pow(_ln("close", before), 2)
     inside = _ln("high", "close") * _ln("high", "open") + _ln("low", "close") * _ln("low", "open")
-    return bars.withColumn("_x", night + k * day + (1 - k) * inside).withColumn("yang_zhang_vol", F.sqrt(F.greatest(mean("_x", n), F.lit(0.0)) * _YEAR)).drop("_x")
+    return bars.withColumn("_x", night + k * day + (1 - k) * inside).withColumn("yang_zhang_vol", _root(mean("_x", n))).drop("_x")
 
 
 def up_down(bars: DataFrame, n: int = 20) -> DataFrame:

@@ -51,12 +51,11 @@ def register(reg: Registry) -> None:
     rt = f"x as (select *, close / nullif({lag('close')}, 0) - 1 as rt, {lag('close')} as pc from bars)"
     reg.over_bars("vol_historical", volatility.historical, ["hist_vol"], f", {rt} select symbol, ts, {r(f'({full(20, 'stddev_samp(rt)', 'rt')}) * sqrt(252)', 'hist_vol')} from x")
     reg.over_bars("vol_parkinson", volatility.parkinson, ["parkinson_vol"], f", x as (select *, pow(ln(high / low), 2) / (4 * ln(2)) as v from bars) select symbol, ts, {r(f'sqrt(({full(20, 'avg(v)', 'v')}) * 252)', 'parkinson_vol')} from x")
-    reg.over_bars("vol_garman_klass", volatility.garman_klass, ["garman_klass_vol"], f", x as (select *, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) as v from bars) select symbol, ts, {r(f'sqrt(greatest(({full(20, 'avg(v)', 'v')}), case when ({full(20, 'avg(v)', 'v')}) is null then null else 0.0 end) * 252)', 'garman_klass_vol')} from x")
-    reg.queries["vol_garman_klass"] = lambda spark, d: rounded(volatility.garman_klass(bars(spark, d)).select("symbol", "ts", "garman_klass_vol").where("garman_klass_vol is not null"))
-    reg.oracles["vol_garman_klass"] += f" where ({full(20, 'avg(v)', 'v')}) is not null".replace(" where", " qualify")
+    root = lambda m, name: r(f"case when {m} >= 0 then sqrt({m} * 252) when {m} is not null then 0.0 end", name)
+    reg.over_bars("vol_garman_klass", volatility.garman_klass, ["garman_klass_vol"], f", x as (select *, 0.5 * pow(ln(high / low), 2) - (2 * ln(2) - 1) * pow(ln(close / open), 2) as v from bars), z as (select *, {full(20, 'avg(v)', 'v')} as m from x) select symbol, ts, {root('m', 'garman_klass_vol')} from z")
     k = 0.34 / (1.34 + 21 / 19)
-    reg.add("vol_yang_zhang", lambda spark, d: rounded(volatility.yang_zhang(bars(spark, d)).select("symbol", "ts", "yang_zhang_vol").where("yang_zhang_vol is not null")), f"""with {BARS_SQL}, {rt}, y as (select *, pow(ln(open / pc), 2) + {k} * pow(ln(close / pc), 2) + (1 - {k}) * (ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)) as v from x),
-        z as (select *, {full(20, 'avg(v)', 'v')} as m from y) select symbol, ts, {r('sqrt(greatest(m, 0.0) * 252)', 'yang_zhang_vol')} from z where m is not null""")
+    reg.over_bars("vol_yang_zhang", volatility.yang_zhang, ["yang_zhang_vol"], f""", {rt}, y as (select *, pow(ln(open / pc), 2) + {k} * pow(ln(close / pc), 2) + (1 - {k}) * (ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open)) as v from x),
+        z as (select *, {full(20, 'avg(v)', 'v')} as m from y) select symbol, ts, {root('m', 'yang_zhang_vol')} from z""")
     reg.over_bars("vol_up_down", volatility.up_down, ["up_vol", "down_vol"], f", {rt} select symbol, ts, " + ", ".join(r(f"case when count(rt) {over(20)} = 20 then stddev_samp(case when rt {s} 0 then rt end) {over(20)} * sqrt(252) end", n) for s, n in ((">", "up_vol"), ("<", "down_vol"))) + " from x")
     reg.over_bars("vol_shape", volatility.shape, ["skew", "excess_kurtosis"], f", {rt} select symbol, ts, {r(full(20, 'skewness(rt)', 'rt'), 'skew', 4)}, {r(full(20, 'kurtosis(rt)', 'rt'), 'excess_kurtosis', 4)} from x")
     reg.queries["vol_shape"] = lambda spark, d: rounded(volatility.shape(bars(spark, d)).select("symbol", "ts", "skew", "excess_kurtosis"), 4)
@@ -87,7 +86,7 @@ def register(reg: Registry) -> None:
     fill = f"""j as (select *, row_number() over (partition by symbol order by ts) as i from dirty), s as (select *, last_value(case when close is not null then {{'i': i, 'v': close}} end ignore nulls) over (partition by symbol order by ts rows unbounded preceding) as ai, first_value(case when close is not null then {{'i': i, 'v': close}} end ignore nulls) over (partition by symbol order by ts rows between current row and unbounded following) as bi from j),
         filled as (select symbol, ts, open, high, low, coalesce(close, case when i - ai.i <= 3 then coalesce({line}, ai.v) end) as close, volume from s)"""
     reg.add("quality_interpolate", lambda spark, d: rounded(quality.interpolate(dirty(spark, d)).select(cols)), f"{base}, {fill} select {shown} from filled")
-    pos = "p as (select symbol, ts, " + ", ".join(f"case when {c} > 0 then {c} end as {c}" for c in quality.PRICES) + ", greatest(volume, 0.0) as volume from dirty)"
+    pos = "p as (select symbol, ts, " + ", ".join(f"case when {c} > 0 then {c} end as {c}" for c in quality.PRICES) + ", case when volume < 0 then 0.0 else volume end as volume from dirty)"
     reg.add("quality_correct", lambda spark, d: rounded(quality.correct(dirty(spark, d)).select(cols)), f"{base}, {pos}, c as (select symbol, ts, open, greatest(open, high, low, close) as high, least(open, high, low, close) as low, close, volume from p) select {shown} from c")
     reg.add("quality_clean", lambda spark, d: rounded(quality.clean(dirty(spark, d)).select(cols)))
     steps, last = [f"a0 as (select * from dirty where open is not null and high is not null and low is not null and close is not null and volume >= 0 and not ({broken}))"], "a0"

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Quoted text, a place for a value, or anything between.
+_PIECES = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|\?|[^?'"`]+|['"`]""", re.S)
+
 
 class Query:
     """Clauses apply in SQL's order, whatever the order of calls: from, joins, where, group, having, select, order, offset, limit.
@@ -29,7 +34,13 @@ class Query:
 
     @staticmethod
     def bind(condition: str, *values: Any) -> Column:
-        parts = condition.split("?")
+        """The condition with its places filled; a ? inside quotes is text and no place."""
+        parts = [""]
+        for piece in _PIECES.findall(condition):
+            if piece == "?":
+                parts.append("")
+            else:
+                parts[-1] += piece
         if len(parts) - 1 != len(values):
             raise ValueError(f"{len(parts) - 1} places, {len(values)} values")
         text = parts[0]
@@ -43,6 +54,8 @@ class Query:
             return "NULL"
         if isinstance(value, bool):
             return str(value).upper()
+        if isinstance(value, float) and not math.isfinite(value):
+            return f"double('{value}')"
         if isinstance(value, (int, float)):
             return repr(value)
         return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
