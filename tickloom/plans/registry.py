@@ -7,10 +7,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import indicator_queries, market_queries, pattern_queries, portfolio_queries, sequential_queries, stream_queries, text_queries
+from tickloom.plans import indicator_queries, market_queries, pattern_queries, portfolio_queries, sequential_queries, strategy_queries, stream_queries, text_queries
 from tickloom.plans.base import Registry
 
-MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries)
+MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries, strategy_queries)
 
 
 @cache
