@@ -34,12 +34,12 @@ def lexicon_score(text: Column, lexicon: dict[str, float] | None = None) -> Colu
 
 
 def substring_score(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Mean weight of lexicon words that stand anywhere in the text, also inside a word; 0 without any."""
+    """Mean weight of lexicon words that stand anywhere in the text, also inside a word, to 9 digits; 0 without any."""
     low = F.lower(_text(text))
     hits = [F.contains(low, F.lit(k)) for k in (lexicon or LEXICON)]
     total = sum((F.when(h, w).otherwise(0.0) for h, w in zip(hits, (lexicon or LEXICON).values(), strict=True)), F.lit(0.0))
     n = sum((h.cast("int") for h in hits), F.lit(0))
-    return F.when(n > 0, total / n).otherwise(0.0)
+    return F.when(n > 0, F.round(total / n, 9)).otherwise(0.0)
 
 
 def label(score: Column) -> Column:
@@ -130,7 +130,7 @@ def engagement(platform: Column, likes: Column, shares: Column, comments: Column
 
 
 def author_tier(followers: Column) -> Column:
-    return F.when(followers >= 1_000_000, "MEGA").when(followers >= 100_000, "MACRO").when(followers >= 10_000, "MID").when(followers >= 1_000, "MICRO").otherwise("NANO")
+    return F.when(followers >= 1_000_000, "MEGA").when(followers >= 100_000, "MACRO").when(followers >= 10_000, "MICRO").when(followers >= 1_000, "NANO").otherwise("REGULAR")
 
 
 def strip_html(text: Column) -> Column:
