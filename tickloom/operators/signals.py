@@ -86,23 +86,6 @@ def entries(snaps: DataFrame, positions: DataFrame) -> DataFrame:
     return snaps.join(positions.select("symbol"), "symbol", "left_anti")
 
 
-def first_trigger(orders: DataFrame, bars: DataFrame) -> DataFrame:
-    """(order_id, symbol, filled_ts, fill_price) of limit, stop and trailing orders: the first bar from the order's time on that reaches the price.
-
-    Bars and orders meet by symbol in time order: a trigger looks ahead over the bars of its own symbol only, and the first is a minimum.
-    """
-    both = orders.join(bars.select("symbol", F.col("ts").alias("bar_ts"), "high", "low", "close"), "symbol").where(F.col("bar_ts") >= F.col("ts"))
-    buy, kind = F.col("side") == "BUY", F.col("order_type")
-    run = Window.partitionBy("order_id").orderBy("bar_ts").rowsBetween(Window.unboundedPreceding, 0)
-    trail = F.when(buy, F.min("low").over(run) + F.col("amount")).otherwise(F.max("high").over(run) - F.col("amount"))
-    both = both.withColumn("_stop", F.when(kind == "TRAILING_STOP", trail).otherwise(F.col("price")))
-    limit = F.when(buy, F.col("low") <= F.col("price")).otherwise(F.col("high") >= F.col("price"))
-    stop = F.when(buy, F.col("close") >= F.col("_stop")).otherwise(F.col("close") <= F.col("_stop"))
-    hit = both.where(F.when(kind == "MARKET", True).when(kind == "LIMIT", limit).otherwise(stop))
-    price = F.when(kind == "LIMIT", F.col("price")).otherwise(F.col("close"))
-    return hit.groupBy("order_id", "symbol").agg(F.min("bar_ts").alias("filled_ts"), F.min_by(price, "bar_ts").alias("fill_price"))
-
-
 def commission(value: Column) -> Column:
     """1 up to 1,000, 0.5 % up to 10,000, 0.1 % above."""
     return F.when(value <= 1000, 1.0).when(value <= 10000, value * 0.005).otherwise(value * 0.001)

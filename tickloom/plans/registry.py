@@ -7,10 +7,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import feature_queries, indicator_queries, market_queries, news_queries, pattern_queries, portfolio_queries, selector_queries, sequential_queries, strategy_queries, stream_queries, text_queries
+from tickloom.plans import feature_queries, indicator_queries, market_queries, news_queries, pattern_queries, portfolio_queries, selector_queries, sequential_queries, strategy_queries, stream_queries, text_queries, trading_queries
 from tickloom.plans.base import Registry
 
-MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries, strategy_queries, selector_queries, news_queries, feature_queries)
+MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries, strategy_queries, selector_queries, news_queries, feature_queries, trading_queries)
 
 
 @cache
@@ -22,7 +22,8 @@ def _all() -> Registry:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all().queries["ind_sma"](spark, sf_dir)
+    """One trading cycle: hourly bars, indicators, regimes, marked positions, exits, entries, sizes and what the cash allows."""
+    return trading_queries.cycle(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
