@@ -24,8 +24,7 @@ FORMATS = ("yyyy-MM-dd", "dd MMM yyyy", "MM/dd/yyyy")
 
 
 def register(reg: Registry) -> None:
-    words = F.array(*[F.lit(x) for x in NAMES])
-    orders = lambda spark, d: table(spark, d, "orders").withColumn("word", F.element_at(words, (F.col("o_orderkey") % len(NAMES) + 1).cast("int")))
+    orders = lambda spark, d: table(spark, d, "orders").withColumn("word", F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("o_orderkey") % len(NAMES) + 1).cast("int")))
     base = f"with o as (select *, {_LIST(NAMES)}[o_orderkey % {len(NAMES)} + 1] as word from orders)"
 
     def forms(spark, d):
