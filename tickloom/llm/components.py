@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -13,17 +13,20 @@ def _signature(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Edges (a, b), any order and repeats allowed, to (node, component): the smallest node reachable.
 
     Every round hangs the neighbours of a node on the smallest one, first those above it, then
     those below. The minimum is a partial aggregate and is joined back, so that a hub's edges
     never meet in one task and adaptive execution may split them; the number of rounds
     grows with the logarithm of a chain's length. Only nodes that have an edge come out. Edges from
-    a node to itself and null ends are ignored.
+    a node to itself and null ends are ignored. A round's edges go when the next one's are written; the last
+    stay, for the caller's scratch to drop.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     clean = edges.where("a is not null and b is not null and a <> b")
-    now = materialise(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    own = Scratch(edges.sparkSession)
+    now = own.write(clean.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, signature = None, _signature(now)
     while signature != before:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -33,7 +36,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = materialise(small.where("a <> b").distinct(), "edges")
+        last = own
+        own = Scratch(edges.sparkSession)
+        now = own.write(small.where("a <> b").distinct(), "edges")
+        last.drop()
         before, signature = signature, _signature(now)
+    scratch.paths += own.paths
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

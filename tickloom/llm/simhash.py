@@ -45,7 +45,10 @@ def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarr
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     """SimHash of one text, as a signed 64-bit integer (null or no word: 0)."""
-    hashes = shingle_hashes(text, words, seed)
+    return fingerprint_of(shingle_hashes(text, words, seed))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
