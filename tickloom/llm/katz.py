@@ -35,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import give_memory_back, materialise
 
 DISCOUNTED = 5
 NOVEL = 0.1
 DICTIONARY, HOT = 60_000, 256
-#: Tokens of a block, and of a table part, about.
-BLOCK_TOKENS, PART_TOKENS = 500_000, 2_000_000
+#: Tokens of a block, and of a table part, about; a part is counted in so many slices, one after the other.
+BLOCK_TOKENS, PART_TOKENS, SLICES = 500_000, 4_000_000, 12
 _NONE = np.uint16(65535)
 _START, _END = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in (b"\x00 start", b"\x00 end"))
 _HELD, _ROW = np.uint32(1 << 31), np.uint32((1 << 31) - 1)
@@ -112,6 +112,7 @@ def count_words(docs: DataFrame, folds: int, fold: int, block_tokens: int) -> Da
     """(w, c): the training words' hashes and counts, the end included."""
 
     def run(batches):
+        give_memory_back()
         held, size = [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -168,6 +169,13 @@ def _send(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["kind", "key", "block", "data"])
 
 
+def _added(several: list[tuple]) -> tuple:
+    """Columns of (row, value, ...) tuples added up by row."""
+    rows, inverse = np.unique(np.concatenate([x[0] for x in several]), return_inverse=True)
+    sums = [np.bincount(inverse, np.concatenate(c), minlength=len(rows)) for c in list(zip(*several, strict=True))[1:]]
+    return (rows, *[s if i < 2 else s.astype(np.uint32) for i, s in enumerate(sums)])
+
+
 _MESSAGE = "kind string, key long, block long, data binary"
 
 
@@ -198,7 +206,7 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
         pair_at = _runs(w[cell], u[cell])
         w, u, rank_w, rank_u, tagged = w[cell][pair_at], u[cell][pair_at], rank_w[cell][pair_at], rank_u[cell][pair_at], tagged[cell]
         n = np.diff(np.append(pair_at, len(cell)))
-        part = (np.where(rank_w != _NONE, _mix(w ^ _mix(u)), _mix(w)) % np.uint64(parts)).astype(np.int64)
+        part = (np.where(rank_w != _NONE, _mix(w ^ _mix(u)), _mix(w)) % np.uint64(parts * SLICES)).astype(np.int64)
         hot_w, hot_u = (np.where(r != _NONE, uni.hot[np.minimum(r, len(uni.hot) - 1)], -1) for r in (rank_w, rank_u))
         hot = (hot_w >= 0) & (hot_u >= 0)
         at = _cells(pair_at[hot], n[hot])
@@ -206,11 +214,10 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
         yield "info", block % parts, block, pickle.dumps((ids, held, lengths + 1, n_known, base, score, pair, tagged[at] & _ROW, tf[at]), protocol=5)
         trained = np.add.reduceat(np.where(tagged & _HELD, 0, tf), pair_at) if len(pair_at) else np.zeros(0)
         order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        for k in range(parts):
-            mine = order[bounds[k] : bounds[k + 1]]
-            if not len(mine):
-                continue
+        part = part[order]
+        edges = np.append(_runs(part), len(part))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            k, mine = int(part[start]), order[start:end]
             only = hot[mine]
             cold, counted = mine[~only], mine[only]
             at = _cells(pair_at[cold], n[cold])
@@ -219,9 +226,10 @@ def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: in
             times = np.concatenate([tf[at], trained[counted].astype(np.uint32)])
             sizes = np.concatenate([n[cold], np.ones(len(counted), np.int64)]).astype(np.uint32)
             rw, ru = rank_w[both], rank_u[both]
-            yield "pairs", k, block, pickle.dumps((rw, w[both][rw == _NONE], ru, u[both][ru == _NONE], sizes, rows_, times), protocol=5)
+            yield f"pairs {k % SLICES}", k // SLICES, block, pickle.dumps((rw, w[both][rw == _NONE], ru, u[both][ru == _NONE], sizes, rows_, times), protocol=5)
 
     def run(batches):
+        give_memory_back()
         task, made = TaskContext.get().partitionId(), 0
         ids, lengths, hashes, size = [], [], [], 0
         for batch in batches:
@@ -253,16 +261,28 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
     """Step 3: from pairs to messages `row` and `ask` (key: block), `context` and `ask_context` (key: part), `hot` and `tally`."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, columns, blocks = [], [], []
+        give_memory_back()
+        out, slices, rows = [], {}, {}
         for kind, block, data in zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("data"), strict=True):
             if kind == "info":
                 out.append(("info", block, block, data.as_py()))
             else:
-                rw, wx, ru, ux, sizes, rows, times = pickle.loads(data.as_py())
-                columns.append((_spell(rw, wx, uni), _spell(ru, ux, uni), rw, ru, sizes, rows, times))
+                slices.setdefault(kind, []).append((block, data))
+        for held in slices.values():
+            columns, blocks = [], []
+            for block, data in held:
+                rw, wx, ru, ux, sizes, cells, times = pickle.loads(data.as_buffer())
+                columns.append((_spell(rw, wx, uni), _spell(ru, ux, uni), rw, ru, sizes, cells, times))
                 blocks.append(block)
-        if columns:
-            out += score_part([np.concatenate(c) for c in zip(*columns, strict=True)], np.repeat(np.arange(len(blocks), dtype=np.int64), [len(c[0]) for c in columns]), blocks)
+            counts = [len(c[0]) for c in columns]
+            columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+            for kind, key, block, data in score_part(columns, np.repeat(np.arange(len(blocks), dtype=np.int64), counts), blocks):
+                if kind == "row":
+                    rows.setdefault(block, []).append(data)
+                else:
+                    out.append((kind, key, block, data))
+            del columns
+        out += [("row", block, block, pickle.dumps(_added(parts_), protocol=5)) for block, parts_ in rows.items()]
         return pa.Table.from_batches([_send(out)])
 
     def score_part(columns, pair_block, blocks):
@@ -318,7 +338,7 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         for i, name in enumerate(blocks):
             cut = slice(edges[i], edges[i + 1])
             if edges[i + 1] > edges[i]:
-                out.append(("row", name, name, pickle.dumps(((uniq[cut] & 0xFFFFFFFF).astype(np.uint32), score[cut], base[cut], known[cut], [f[cut] for f in few]), protocol=5)))
+                out.append(("row", name, name, ((uniq[cut] & 0xFFFFFFFF).astype(np.uint32), score[cut], base[cut], known[cut], *[f[cut] for f in few])))
         # what is asked of contexts
         ask = ~seen
         aru, au, ablock, arow, atf = gru[g][ask], gu[g][ask], block[ask], row[ask], tf[ask].astype(np.uint32)
@@ -341,6 +361,7 @@ def weigh_contexts(messages: DataFrame, uni: Unigrams, d: np.ndarray) -> DataFra
     """Step 4: `answer` (key: block) and `weight` messages. A weight is log10 of alpha(u) (c(u) + NOVEL): rows have been charged the latter for every token."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_memory_back()
         contexts, asks = [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
             (contexts if kind == "context" else asks).append(pickle.loads(data.as_py()))
@@ -382,12 +403,13 @@ def finish(messages: DataFrame, uni: Unigrams, d: np.ndarray, weights: np.ndarra
         by_hot[uni.hot[rank]] = rank
 
     def run(table: pa.Table) -> pa.Table:
+        give_memory_back()
         by_kind: dict[str, list] = {}
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
             by_kind.setdefault(kind, []).append(pickle.loads(data.as_py()))
         ids, held, n, known, base, score, pair, row, tf = by_kind["info"][0]
         few = np.zeros((DISCOUNTED, len(ids)))
-        for at, gain, more, words, classes in by_kind.get("row", []):
+        for at, gain, more, words, *classes in by_kind.get("row", []):
             score[at] += gain
             base[at] += more
             known[at] += words
