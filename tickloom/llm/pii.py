@@ -1,9 +1,10 @@
 """Operator 7, personal data: a character-level BiLSTM-CRF beside fixed patterns.
 
-The patterns' matches always stand. The network reads overlapping windows over every stretch that has a digit or an at sign, without which
-none of the four kinds can be written; elsewhere its tag is outside. Each window is decoded by Viterbi. Then the document's tags are
+The patterns' matches always stand. The network reads overlapping windows on a fixed grid, each decoded by Viterbi. Then the document's tags are
 put together: a character has the tag of the window in which it lies most inside. Tagged runs that keep the kind's own rules (an at sign and a
-domain, four parts up to 255, 13 to 19 digits with a right check digit, 9 to 15 digits) and touch no pattern match are added.
+domain, four parts up to 255, 13 to 19 digits with a right check digit, 9 to 15 digits) and touch no pattern match are added. No run without a
+digit or an at sign keeps them. So windows far from all of these are left out, unless a run reaches them: the spans are those that reading
+every window gives.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ from pyspark.sql import types as T
 
 from .bilstm import CLASSES, KINDS, WINDOW, Tagger, classes, trained, viterbi
 
+# The patterns of the four kinds. Runs are taken whole, and not tried again from within, so that each is read once.
 PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-#: Windows overlap by half; a stretch is read from so many characters before its first trigger to as many after its last.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
+#: Windows overlap by half; from each one's middle its tags are taken. So far from a trigger a window is read at first.
 STEP, MARGIN = WINDOW // 2, 32
 _TRIGGER = re.compile(r"[0-9@]")
 _AT_ONCE = 512
@@ -59,30 +62,48 @@ def valid(kind: str, value: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of local part, at sign and domain that do not overlap: read outward from each at sign, in linear time."""
+    found, last, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        domain = _DOMAIN.match(text, at + 1) if start < at else None
+        if domain:
+            found.append((start, domain.end()))
+        last = max(at + 1, domain.end() if domain else 0)
+        at = text.find("@", last)
+    return found
+
+
 def by_pattern(text: str) -> list[Span]:
     """Leftmost matches of each kind that do not overlap, less those that break the kind's rules."""
-    found = []
-    if "@" in text:
-        found += [Span("email", *m.span()) for m in PATTERNS["email"].finditer(text)]
+    found = [Span("email", *span) for span in emails(text)]
     if re.search("[0-9]", text):
         for kind in KINDS[1:]:
             found += [Span(kind, *m.span()) for m in PATTERNS[kind].finditer(text) if valid(kind, m[0])]
     return found
 
 
-def windows(text: str) -> list[int]:
-    """Where the network's windows start."""
-    starts, stretch_from, stretch_to = [], None, -1
+def owner(at: int) -> int:
+    """The window from which a character's tag is taken: window k starts at k * STEP."""
+    return max(0, (at - STEP // 2) // STEP)
+
+
+def _owned(k: int, length: int) -> tuple[int, int]:
+    """The characters that window k gives tags to."""
+    return (0 if k == 0 else k * STEP + STEP // 2), min(length, k * STEP + STEP // 2 + STEP)
+
+
+def first_windows(text: str) -> set[int]:
+    """The windows near a digit or an at sign."""
+    found, top = set(), owner(len(text) - 1) if text else 0
     for m in _TRIGGER.finditer(text):
-        at = m.start()
-        if stretch_from is None or at - MARGIN > stretch_to:
-            if stretch_from is not None:
-                starts += range(stretch_from, max(stretch_to - WINDOW, stretch_from) + STEP, STEP)
-            stretch_from = max(0, at - MARGIN)
-        stretch_to = at + MARGIN
-    if stretch_from is not None:
-        starts += range(stretch_from, max(stretch_to - WINDOW, stretch_from) + STEP, STEP)
-    return starts
+        low, high = owner(max(0, m.start() - MARGIN)), min(top, owner(m.start() + MARGIN))
+        if high not in found or low not in found:
+            found.update(range(low, high + 1))
+    return found
 
 
 def _plausible(kind: str, value: str) -> bool:
@@ -106,53 +127,66 @@ def _trimmed(text: str, span: Span) -> Span:
     return Span(span.kind, start, end)
 
 
-def merge(text: str, base: list[Span], starts: list[int], tags: np.ndarray) -> list[Span]:
-    """Base spans and what the windows' tags add, by kind and start."""
-    best: dict[int, tuple[int, int]] = {}
-    if not tags.any():
-        return sorted(base, key=lambda s: (KINDS.index(s.kind), s.start))
-    for start, row in zip(starts, tags, strict=True):
-        for i in range(WINDOW):
-            inside = min(i, WINDOW - 1 - i)
-            if start + i < len(text) and inside >= best.get(start + i, (-1, 0))[0]:
-                best[start + i] = (inside, int(row[i]))
-    added, now = [], None
-    for at in sorted(best):
-        tag = best[at][1]
-        kind = (tag - 1) // 2
-        if now and tag and tag % 2 == 0 and kind == now[0] and at == now[2]:
-            now[2] = at + 1
-            continue
-        if now:
-            added.append(now)
-        now = [kind, at, at + 1] if tag else None
+def runs(length: int, tags: dict[int, np.ndarray]) -> tuple[list[tuple[int, int, int]], set[int]]:
+    """(kind, start, end) of tagged runs over the windows that were read, and the windows next to them that a run reaches."""
+    found, reached, now, before = [], set(), None, None
+    for k in sorted(tags):
+        low, high = _owned(k, length)
+        if before is not None and k != before + 1:
+            if now and now[2] == _owned(before, length)[1]:
+                reached.add(before + 1)
+            if now:
+                found.append(tuple(now))
+            now = None
+        row = tags[k][low - k * STEP : high - k * STEP]
+        for offset in np.flatnonzero(row).tolist() if row.any() else ():
+            at, tag = low + offset, int(row[offset])
+            kind = (tag - 1) // 2
+            if now and tag % 2 == 0 and kind == now[0] and at == now[2]:
+                now[2] = at + 1
+                continue
+            if now:
+                found.append(tuple(now))
+            now = [kind, at, at + 1]
+            if at == low and k and k - 1 not in tags:
+                reached.add(k - 1)
+        before = k
     if now:
-        added.append(now)
+        found.append(tuple(now))
+        if now[2] == _owned(before, length)[1] < length:
+            reached.add(before + 1)
+    return found, reached
+
+
+def with_runs(text: str, base: list[Span], found: list[tuple[int, int, int]]) -> list[Span]:
+    """Base spans and the runs that keep their kind's rules and touch none of them, by kind and start."""
     spans = set(base)
-    for kind, start, end in added:
+    for kind, start, end in found:
         span = _trimmed(text, Span(KINDS[kind], start, end))
         if not any(span.start < b.end and b.start < span.end for b in base) and _plausible(span.kind, text[span.start : span.end]):
             spans.add(span)
     return sorted(spans, key=lambda s: (KINDS.index(s.kind), s.start))
 
 
-def find(texts: list[str | None], net: Tagger) -> list[tuple[list[Span], list[Span]]]:
-    """(pattern spans, all spans) of each whole text; null counts as empty."""
+def find(texts: list[str | None], net: Tagger, everywhere: bool = False) -> list[tuple[list[Span], list[Span]]]:
+    """(pattern spans, all spans) of each whole text; null counts as empty. `everywhere` reads every window, which gives the same spans."""
     texts = [t or "" for t in texts]
-    bases, places = [by_pattern(t) for t in texts], [windows(t) for t in texts]
-    flat = [(k, start) for k, starts in enumerate(places) for start in starts]
-    tags = np.zeros((len(flat), WINDOW), dtype=np.int8)
-    ids = np.full((len(flat), WINDOW), CLASSES - 1, dtype=np.intp)
-    for row, (k, start) in zip(ids, flat, strict=True):
-        part = classes(texts[k][start : start + WINDOW])
-        row[: len(part)] = part
-    for at in range(0, len(flat), _AT_ONCE):
-        tags[at : at + _AT_ONCE] = viterbi(net, net.run(ids[at : at + _AT_ONCE]))
-    out, row = [], 0
-    for text, base, starts in zip(texts, bases, places, strict=True):
-        mine = tags[row : row + len(starts)]
-        row += len(starts)
-        out.append((sorted(base, key=lambda s: (KINDS.index(s.kind), s.start)), merge(text, base, starts, mine)))
+    bases = [by_pattern(t) for t in texts]
+    tags: list[dict[int, np.ndarray]] = [{} for _ in texts]
+    todo = [(i, k) for i, t in enumerate(texts) for k in (range(owner(len(t) - 1) + 1) if everywhere and t else sorted(first_windows(t)))]
+    while todo:
+        ids = np.full((len(todo), WINDOW), CLASSES - 1, dtype=np.intp)
+        for row, (i, k) in zip(ids, todo, strict=True):
+            part = classes(texts[i][k * STEP : k * STEP + WINDOW])
+            row[: len(part)] = part
+        for at in range(0, len(todo), _AT_ONCE):
+            for (i, k), row in zip(todo[at : at + _AT_ONCE], viterbi(net, net.run(ids[at : at + _AT_ONCE])), strict=True):
+                tags[i][k] = row
+        touched = {i for i, _ in todo}
+        todo = [(i, k) for i in sorted(touched) for k in sorted(runs(len(texts[i]), tags[i])[1] - tags[i].keys())]
+    out = []
+    for text, base, read in zip(texts, bases, tags, strict=True):
+        out.append((sorted(base, key=lambda s: (KINDS.index(s.kind), s.start)), with_runs(text, base, runs(len(text), read)[0])))
     return out
 
 
