@@ -40,8 +40,26 @@ BANDS = {
     "de": Band(2.02, 6.0, 0.20, (5.40, 5.78, 6.07, 6.28, 6.40, 6.46)),
     "es": Band(1.78, 6.0, 0.20, (5.40, 5.68, 6.05, 6.26, 6.42, 6.50)),
     "latin": Band(1.30, 7.0, 0.30, (5.00, 5.30, 5.60, 5.80, 5.90, 5.95)),
-    "other": Band(0.20, 7.0, 1.00, (3.00, 3.30, 3.60, 3.80, 4.00, 4.00)),
+    "cyrillic": Band(1.40, 5.0, 0.12, (4.80, 5.10, 5.40, 5.60, 5.70, 5.75)),
+    # the vocabulary spells these letter by letter
+    "greek": Band(0.55, 2.0, 0.15, (3.50, 3.60, 3.70, 3.70, 3.70, 3.70)),
+    "arabic": Band(0.55, 2.0, 0.20, (3.50, 3.60, 3.70, 3.70, 3.70, 3.70)),
+    "hebrew": Band(0.55, 2.0, 0.20, (3.30, 3.40, 3.50, 3.50, 3.50, 3.50)),
+    "armenian": Band(0.45, 2.0, 0.50, (3.40, 3.50, 3.60, 3.60, 3.60, 3.60)),
+    "devanagari": Band(0.45, 2.0, 0.40, (3.40, 3.50, 3.60, 3.60, 3.60, 3.60)),
+    "thai": Band(0.45, 2.0, 0.40, (3.60, 3.80, 4.00, 4.00, 4.00, 4.00)),
+    # many signs, the rarer ones as bytes
+    "han": Band(0.40, 2.0, 0.75, (4.60, 4.80, 5.00, 5.10, 5.20, 5.20)),
+    "kana": Band(0.40, 2.0, 0.65, (4.50, 4.70, 4.90, 5.00, 5.10, 5.10)),
+    "hangul": Band(0.35, 2.0, 0.75, (4.20, 4.40, 4.60, 4.70, 4.70, 4.70)),
+    # scripts that the vocabulary hardly has are nearly all bytes: what is bytes alone is no text of any
+    "other": Band(0.20, 7.0, 0.97, (3.00, 3.30, 3.60, 3.80, 4.00, 4.00)),
 }
+# Code points of scripts, from and up to; kana and Han together are Japanese, and go by kana.
+SCRIPTS = {
+    "latin": ((0x0041, 0x024F), (0x1E00, 0x1EFF)), "greek": ((0x0370, 0x03FF), (0x1F00, 0x1FFF)), "cyrillic": ((0x0400, 0x052F),), "armenian": ((0x0530, 0x058F),), "hebrew": ((0x0590, 0x05FF),),
+    "arabic": ((0x0600, 0x06FF), (0x0750, 0x077F)), "devanagari": ((0x0900, 0x097F),), "thai": ((0x0E00, 0x0E7F),), "hangul": ((0x1100, 0x11FF), (0xAC00, 0xD7AF)), "kana": ((0x3040, 0x30FF),), "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
+}
 _KNOTS = (7, 8, 9, 10, 11, 12)
 
 
@@ -157,10 +175,16 @@ def _repeat_words(at: np.ndarray) -> int:
 
 
 def script(text: str) -> str:
-    """latin, if over half the letters of the whole text are Latin, else other."""
-    letters = [c for c in set(text) if c.isalpha()]
-    counts = {c: text.count(c) for c in letters}
-    return "latin" if 2 * sum(n for c, n in counts.items() if c < "ɐ") > sum(counts.values()) else "other"
+    """The script with most letters of the whole text; kana, if it has a tenth of the letters; without any letter, other."""
+    counts: dict[str, int] = {}
+    for char in set(text):
+        if char.isalpha():
+            point = ord(char)
+            name = next((n for n, ranges in SCRIPTS.items() if any(a <= point <= b for a, b in ranges)), "other")
+            counts[name] = counts.get(name, 0) + text.count(char)
+    if 10 * counts.get("kana", 0) > sum(counts.values()):
+        return "kana"
+    return max(counts, key=lambda n: (counts[n], n), default="other")
 
 
 def passes(found: Measured, lang: str | None, text: str | None, bands: dict[str, Band] | None = None) -> bool:
@@ -168,7 +192,7 @@ def passes(found: Measured, lang: str | None, text: str | None, bands: dict[str,
     bands = bands or BANDS
     band = bands.get(lang or "") or bands[script(text or "")]
     inside = band.least_chars <= found.chars_per_token <= band.most_chars and found.byte_share <= band.most_bytes
-    return inside and found.n_words > 0 and found.entropy >= min(np.interp(math.log2(found.n_tokens), _KNOTS, band.least_entropy), 0.9 * math.log2(found.n_tokens))
+    return bool(inside and found.n_words > 0 and found.entropy >= min(np.interp(math.log2(found.n_tokens), _KNOTS, band.least_entropy), 0.9 * math.log2(found.n_tokens)))
 
 
 def base_failed(found: Measured) -> bool:
