@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_cell, word_count
+from .common import fresh, hash_cell, materialise, word_count
 
 #: Weights of sources in order, repeating.
 WEIGHTS = (1, 2, 3)
@@ -39,47 +39,51 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return share.select("source", "source_size", target.alias("target"))
 
 
-def with_copies(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """docs with _size, _source_size, _target and _copies: how often the mix takes each row.
+def plan_copies(rows: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """rows (doc_id, source, size, cell, digest, and others not of the names used here) with source_size, target and copies: how often the mix takes each.
 
-    Size is the number of words, null: 0. Null is a source of its own. A source without a word takes nothing, and its
-    rows come out 0 times. Rows that share an id, or have none, are numbered by their text's digest. An empty table gives an empty one.
+    Null is a source of its own. A source without a word takes nothing, and its rows come out 0 times. Rows that share an id, or have
+    none, are numbered by their text's digest. The texts themselves are not looked at.
     """
-    sized = docs.withColumns({"_size": word_count(F.col(text_col)), "_source": F.col(source_col), "_cell": hash_cell(F.col(id_col), f"mix-{seed}-", CELLS).cast("int")})
-    sizes = sized.groupBy("_source", "_size").agg(F.count("*").alias("_rows"))
-    total = targets(sizes.groupBy(F.col("_source").alias("source")).agg(F.sum(F.col("_size") * F.col("_rows")).alias("source_size")), weights, most)
-    total = total.withColumnsRenamed({"source": "_s", "source_size": "_source_size", "target": "_target"})
-    cells = sized.groupBy("_source", "_size", "_cell").agg(F.count("*").alias("_rows"))
-    by_size = cells.groupBy("_source", "_size").agg(F.sum("_rows").alias("_all"))
-    by_size = by_size.withColumn("_smaller", F.sum("_all").over(Window.partitionBy("_source").orderBy("_size")) - F.col("_all"))
-    by_size = by_size.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), "_smaller")
-    in_size = F.sum("_rows").over(Window.partitionBy("_source", "_size").orderBy("_cell")) - F.col("_rows")
-    start = cells.withColumn("_in_size", in_size).join(by_size, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")))
-    start = start.select(F.col("_source").alias("_s"), F.col("_size").alias("_z"), F.col("_cell").alias("_c"), (F.col("_smaller") + F.col("_in_size")).alias("_start"))
-    inside = Window.partitionBy("_source", "_size", "_cell").orderBy(F.asc_nulls_last(id_col), F.md5(text_col))
-    ranked = sized.withColumn("_in_cell", F.row_number().over(inside) - 1)
-    placed = ranked.join(start, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_cell") == F.col("_c"))).drop("_s", "_z", "_c")
-    aimed = placed.join(total, F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    offset = hash_cell(F.col("_source"), f"offset-{seed}-", _OFFSETS) / F.lit(float(_OFFSETS))
-    step = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(most)))).otherwise(0.0)
-    k = F.col("_start") + F.col("_in_cell")
+    sizes = rows.groupBy("source", "size", "cell").agg(F.count("*").alias("n"))
+    by_size = sizes.groupBy("source", "size").agg(F.sum("n").alias("all"))
+    total = targets(by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("all")).alias("source_size")), weights, most).withColumnRenamed("source", "s")
+    smaller = by_size.select(F.col("source").alias("s"), F.col("size").alias("z"), (F.sum("all").over(Window.partitionBy("source").orderBy("size")) - F.col("all")).alias("smaller"))
+    in_size = F.sum("n").over(Window.partitionBy("source", "size").orderBy("cell")) - F.col("n")
+    start = sizes.withColumn("in_size", in_size).join(smaller, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
+    start = start.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("cell").alias("c"), (F.col("smaller") + F.col("in_size")).alias("start"))
+    inside = Window.partitionBy("source", "size", "cell").orderBy(F.asc_nulls_last("doc_id"), "digest")
+    ranked = rows.withColumn("in_cell", F.row_number().over(inside) - 1)
+    placed = ranked.join(start, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("cell") == F.col("c"))).drop("s", "z", "c")
+    aimed = placed.join(total, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    offset = hash_cell(F.col("source"), f"offset-{seed}-", _OFFSETS) / F.lit(float(_OFFSETS))
+    step = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
+    k = F.col("start") + F.col("in_cell")
     crossed = F.floor((k + 1) * step + offset) - F.floor(k * step + offset)
-    return aimed.withColumn("_copies", F.least(crossed, F.lit(most)).cast("long")).drop("_source", "_cell", "_start", "_in_cell")
+    return aimed.withColumn("copies", F.least(crossed, F.lit(most)).cast("long")).drop("start", "in_cell")
 
 
-def mix(docs: DataFrame, **kw) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies) of each row; taken = copies * size."""
-    id_col, text_col, source_col = kw.get("id_col", "doc_id"), kw.get("text_col", "text"), kw.get("source_col", "source")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    kw = {k: v for k, v in kw.items() if k not in ("id_col", "text_col", "source_col")}
-    out = with_copies(slim, **kw)
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
+def measured(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str, *more) -> DataFrame:
+    """(doc_id, source, size, cell, digest, more) of each row, written, so that each text is read once. Size is the number of words, null: 0."""
+    return materialise(docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hash_cell(F.col(id_col), f"mix-{seed}-", CELLS).cast("int").alias("cell"), F.md5(text_col).alias("digest"), *more,
+    ), "sizes")
 
 
-def apply_mix(docs: DataFrame, **kw) -> DataFrame:
-    """docs' rows, each as often as the mix takes it."""
-    out = with_copies(docs, **kw)
-    return out.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies) of each row; taken = copies * size. An empty table gives an empty one; other columns are not looked at."""
+    out = plan_copies(measured(docs, seed, id_col, text_col, source_col), seed, **kw)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def apply_mix(docs: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **kw) -> DataFrame:
+    """docs' rows, each as often as the mix takes it. Rows are told apart by a 64-bit hash of all columns; the copies of equal rows are added up. Any column name may be there."""
+    key, times, copy = fresh(docs, "row_key", "times", "copy")
+    keyed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    planned = plan_copies(measured(docs, seed, id_col, text_col, source_col, keyed.alias("row_key")), seed, **kw)
+    wanted = planned.groupBy(F.col("row_key").alias(key)).agg(F.sum("copies").alias(times)).where(F.col(times) > 0)
+    taken = docs.withColumn(key, keyed).join(wanted, key).dropDuplicates([key])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*docs.columns)
 
 
 def oracle(seed: int = 42) -> str:
