@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ordered_buckets
+
 #: A space ends a paragraph if the hash of the bytes before it is 0 modulo this; no such cut within so many bytes of the last.
 SPACE_CUT, LEAST_BYTES = 8, 16
 #: A run without such a space is cut at the first space after so many bytes.
 MOST_BYTES = 128
 #: A paragraph ends its section if its digest is 0 modulo this.
 SECTION_CUT = 8
-#: Rows of one bucket of the ordered pass, about.
-ROWS_A_BUCKET = 2048
+#: Bytes of text that a task of the ordered pass gets, about, in so many buckets.
+TASK_BYTES, BUCKETS_A_TASK = 24 << 20, 4
 _LOWEST = -(1 << 63)
 
 Leaf = tuple[str, int]
@@ -129,33 +131,25 @@ def add_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def in_descending_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(bucket, extra, doc_id, text), sorted in each partition so that a row's next document follows it.
 
-    The ids are cut into buckets at their quantiles (one pass over the id column). A bucket's last row is
+    The ids are cut into buckets at their quantiles, as many as the bytes of text ask for. A bucket's last row is
     followed by an extra one: the first row of the next bucket, after the last bucket that of the first. So
     texts are dealt out once and no window spans the table. What the driver holds is
-    one id for each bucket of some thousand rows. Rows that share an id go by their text, null ids come last.
+    one id for each bucket of some megabytes. Rows that share an id go by their text, null ids come last.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("k"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = rows.count()
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     if not n:
         return rows.select(F.lit(0).alias("bucket"), F.lit(False).alias("extra"), "doc_id", "text")
-    buckets = -(-n // ROWS_A_BUCKET)
-    bounds = np.unique(np.array(rows.select(F.percentile_approx("k", [i / buckets for i in range(1, buckets)] or [0.5], 20 * buckets)).first()[0], dtype=np.int64))
-
-    @F.pandas_udf("int")
-    def bucket_of(k):
-        import pandas as pd
-
-        return pd.Series((-np.searchsorted(bounds, k.to_numpy(), side="left")).astype(np.int32))
-
-    dealt = rows.withColumn("bucket", bucket_of("k"))
+    tasks = max(1, -(-size // TASK_BYTES))
+    dealt = ordered_buckets(rows, "k", min(n, tasks * BUCKETS_A_TASK), descending=True)
     heads = [(r[0], r[1]) for r in dealt.select("bucket", "k").groupBy("bucket").agg(F.max("k").alias("k")).orderBy("bucket").collect()]
     before = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]  # a head also follows the bucket before it, the first head the last bucket
     follows = F.broadcast(spark.createDataFrame(before, "k long, bucket int"))  # a row a bucket
     extra = rows.join(follows, "k").groupBy("k", "bucket").agg(F.min(F.struct(F.col("text").isNotNull(), "text", "doc_id")).alias("x"))
     extra = extra.select("bucket", F.lit(True).alias("extra"), "k", "x.doc_id", "x.text")
     both = dealt.select("bucket", F.lit(False).alias("extra"), "k", "doc_id", "text").unionByName(extra)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), F.asc_nulls_first("text")).select("bucket", "extra", "doc_id", "text")
+    return both.repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", F.desc("k"), F.asc_nulls_first("text")).select("bucket", "extra", "doc_id", "text")
 
 
 def _compare(rows: Iterator[tuple]) -> Iterator[tuple]:

@@ -138,16 +138,17 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _uses(recipes: DataFrame) -> DataFrame:
-    """(start, doc_id, root, n_tokens, at, digest): a row for each chunk of each document."""
+    """(row, start, doc_id, root, n_tokens, at, digest): a row for each chunk of each document, none shared by two documents."""
     whole = F.expr(f"transform(sequence(0, cast(length(chunks) / {DIGEST} as int) - 1), i -> substring(chunks, i * {DIGEST} + 1, {DIGEST}))")
     some = F.when(F.length("chunks") > 0, whole)
-    return recipes.select("start", "doc_id", "root", "n_tokens", F.posexplode_outer(some).alias("at", "digest"))
+    numbered = recipes.withColumn("row", F.monotonically_increasing_id())  # before the rows are parted
+    return numbered.select("row", "start", "doc_id", "root", "n_tokens", F.posexplode_outer(some).alias("at", "digest"))
 
 
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """(doc_id, start, ids array<long>): the documents' ids put together again from chunks."""
     chunks, kind = read_chunks(spark, path).select("digest", "ids"), np.dtype(f"<u{width}")
-    joined = _uses(read_recipes(spark, path)).join(chunks, "digest", "left").groupBy("start", "doc_id", "root", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
+    joined = _uses(read_recipes(spark, path)).join(chunks, "digest", "left").groupBy("row", "start", "doc_id", "root", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
 
     @F.pandas_udf("array<long>")
     def put(parts):
@@ -176,7 +177,7 @@ def verify(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     chunks = read_chunks(spark, path).select("digest", "ids").mapInArrow(digest, "digest binary, found binary, n long, crc long")
     good = chunks.where("digest = found").select("digest", "n", "crc")
     parts = F.array_sort(F.collect_list(F.struct("at", "digest", "n", "crc"))).alias("parts")
-    joined = _uses(read_recipes(spark, path)).join(good, "digest", "left").groupBy("start", "doc_id", "root", "n_tokens").agg(parts)
+    joined = _uses(read_recipes(spark, path)).join(good, "digest", "left").groupBy("row", "start", "doc_id", "root", "n_tokens").agg(parts)
 
     def put(batches):
         for batch in batches:
