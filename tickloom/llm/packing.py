@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import hash_cell, materialise
 from .tokens import Encoder, default_vocabulary, encoded
 
-#: Pieces that one task ranks, about.
-RANKED_AT_ONCE = 100_000
+#: Pieces a cell; the pieces of one length are dealt to so many cells and ranked cell by cell.
+RANKED_AT_ONCE = 10_000
 
 
 class SegmentTree:

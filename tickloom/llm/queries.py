@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bytecnn, fertility, katz, merkle, mixing, packing, pii, sharding, simhash, store
+from .common import spread
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str, python: bool = True) -> DataFrame:
+    """The whole table; for operators whose work is in Python on all cores, however the file is split."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(docs) if python else docs
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
-    return merkle.against_edits(documents(spark, sf_dir))
+    return merkle.against_edits(documents(spark, sf_dir, python=False))
 
 
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, bytes, key, depth, shard, shard_bytes, shard_docs for every document: shards of at most 4 MiB."""
-    return sharding.shard(documents(spark, sf_dir), 4 << 20)
+    return sharding.shard(documents(spark, sf_dir, python=False), 4 << 20)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def op8_content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every document."""
-    return mixing.mix(documents(spark, sf_dir), seed=42)
+    return mixing.mix(documents(spark, sf_dir, python=False), seed=42)
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ library encodes the rest. Words with anything else in them go through the whole
 
 from __future__ import annotations
 
+import json
 import os
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -66,6 +67,24 @@ _LATIN = 0xC3  # with 0x80..0xBF: the letters U+00C0..U+00FF, and two signs
 _TIMES, _DIVIDE, _SHARP_S = 0x97, 0xB7, 0x9F
 
 
+# The rules of vocabularies whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+WORD_END = "</w>"
+
+
+@cache
+def word_by_word(path: str) -> bool:
+    """Whether a vocabulary has the rules that Encoder takes for granted; the ids of any other come from the library, text by text."""
+    rules = json.loads(_tokenizer(path).to_str())
+    parts = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    split = parts[0] if len(parts) == 2 else {}
+    bytes_ = parts[1] if len(parts) == 2 else {}
+    parted = split.get("type") == "Split" and split.get("pattern") == {"Regex": SPLIT} and split.get("behavior") == "Removed" and split.get("invert") is True
+    spelt = bytes_.get("type") == "ByteLevel" and bytes_.get("add_prefix_space") is False and bytes_.get("use_regex") is False
+    return rules["normalizer"] == NORMALIZER and parted and spelt and rules["model"].get("end_of_word_suffix") == WORD_END
+
+
 class _Known:
     """Ids of things met, numbered in the order in which they were."""
 
@@ -104,7 +123,7 @@ class Encoder:
     """ids(text): the token ids (uint32) of a whole text, without special tokens; null: none."""
 
     def __init__(self, path: str, kept_words: int = KEPT_WORDS):
-        self.tokenizer, self.bare, self.kept_words = _tokenizer(path), _bare_tokenizer(path), kept_words
+        self.tokenizer, self.bare, self.kept_words, self.plain = _tokenizer(path), _bare_tokenizer(path), kept_words, word_by_word(path)
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_word[i] = token.endswith("</w>")
@@ -157,6 +176,9 @@ class Encoder:
 
     def ids_of(self, texts: list[str | None]) -> list[np.ndarray]:
         """ids of several texts, whose new words are encoded together."""
+        if not self.plain:
+            whole = [(text or "").encode("utf-8", "replace").decode("utf-8", "replace") for text in texts]
+            return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
         if self.words.n > self.kept_words:
             self.words, self.pieces = _Known(), _Known()
         places = [self.words.find((text or "").encode("utf-8", "replace").split()) for text in texts]
