@@ -134,14 +134,13 @@ def register(reg: Registry) -> None:
     reg.add("join_exits", lambda spark, d: rounded(joins.exits(joins.mark_to_market(held(spark, d), prices(spark, d))).select("account", "symbol", "reason")), f"with {POSITIONS_SQL}, {marked}, x as (select account, symbol, {pct} as p from marked) select account, symbol, case when p <= -5 then 'STOP_LOSS' when p >= 10 then 'TAKE_PROFIT' else 'LOSS_LIMIT' end as reason from x where p <= -5 or p >= 10")
     reg.add("join_candidates_anti", lambda spark, d: rounded(joins.candidates(prices(spark, d), held(spark, d)), 4), f"with {POSITIONS_SQL}, {prices_sql} select symbol, {r('price', 'price', 4)}, {r('change', 'change', 4)} from prices where symbol not in (select symbol from held)")
 
-    def as_of(spark, d, which="event_id % 7 = 0"):
-        ticks = market.ticks(table(spark, d, "events")).where(which).select("symbol", "ts", "event_id")
+    def as_of(spark, d):
+        ticks = market.ticks(table(spark, d, "events")).select("symbol", "ts", "event_id")
         return rounded(as_of_join(ticks, bars(spark, d).select("symbol", "ts", "close", "volume"), "symbol", "ts", ["close", "volume"]))
 
-    #: Every tick; join_as_of joins one in seven of them.
     as_of_sql = f"with {BARS_SQL} select t.symbol, t.ts, t.event_id, {r('b.close', 'close')}, {r('b.volume', 'volume')} from %s t asof left join bars b on t.symbol = b.symbol and t.ts >= b.ts"
-    reg.add("join_as_of", as_of, f"with {BARS_SQL} select t.symbol, t.ts, t.event_id, {r('b.close', 'close')}, {r('b.volume', 'volume')} from (select * from ticks where event_id % 7 = 0) t asof left join bars b on t.symbol = b.symbol and t.ts >= b.ts")
-    reg.add("join_as_of_all", lambda spark, d: as_of(spark, d, "true"), as_of_sql.replace("%s", "ticks"))
+    reg.add("join_as_of", as_of, f"with {BARS_SQL} select t.symbol, t.ts, t.event_id, {r('b.close', 'close')}, {r('b.volume', 'volume')} from ticks t asof left join bars b on t.symbol = b.symbol and t.ts >= b.ts")
+    reg.add("join_as_of_all", as_of, as_of_sql.replace("%s", "ticks"))
 
     def balances(spark, d):
         a = table(spark, d, "customer").select(F.col("c_nationkey").alias("currency"), F.col("c_acctbal").alias("balance"))
@@ -154,8 +153,8 @@ def register(reg: Registry) -> None:
     def q(spark, d, *names):
         return Query(spark, {n: table(spark, d, n) for n in names})
 
-    reg.add("query_filters", lambda spark, d: q(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").from_table("orders").where("o_totalprice > ?", 100000).where_eq("o_orderstatus", "O").where_in("o_orderpriority", ["1-URGENT", "2-HIGH"]).where_between("o_orderkey", 10, 9000).where_like("o_orderpriority", "%h%").frame(),
-            "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 100000 and o_orderstatus = 'O' and o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderkey between 10 and 9000 and o_orderpriority ilike '%h%'")
+    reg.add("query_filters", lambda spark, d: q(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice").from_table("orders").where("o_totalprice > ?", 100000).where_eq("o_orderstatus", "O").where_in("o_orderpriority", ["1-URGENT", "2-HIGH"]).where_between("o_totalprice", 120000, 480000).where_like("o_orderpriority", "%h%").frame(),
+            "select o_orderkey, o_orderstatus, o_totalprice from orders where o_totalprice > 100000 and o_orderstatus = 'O' and o_orderpriority in ('1-URGENT', '2-HIGH') and o_totalprice between 120000 and 480000 and o_orderpriority ilike '%h%'")
     group = lambda x: x.group_by("n_name").aggregate(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
     reg.add("query_join_group_having_top", lambda spark, d: group(q(spark, d, "customer", "nation").from_table("customer").inner_join("nation", "customer.c_nationkey = nation.n_nationkey").where("c_acctbal > ?", 0)).having("n > ?", 5).order_by_desc("total").order_by_asc("n_name").limit(10).offset(2).frame(),
             "select n_name, count(*) as n, round(sum(c_acctbal), 2) as total from customer join nation on c_nationkey = n_nationkey where c_acctbal > 0 group by n_name having count(*) > 5 order by total desc, n_name limit 10 offset 2")
