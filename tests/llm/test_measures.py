@@ -219,3 +219,21 @@ def test_empty_rows_of_one_id_stay_apart(spark):
     docs = spark.createDataFrame([(1, ""), (1, ""), (2, "one two")], "doc_id long, text string")
     got = store.write_and_verify(docs, end_id=None).collect()
     assert sorted((x.doc_id, x.n_tokens, x.verified) for x in got) == [(1, 0, True), (1, 0, True), (2, 2, True)]
+
+
+def test_packed_sequences_and_shards_can_be_read_back(spark, tmp_path):
+    from tickloom.llm import packing, sharding, tokens
+
+    r = random.Random(6)
+    rows = [(i, " ".join(f"word{r.randrange(99)}" for _ in range(r.randrange(90))), "s") for i in range(80)] + [(None, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    got = packing.sequences(docs, 256).collect()
+    encoder, stream = tokens.Encoder(tokens.default_vocabulary()), Counter()
+    for _, text, _ in rows:
+        stream.update([*encoder.ids(text).tolist(), 1])
+    assert all(x.length == len(x.ids) <= 256 for x in got) and Counter(i for x in got for i in x.ids) == stream
+    sharding.write_shards(docs, f"{tmp_path}/shards", limit=4000)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert Counter(tuple(x) for x in back.select("doc_id", "text", "shard").collect()) == Counter(rows)
+    sizes = back.groupBy("depth", "shard_").agg({"text": "count"}).count()
+    assert sizes > 3

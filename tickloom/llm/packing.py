@@ -90,8 +90,11 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return Plan(*np.array(sorted(rows), dtype=np.int64).reshape(-1, 5).T, made)
 
 
-def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | None, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): what each document is packed as. A document without any id gives no piece."""
+_PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | None, id_col: str, text_col: str, keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, and ids if asked for): what each document is packed as. A document without any id gives no piece."""
 
     def run(batches):
         encoder = Encoder(vocabulary)
@@ -103,22 +106,23 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int | No
                 data = ids.astype("<u4")
                 for piece, at in enumerate(range(0, len(data), capacity)):
                     part = data[at : at + capacity]
-                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes())))
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row = (doc_id, piece, at, len(part), zlib.crc32(part.tobytes()))
+                    rows.append((*row, part.astype(np.int32)) if keep_ids else row)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())][: 5 + keep_ids]
+            columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, _PIECE + (", ids array<int>" if keep_ids else ""))
 
 
-def pack(docs: DataFrame, capacity: int = 4096, end_id: int | None = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece lies; sequences are 0, 1, ... without gaps inside.
+def pack(docs: DataFrame, capacity: int = 4096, end_id: int | None = 1, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): where each piece lies; sequences are 0, 1, ... without gaps inside. With keep_ids each piece's token ids come too.
 
     Null texts count as empty: their end id is packed. Documents over the capacity are cut into full pieces and a rest.
     Repeated rows are packed as often as they come; an empty table gives an empty one; other columns are not looked at.
     """
-    pieces = materialise(cut_pieces(docs, vocabulary or default_vocabulary(), capacity, end_id, id_col, text_col), "pieces")
+    pieces = materialise(cut_pieces(docs, vocabulary or default_vocabulary(), capacity, end_id, id_col, text_col, keep_ids), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # one row a length
     plan = plan_packing(counts, capacity)
     cells = max(1, sum(counts.values()) // RANKED_AT_ONCE)
@@ -127,15 +131,24 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int | None = 1, vocabula
     before = before.select("length", "cell", (F.sum("n").over(Window.partitionBy("length").orderBy("cell")) - F.col("n")).alias("before"))
     in_cell = Window.partitionBy("length", "cell").orderBy("doc_id", "piece", "ids_crc32")
     ranked = dealt.withColumn("in_cell", F.row_number().over(in_cell)).join(before, ["length", "cell"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("in_cell") - 1).alias("rank"))
+    own = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+    ranked = ranked.select(*own, (F.col("before") + F.col("in_cell") - 1).alias("rank"))
 
     def place(batches):
         keys = plan.length * (1 << 48) + plan.rank
         for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (3, 5))
+            length, rank = batch.column(3).to_numpy(), batch.column(len(own)).to_numpy()
             at = np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1
             within = rank - plan.rank[at]
             sequence, offset = plan.sequence[at] + within // plan.each[at], plan.offset[at] + within % plan.each[at] * length
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(sequence), pa.array(offset)], [*own, "sequence_id", "offset"])
+
+    return ranked.mapInArrow(place, _PIECE + (", ids array<int>" if keep_ids else "") + ", sequence_id long, offset long")
+
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+def sequences(docs: DataFrame, capacity: int = 4096, **kw) -> DataFrame:
+    """(sequence_id, length, ids, doc_ids): the packed sequences themselves. A group has at most `capacity` ids."""
+    packed = pack(docs, capacity, keep_ids=True, **kw)
+    held = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id"))).alias("p"))
+    ids = F.flatten(F.transform("p", lambda x: x["ids"]))
+    return held.select("sequence_id", F.size(ids).alias("length"), ids.alias("ids"), F.transform("p", lambda x: x["doc_id"]).alias("doc_ids"))

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 BITS = 60
 #: A round looks so many bits further than it would need if all shards were alike.
@@ -78,6 +78,14 @@ def shard(docs: DataFrame, limit: int = 4 << 20, id_col: str = "doc_id", text_co
     return out
 
 
+def write_shards(docs: DataFrame, path: str, limit: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write docs as Parquet, a folder `depth=.../shard=...` for each shard; a shard goes to one task, which its limit keeps small."""
+    depth, name, key = fresh(docs, "depth", "shard", "shard_key")
+    where = shard(docs, limit, id_col, text_col).select(F.col("key").alias(key), F.col("depth").alias(depth), F.col("shard").alias(name)).distinct()
+    placed = docs.withColumn(key, _key(id_col)).join(where, key).drop(key)
+    placed.repartition(depth, name).write.partitionBy(depth, name).parquet(path)
+
+
 def oracle(limit: int = 4 << 20) -> str:
     """DuckDB SQL for `shard` of documents."""
     return f"""
