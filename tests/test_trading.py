@@ -71,3 +71,17 @@ def test_question_marks_in_quotes_are_text(spark):
     assert rows.where(Query.bind("x < ?", float("inf"))).count() == 2
     with pytest.raises(ValueError):
         Query.bind("x < ?")
+
+
+def test_levels_and_the_best_range():
+    from tickloom.operators import ranges
+
+    t = np.arange(100)
+    wave = 100 + 3 * np.sin(2 * np.pi * t / 20)
+    high, low, volume = wave + 0.1, wave - 0.1, np.ones(100)
+    tops, bottoms = ranges.levels(high, volume), ranges.levels(low, volume, side=-1)
+    assert [x[1] for x in tops] == [5] and tops[0][0] == pytest.approx(103.1, abs=0.01)
+    assert bottoms[0][0] == pytest.approx(96.9, abs=0.01)
+    found = ranges.best_range(high, low, wave, volume)
+    assert found["support"] == pytest.approx(96.9, abs=0.01) and found["resistance"] == pytest.approx(103.1, abs=0.01) and found["quality"] > 80
+    assert ranges.best_range(high * 2 ** (t / 20), low * 2 ** (t / 20), wave, volume) is None
