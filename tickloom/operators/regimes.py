@@ -37,6 +37,19 @@ def technical(f: DataFrame) -> Column:
     return F.when((F.col("fit") > 0.5) & (F.col("momentum_20") > 0.05), "BULL").when((F.col("fit") > 0.5) & (F.col("momentum_20") < -0.05), "BEAR").otherwise("SIDEWAYS")
 
 
+def technical_vote(adx: Column, rsi: Column, macd_signal: Column, bb_position: Column, momentum: Column) -> dict[str, Column]:
+    """Regime and confidence by strength of trend: over 25 by RSI and MACD, under 20 by the place in the bands (0 to 1), between by momentum of 5 %."""
+    strong, flat = adx > 25, adx < 20
+    up, down = (rsi > 60) & (macd_signal > 0), (rsi < 40) & (macd_signal < 0)
+    regime = (
+        F.when(strong, F.when(up, "BULL").when(down, "BEAR").otherwise("VOLATILE")).when(flat, F.when(bb_position > 0.8, "DISTRIBUTION").when(bb_position < 0.2, "ACCUMULATION").otherwise("SIDEWAYS"))
+        .when(adx.isNotNull(), F.when(momentum > 0.05, "BULL").when(momentum < -0.05, "BEAR").otherwise("SIDEWAYS"))
+    )
+    lean = F.when(F.abs(rsi - 50) / 50 * 0.8 > 0.9, 0.9).otherwise(F.abs(rsi - 50) / 50 * 0.8)
+    sure = F.when(strong, F.when(up | down, lean).otherwise(0.7)).when(flat, F.when((bb_position > 0.8) | (bb_position < 0.2), 0.6).otherwise(0.7)).when(adx.isNotNull(), 0.6)
+    return {"technical_regime": regime, "technical_confidence": sure}
+
+
 def volatility_band(volatility: Column) -> Column:
     """LOW under 0.10, NORMAL under 0.20, HIGH under 0.40, else EXTREME."""
     return F.when(volatility < 0.10, "LOW").when(volatility < 0.20, "NORMAL").when(volatility < 0.40, "HIGH").when(volatility.isNotNull(), "EXTREME")

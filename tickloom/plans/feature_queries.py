@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tickloom.operators import features as ft
+from tickloom.operators import regimes
 from tickloom.plans.base import Registry, lag, over, r, rounded
 from tickloom.plans.snapshot_sql import SNAPS_SQL, snaps
 
@@ -99,3 +100,14 @@ def register(reg: Registry) -> None:
     codes = "case asset_type " + " ".join(f"when '{k}' then {v}" for k, v in ft.ASSET_CODES.items()) + " else 0.5 end::double as asset_code"
     reg.add("feat_fallback", lambda spark, d: rounded(ft.fallback(snaps(spark, d))), f"with {SNAPS_SQL} select symbol, ts, {r('price', 'price')}, {r('coalesce(change_pct, 0.0)', 'change_pct')}, {r('volume', 'volume')}, {r('coalesce(rsi, 50.0)', 'rsi')}, {r('coalesce(volatility, 20.0)', 'volatility')}, {codes}, 0.3::double as confidence from snaps")
     reg.add("feat_spectral", lambda spark, d: rounded(ft.spectral(snaps(spark, d))))
+
+    def vote(spark, d):
+        c = F.col
+        s = snaps(spark, d).withColumn("place", F.when(c("bb_upper") > c("bb_lower"), (c("price") - c("bb_lower")) / (c("bb_upper") - c("bb_lower"))))
+        return rounded(s.withColumns(regimes.technical_vote(c("volatility") / 2, c("rsi"), c("macd"), c("place"), c("momentum"))).select("symbol", "ts", "technical_regime", "technical_confidence"))
+
+    place = "case when bb_upper > bb_lower then (price - bb_lower) / (bb_upper - bb_lower) end"
+    reg.add("regime_technical_vote", vote, f"""with {SNAPS_SQL}, v as (select *, volatility / 2 as adx, {place} as place, (rsi > 60 and macd > 0) or (rsi < 40 and macd < 0) as sided from snaps)
+        select symbol, ts, case when adx > 25 then case when rsi > 60 and macd > 0 then 'BULL' when rsi < 40 and macd < 0 then 'BEAR' else 'VOLATILE' end when adx < 20 then case when place > 0.8 then 'DISTRIBUTION' when place < 0.2 then 'ACCUMULATION' else 'SIDEWAYS' end
+            when adx is not null then case when momentum > 0.05 then 'BULL' when momentum < -0.05 then 'BEAR' else 'SIDEWAYS' end end as technical_regime,
+        {r("case when adx > 25 then case when sided then least(0.9, abs(rsi - 50) / 50 * 0.8) else 0.7 end when adx < 20 then case when place > 0.8 or place < 0.2 then 0.6 else 0.7 end when adx is not null then 0.6 end::double", 'technical_confidence')} from v""")

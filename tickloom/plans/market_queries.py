@@ -88,7 +88,9 @@ def register(reg: Registry) -> None:
     reg.add("quality_interpolate", lambda spark, d: rounded(quality.interpolate(dirty(spark, d)).select(cols)), f"{base}, {fill} select {shown} from filled")
     pos = "p as (select symbol, ts, " + ", ".join(f"case when {c} > 0 then {c} end as {c}" for c in quality.PRICES) + ", case when volume < 0 then 0.0 else volume end as volume from dirty)"
     reg.add("quality_correct", lambda spark, d: rounded(quality.correct(dirty(spark, d)).select(cols)), f"{base}, {pos}, c as (select symbol, ts, open, greatest(open, high, low, close) as high, least(open, high, low, close) as low, close, volume from p) select {shown} from c")
-    reg.add("quality_clean", lambda spark, d: rounded(quality.clean(dirty(spark, d)).select(cols)))
+    kept, filled = f"f as (select *, {far} as far from dirty), near as (select * from f where not far)", fill.replace("from dirty)", "from near)")
+    corrected = pos.replace("from dirty)", "from filled)") + ", c as (select symbol, ts, open, greatest(open, high, low, close) as high, least(open, high, low, close) as low, close, volume from p)"
+    reg.add("quality_clean", lambda spark, d: rounded(quality.clean(dirty(spark, d)).select(cols)), f"{base}, {kept}, {filled}, {corrected} select {shown} from c")
     steps, last = [f"a0 as (select * from dirty where open is not null and high is not null and low is not null and close is not null and volume >= 0 and not ({broken}))"], "a0"
     for n, c in enumerate(quality.PRICES, 1):
         steps.append(f"b{n} as (select *, quantile_cont({c}, 0.01) over (partition by symbol) as lo, quantile_cont({c}, 0.99) over (partition by symbol) as hi from {last}), a{n} as (select symbol, ts, open, high, low, close, volume from b{n} where {c} <= 2 * hi and {c} >= 0.5 * lo)")

@@ -16,7 +16,19 @@ def register(reg: Registry) -> None:
     reg.add("stream_sessions", lambda spark, d: rounded(market.sessions(ticks(spark, d), "20 minutes")), f"""with {BARS_SQL}, a as (select *, coalesce((ts - lag(ts) over (partition by symbol order by ts, event_id) > interval 20 minute)::int, 1) as n from ticks), b as (select *, sum(n) over (partition by symbol order by ts, event_id rows unbounded preceding) as g from a)
         select symbol, min(ts) as start, max(ts) + interval 20 minute as "end", count(*) as ticks, {r('sum(volume)', 'volume')} from b group by symbol, g""")
     reg.add("stream_rate_limited", lambda spark, d: market.rate_limited(table(spark, d, "events"), "event_type", "1 hour", 4), "select event_type, date_trunc('hour', ts) as start, count(*) as requests from events group by 1, 2 having count(*) >= 4")
-    reg.add("ledger_positions", lambda spark, d: rounded(market.positions(table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id"), F.concat(F.lit("P"), F.col("l_partkey") % 25).alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"), F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")))))
+    def ledger(spark, d):
+        fills = table(spark, d, "lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("fill_id"), F.concat(F.lit("P"), F.col("l_partkey") % 25).alias("symbol"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("side"),
+            F.col("l_quantity").alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        )
+        return rounded(market.positions(fills).withColumn("ts", F.col("ts").cast("timestamp_ntz")), 6)
+
+    reg.add("ledger_positions", ledger, f"""with recursive f as (select 'P' || (l_partkey % 25) as symbol, l_shipdate as ts, case when l_returnflag = 'R' then -l_quantity else l_quantity end as s, l_extendedprice / l_quantity as price,
+            row_number() over (partition by l_partkey % 25 order by l_shipdate, l_orderkey * 10 + l_linenumber) as n from lineitem),
+        p as (select symbol, ts, n, s as q, price as c, 0.0::double as g from f where n = 1
+            union all select f.symbol, f.ts, f.n, p.q + f.s, case when p.q = 0 or p.q * f.s > 0 then case when p.q + f.s <> 0 then (abs(p.q) * p.c + abs(f.s) * f.price) / abs(p.q + f.s) else 0.0 end when p.q * (p.q + f.s) < 0 then f.price when p.q + f.s <> 0 then p.c else 0.0 end,
+                p.g + case when p.q = 0 or p.q * f.s > 0 then 0.0 else least(abs(p.q), abs(f.s)) * (f.price - p.c) * sign(p.q) end from p join f on f.symbol = p.symbol and f.n = p.n + 1)
+        select symbol, ts, {r('q', 'quantity', 6)}, {r('c', 'mean_cost', 6)}, {r('g', 'realised', 6)} from p""")
 
     def rules(spark, d):
         snaps = sources.snapshots(bars(spark, d)).select("symbol", "ts", "price", "change_pct")

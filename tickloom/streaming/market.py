@@ -79,10 +79,23 @@ def _fold(rows: pd.DataFrame, symbol: str, state: tuple[float, float, float]) ->
     return pd.DataFrame(out, columns=["symbol", "ts", "quantity", "mean_cost", "realised"]), state
 
 
+def _fold_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Fills in order of symbol and time, batch by batch: what is held is one symbol's state, however many fills it has."""
+    symbol, state = None, (0.0, 0.0, 0.0)
+    for batch in batches:
+        out = []
+        for name, ts, side, quantity, price in batch[["symbol", "ts", "side", "quantity", "price"]].itertuples(index=False):
+            if name != symbol:
+                symbol, state = name, (0.0, 0.0, 0.0)
+            state = position_step(state, side, float(quantity), float(price))
+            out.append((name, ts, *state))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "quantity", "mean_cost", "realised"])
+
+
 def positions(fills: DataFrame) -> DataFrame:
-    """The position after each fill (fill_id, symbol, ts, side, quantity, price): state by symbol on a stream, one pass over each symbol's fills on a table."""
+    """The position after each fill (fill_id, symbol, ts, side, quantity, price): state by symbol on a stream, one ordered pass on a table."""
     if not fills.isStreaming:
-        return fills.groupBy("symbol").applyInPandas(lambda g: _fold(g, g["symbol"].iloc[0], (0.0, 0.0, 0.0))[0], POSITION)
+        return fills.repartition("symbol").sortWithinPartitions("symbol", "ts", "fill_id").mapInPandas(_fold_sorted, POSITION)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = tuple(state.get) if state.exists else (0.0, 0.0, 0.0)
