@@ -85,3 +85,13 @@ def test_levels_and_the_best_range():
     found = ranges.best_range(high, low, wave, volume)
     assert found["support"] == pytest.approx(96.9, abs=0.01) and found["resistance"] == pytest.approx(103.1, abs=0.01) and found["quality"] > 80
     assert ranges.best_range(high * 2 ** (t / 20), low * 2 ** (t / 20), wave, volume) is None
+
+
+def test_clusters_by_distance():
+    from tickloom.operators import regimes
+
+    rows = np.array([[0.0, 0], [0.1, 0], [5.0, 5], [0, 0.1]])
+    for name, value in (("exponential", np.exp(-0.1)), ("inverse", 1 / 1.1)):
+        names, sure, centres = regimes.online_clusters(rows, likeness=name)
+        assert names.tolist() == [0, 0, 1, 0] and len(centres) == 2
+        assert sure[1] == pytest.approx(min(1.0, 1.2 * value))

@@ -128,26 +128,34 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, key: str = "vec_i
     return vectors.select(key, best["c"].alias("centroid"), (-best["s"]).alias("similarity"))
 
 
-def online_clusters(rows: np.ndarray, threshold: float = 0.75, rate: float = 0.14, most: int = 12) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _cosine(x: np.ndarray, c: np.ndarray) -> float:
+    norms = np.linalg.norm(x) * np.linalg.norm(c)
+    return float(x @ c / norms) if norms else 0.0
+
+
+#: How like a vector and a centre are: by direction, or by distance, falling off exponentially or as one over it.
+LIKENESS = {"cosine": _cosine, "exponential": lambda x, c: float(np.exp(-np.linalg.norm(x - c))), "inverse": lambda x, c: float(1 / (1 + np.linalg.norm(x - c)))}
+
+
+def online_clusters(rows: np.ndarray, threshold: float = 0.75, rate: float = 0.14, most: int = 12, likeness: str = "cosine") -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Cluster and confidence of each vector in order, and the last centroids.
 
-    A vector joins the most similar cluster if the cosine is over the threshold, and draws its centre by `rate`. Else it starts one, up to
-    `most`; beyond, it joins the nearest at 0.7 of the confidence, which is min(1, 1.2 cosine).
+    A vector joins the most similar cluster if the likeness is over the threshold, and draws its centre by `rate`. Else it starts one, up to
+    `most`; beyond, it joins the nearest at 0.7 of the confidence, which is min(1, 1.2 times the likeness).
     """
     centres: list[np.ndarray] = []
     names, sure = np.empty(len(rows), np.int64), np.empty(len(rows))
     for i, x in enumerate(rows):
-        norm = np.linalg.norm(x)
-        likeness = [float(x @ c / (norm * np.linalg.norm(c))) if norm and np.linalg.norm(c) else 0.0 for c in centres]
-        k = int(np.argmax(likeness)) if likeness else -1
-        if k >= 0 and likeness[k] > threshold:
+        near = [LIKENESS[likeness](x, c) for c in centres]
+        k = int(np.argmax(near)) if near else -1
+        if k >= 0 and near[k] > threshold:
             centres[k] = (1 - rate) * centres[k] + rate * x
-            names[i], sure[i] = k, min(1.0, 1.2 * likeness[k])
+            names[i], sure[i] = k, min(1.0, 1.2 * near[k])
         elif len(centres) < most:
             centres.append(x.astype(float))
             names[i], sure[i] = len(centres) - 1, 0.8
         else:
-            names[i], sure[i] = k, 0.7 * min(1.0, 1.2 * max(likeness[k], 0.0))
+            names[i], sure[i] = k, 0.7 * min(1.0, 1.2 * max(near[k], 0.0))
     return names, sure, centres
 
 
