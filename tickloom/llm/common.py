@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -44,11 +45,17 @@ def give_memory_back() -> None:
         pass  # another C library: only memory differs
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def let_go(spark: SparkSession) -> None:
+    """Have shuffle files of plans that nothing refers to any more deleted now: Spark does so when the driver's memory is collected, which a driver with little to do puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

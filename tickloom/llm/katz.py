@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_memory_back, materialise
+from .common import give_memory_back, let_go, materialise
 
 DISCOUNTED = 5
 NOVEL = 0.1
@@ -278,11 +278,11 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
             columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
             for kind, key, block, data in score_part(columns, np.repeat(np.arange(len(blocks), dtype=np.int64), counts), blocks):
                 if kind == "row":
-                    rows.setdefault(block, []).append(data)
+                    rows[block] = _added([rows[block], data]) if block in rows else data
                 else:
                     out.append((kind, key, block, data))
             del columns
-        out += [("row", block, block, pickle.dumps(_added(parts_), protocol=5)) for block, parts_ in rows.items()]
+        out += [("row", block, block, pickle.dumps(sums, protocol=5)) for block, sums in rows.items()]
         return pa.Table.from_batches([_send(out)])
 
     def score_part(columns, pair_block, blocks):
@@ -443,7 +443,8 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     uni = summarise(materialise(count_words(rows, folds, fold, block_tokens), "words"), dictionary, hot_words)
     parts = max(4, -(-uni.tokens // part_tokens))
-    found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold, block_tokens), uni, parts), "pairs")
+    found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold, block_tokens), uni, parts), "pairs", "zstd")
+    let_go(docs.sparkSession)
     of_kind = lambda *kinds: found.where(F.col("kind").isin(*kinds))
     tallies = [pickle.loads(r[0]) for r in of_kind("tally").select("data").collect()]  # a few numbers a part
     d = discounts([sum(x) for x in zip(*tallies, strict=True)] or [0] * (DISCOUNTED + 1))
@@ -451,7 +452,7 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     for r in of_kind("hot").select("data").toLocalIterator():  # at most hot_words squared pairs in all
         pairs, counts = pickle.loads(r[0])
         pair_counts[pairs] = counts
-    answers = materialise(weigh_contexts(of_kind("context", "ask_context"), uni, d), "weights")
+    answers = materialise(weigh_contexts(of_kind("context", "ask_context"), uni, d), "weights", "zstd")
     weights = np.zeros(len(uni.keys))
     for r in answers.where("kind = 'weight'").select("data").toLocalIterator():  # at most `dictionary` in all
         ranks, values = pickle.loads(r[0])
