@@ -66,7 +66,7 @@ def write_store(docs: DataFrame, path: str, end_id: int | None = 2, vocabulary:
     """Encode whole texts (null: empty) and write `path`/chunks and `path`/recipes.
 
     Texts are encoded once, into a staging folder that goes in the end; of the chunks that tasks send, sorted by digest, each is
-    written once. Documents start in ascending id, null ids last, equal ids by their content's root. The ids must fit `width` bytes.
+    written once. Documents start in ascending id, null ids last, equal ids by their chunks' digests. The ids must fit `width` bytes.
     """
     spark, kind, vocabulary = docs.sparkSession, np.dtype(f"<u{width}"), vocabulary or default_vocabulary()
 
@@ -123,9 +123,9 @@ def write_store(docs: DataFrame, path: str, end_id: int | None = 2, vocabulary:
     def root(digests):
         return digests.map(merkle_root)
 
-    recipes = staged.where("not is_chunk").select("doc_id", "n_tokens", F.col("digests").alias("chunks"), root("digests").alias("root"))
-    placed = running_total(recipes, "doc_id", "n_tokens", "start", ["root"])
-    placed.select("doc_id", "start", "n_tokens", "chunks", "root").write.parquet(f"{path}/recipes")
+    recipes = staged.where("not is_chunk").select("doc_id", "n_tokens", F.col("digests").alias("chunks"))
+    placed = running_total(recipes, "doc_id", "n_tokens", "start", ["chunks"])
+    placed.select("doc_id", "start", "n_tokens", "chunks", root("chunks").alias("root")).write.parquet(f"{path}/recipes")
     drop_path(spark, staging)
 
 
