@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, fertility, katz, merkle, mixing, packing, pii, sharding, simhash, store
+from . import bytecnn, fertility, katz, merkle, mixing, packing, pii, repeats, sharding, simhash, store
 from .common import spread
 
 
@@ -68,6 +68,11 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, net, threshold=0.3)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document: strings of 50 bytes that a document with a smaller id has too are removed."""
+    return repeats.digest(repeats.remove_repeats(documents(spark, sf_dir), length=50))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -87,9 +92,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_content_store": op8_content_store,
         "op9_systematic_mix": op9_systematic_mix,
         "op10_byte_cnn": op10_byte_cnn,
+        "op12_suffix_dedup": op12_suffix_dedup,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_shards": sharding.oracle(4 << 20), "op9_systematic_mix": mixing.oracle(42)}
+    return {"op5_extendible_shards": sharding.oracle(4 << 20), "op9_systematic_mix": mixing.oracle(42), "op12_suffix_dedup": repeats.oracle(50)}
