@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytecnn, fertility, katz, merkle, mixing, packing, pii, repeats, sharding, simhash, store
+from . import bytecnn, clusters, codes, fertility, katz, merkle, mixing, packing, pii, repeats, sharding, simhash, store
 from .common import spread
 
 
@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str, python: bool = True) -> DataFram
     return spread(docs) if python else docs
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table, on all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id, fp_copies for every document: radius 2, shingles of 3 words."""
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, radius=2, seed=42)
@@ -68,11 +73,21 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.score(docs, net, threshold=0.3)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256 for every whole vector: 8 parts, 16 entries each, 6 rounds."""
+    return codes.digest(*codes.compress(embeddings(spark, sf_dir), parts=8, entries=16, many=6, scale=4096))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document: strings of 50 bytes that a document with a smaller id has too are removed."""
     return repeats.digest(repeats.remove_repeats(documents(spark, sf_dir), length=50))
 
 
+def op13_exponion_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, cluster, distance, cluster_inertia, inertia, centroid_sha256 for every vector of 64 components: 16 centroids, 3 rounds."""
+    return clusters.digest(*clusters.cluster(embeddings(spark, sf_dir), centroids=16, many=3, scale=64, dims=64))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -92,10 +107,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_content_store": op8_content_store,
         "op9_systematic_mix": op9_systematic_mix,
         "op10_byte_cnn": op10_byte_cnn,
+        "op11_vector_codes": op11_vector_codes,
         "op12_suffix_dedup": op12_suffix_dedup,
+        "op13_exponion_clusters": op13_exponion_clusters,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_shards": sharding.oracle(4 << 20), "op9_systematic_mix": mixing.oracle(42), "op12_suffix_dedup": repeats.oracle(50)}
+    return {
+        "op5_extendible_shards": sharding.oracle(4 << 20),
+        "op9_systematic_mix": mixing.oracle(42),
+        "op11_vector_codes": codes.oracle(),
+        "op12_suffix_dedup": repeats.oracle(50),
+        "op13_exponion_clusters": clusters.oracle(),
+    }
