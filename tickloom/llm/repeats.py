@@ -2,19 +2,21 @@
 
 A string of `length` bytes belongs to the shard that its least hash of a short substring names, so that equal strings meet in one
 shard whatever documents they stand in. A text falls into runs of consecutive strings with one such hash. Runs whose hash no
-other document has cannot repeat and stay where they are; the others are sent once for each different run, with the least id that
-has it. Each shard's runs make one text: its suffix array comes by induced sorting, strings that agree in `length` bytes stand
-together in it by their permuted common prefixes, and the least id of each such group is the answer for all its members.
+other document has cannot repeat; where all runs with a hash are copies of one, its first document is known. All others, parts of passages that begin, end or
+change there, are sent to their shard, once for each different run and with the least id that has it. Each shard's runs make one text: its suffix array comes by induced sorting, strings that agree in
+`length` bytes stand together in it by their permuted common prefixes, and the least id of each such group is the answer for all its members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .suffixes import permuted_prefixes, suffix_array
 #: Order of rows without an id: after all ids.
 LAST = (1 << 63) - 1
 #: Bytes of runs in a shard, and of runs that share a hash before another hash parts them.
-SHARD, HEAVY = 3 << 20, 1 << 20
+SHARD, HEAVY = 1 << 20, 1 << 19
 #: How often runs that share hashes are parted by a further one.
 SPLITS = 4
 #: Bytes of text that a task hashes at a time.
@@ -45,16 +47,26 @@ def freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
-def least_hashes(text: np.ndarray, length: int, salt: int = 0) -> np.ndarray:
-    """For each string of `length` bytes of a text, the least hash of its substrings of a third of that."""
-    width = max(1, length // 3)
-    if len(text) < length:
-        return np.zeros(0, dtype=np.uint64)
-    pieces = [_least(text[at : at + PIECE + length - 1], length, width, salt) for at in range(0, len(text) - length + 1, PIECE)]
-    return pieces[0] if len(pieces) == 1 else np.concatenate(pieces)
+def runs_of(text: bytes | None, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, hash, digest) of the runs of a text: `strings` consecutive strings from `start` on share the hash, the least of their substrings of half the length; equal runs have equal digests."""
+    data = np.frombuffer(text or b"", dtype=np.uint8)
+    found = [_runs(data[at : at + PIECE + length - 1], at, length, salt) for at in range(0, len(data) - length + 1, PIECE)]
+    if not found:
+        return (np.zeros(0, np.int64),) * 4
+    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _least(text: np.ndarray, length: int, width: int, salt: int) -> np.ndarray:
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Random values of bytes, powers of an odd number, and of its inverse modulo 2**64."""
+    odd = MULTIPLIERS[1]
+    values = np.random.default_rng(1).integers(0, 1 << 63, 256, dtype=np.uint64)
+    many = PIECE + 1000
+    return values, *(np.concatenate(([np.uint64(1)], np.cumprod(np.full(many, x, dtype=np.uint64)))) for x in (np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64))))
+
+
+def _runs(text: np.ndarray, at: int, length: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    width = max(1, length // 2)
     with np.errstate(over="ignore"):
         power, part, size, out, have = np.uint64(MULTIPLIERS[salt]), text.astype(np.uint64) + np.uint64(1 + salt), 1, None, 0
         left = width
@@ -68,71 +80,84 @@ def _least(text: np.ndarray, length: int, width: int, salt: int) -> np.ndarray:
                 part, power, size = part[:n] * power + part[size : size + n], power * power, size * 2
         out = (out ^ (out >> np.uint64(32))) * np.uint64(MULTIPLIERS[1])
         out ^= out >> np.uint64(29)
-    many, size = length - width + 1, 1
-    while size * 2 <= many:
-        out = np.minimum(out[:-size], out[size:])
-        size *= 2
-    return np.minimum(out[: len(out) - (many - size)], out[many - size :]) if many > size else out
-
-
-def runs_of(text: bytes | None, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, strings, hash) of the runs of a text: `strings` consecutive strings from `start` on share the hash."""
-    least = least_hashes(np.frombuffer(text or b"", dtype=np.uint8), length, salt)
-    if not len(least):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    start = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
-    return start, np.diff(np.append(start, len(least))), least[start].view(np.int64)
-
-
-def _array(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    ends = np.concatenate(([0], np.cumsum([len(x) for x in rows])))
-    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(rows) if rows else np.zeros(0), kind)).cast(pa.list_(kind))
+        many, size = length - width + 1, 1
+        while size * 2 <= many:
+            out = np.minimum(out[:-size], out[size:])
+            size *= 2
+        if many > size:
+            out = np.minimum(out[: len(out) - (many - size)], out[many - size :])
+        start = np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))
+        strings = np.diff(np.append(start, len(out)))
+        values, up, down = _powers()
+        total = np.concatenate(([np.uint64(0)], np.cumsum(values[text] * up[: len(text)])))
+        digest = (total[start + strings + length - 1] - total[start]) * down[start] + strings.astype(np.uint64)
+        digest = (digest ^ (digest >> np.uint64(31))) * np.uint64(MULTIPLIERS[2])
+    return start + at, strings, out[start].view(np.int64), digest.view(np.int64)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Some texts at a time: their hashes are what takes memory."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(sizes):
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 4 * PIECE, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _hashes(length: int, digests: bool):
+    """(d, h, g) of the runs of texts, or (d, k1, k2, h)."""
+    names = ["d", "h", "g"] if digests else ["d", "k1", "k2", "h"]
 
-
-def _hashes(length: int):
     def run(batches):
-        for batch in batches:
-            texts, at = batch.column("text"), 0
-            while at < len(texts):  # some texts at a time: their hashes are what takes memory
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < 8 * PIECE):
-                    size += len(texts[upto].as_buffer() or b"") if texts[upto].is_valid else 0
-                    upto += 1
-                found = [np.unique(runs_of(t.as_py(), length)[2]) for t in texts[at:upto]]
-                rest = [batch.column(c)[at:upto] for c in ("d", "k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*rest, _array(found, pa.int64())], names=["d", "k1", "k2", "h"])
-                at = upto
+        for part in (p for batch in batches for p in _slices(batch)):
+            found = [runs_of(t.as_py(), length) for t in part.column("text")]
+            counts = [len(f[0]) for f in found]
+            columns = {c: np.repeat(part.column(c).to_numpy(), counts) for c in names if c in part.schema.names}
+            columns |= {"h": np.concatenate([f[2] for f in found]), "g": np.concatenate([f[3] for f in found])}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names=names)
 
     return run
 
 
+_CUT = "d long, k1 long, k2 long, start long, end long, route long, run binary"
+
+
 def _cut(length: int):
-    """Runs of texts whose hash other documents have too."""
+    """Of each text: the spans that copies of runs with an earlier id cover (no run), and the runs that have to be compared."""
 
     def run(batches):
-        for batch in batches:
-            out, size = [], 0
-            for i in range(batch.num_rows):
-                text, wanted = batch.column("text")[i].as_py(), batch.column("wanted")[i].values.to_numpy(zero_copy_only=False)
-                start, strings, hashes = runs_of(text, length)
-                keep = np.isin(hashes, wanted)
-                ids = [batch.column(c)[i].as_py() for c in ("d", "k1", "k2")]
-                for s, n, h in zip(start[keep].tolist(), strings[keep].tolist(), hashes[keep].tolist(), strict=True):
-                    piece = text[s : s + n + length - 1]
-                    out.append((*ids, s, h, piece))
-                    size += len(piece) + 100
-                    if size > 8 << 20:
-                        yield _batch(out)
-                        out, size = [], 0
-            if out:
-                yield _batch(out)
+        for part in (p for batch in batches for p in _slices(batch)):
+            texts, covered, asked = (part.column(c) for c in ("text", "covered", "asked"))
+            ids = [part.column(c).to_numpy() for c in ("d", "k1", "k2")]
+            rows, starts, ends, routes, pieces = [], [], [], [], []
+            for i in range(part.num_rows):
+                text = texts[i].as_py()
+                start, strings, hashes, _ = runs_of(text, length)
+                end = start + strings + length - 1
+                whole = np.isin(hashes, covered[i].values.to_numpy(zero_copy_only=False))
+                a, b = merged(start[whole], end[whole])
+                send = np.isin(hashes, asked[i].values.to_numpy(zero_copy_only=False))
+                starts += [a, start[send]]
+                ends += [b, end[send]]
+                routes += [np.zeros(len(a), np.int64), hashes[send]]
+                rows.append(np.full(len(a) + int(send.sum()), i))
+                pieces += [None] * len(a) + [text[x:y] for x, y in zip(start[send].tolist(), end[send].tolist(), strict=True)]
+            rows = np.concatenate(rows)
+            columns = [*(pa.array(x[rows]) for x in ids), *(pa.array(np.concatenate(x)) for x in (starts, ends, routes)), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "k1", "k2", "start", "end", "route", "run"])
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"d": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "start": pa.int64(), "route": pa.int64(), "run": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
+def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans as the maximal ones that they cover, ascending."""
+    if not len(start):
+        return start, end
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.maximum.accumulate(end[order])
+    head = np.concatenate(([True], start[1:] > end[:-1]))
+    return start[head], end[np.append(np.flatnonzero(head)[1:] - 1, len(end) - 1)]
 
 
 def _part(length: int, salt: int):
@@ -142,7 +167,7 @@ def _part(length: int, salt: int):
         for batch in batches:
             out = []
             for run_, digest, least, at in zip(*(batch.column(c).to_pylist() for c in ("run", "digest", "least", "at")), strict=True):
-                for s, n, h in zip(*(x.tolist() for x in runs_of(run_, length, salt)), strict=True):
+                for s, n, h in zip(*(x.tolist() for x in runs_of(run_, length, salt)[:3]), strict=True):
                     out.append((digest, least, at + s, h, run_[s : s + n + length - 1]))
             if out:
                 columns = list(zip(*out, strict=True))
@@ -199,51 +224,46 @@ def _sort_shard(length: int):
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
     """(d, k1, k2, spans) for rows (d, k1, k2, text binary): spans, in no order and overlapping, whose strings of `length` bytes also start in a row with a smaller d."""
-    spark = docs.sparkSession
-    hashed = docs.mapInArrow(_hashes(length), "d long, k1 long, k2 long, h array<long>").select("d", "k1", "k2", F.explode("h").alias("h"))
+    spark, key = docs.sparkSession, ["d", "k1", "k2"]
     with freed(spark):
-        known = scratch.write(hashed.groupBy("h").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a < b").select("h"), "shared")
-        wanted = scratch.write(hashed.join(known, "h", "left_semi").groupBy("d", "k1", "k2").agg(F.collect_set("h").alias("wanted")), "wanted")
-        cut = docs.join(wanted, ["d", "k1", "k2"]).mapInArrow(_cut(length), "d long, k1 long, k2 long, start long, route long, run binary")
-        cut = scratch.write(cut.withColumn("digest", F.unhex(F.md5("run"))), "runs")
-        once = scratch.write(cut.groupBy("run", "digest", "route").agg(F.min("d").alias("least")).select("digest", "least", F.lit(0).cast("long").alias("at"), "route", "run"), "once")
+        known = docs.select("d", "text").mapInArrow(_hashes(length, True), "d long, h long, g long").groupBy("h").agg(F.min("d").alias("low"), (F.min("g") == F.max("g")).alias("alike"), F.max("d").alias("high"))
+        known = scratch.write(known.where("low < high").select("h", "low", "alike"), "shared")
+        hashes = docs.mapInArrow(_hashes(length, False), "d long, k1 long, k2 long, h long").join(known, "h").where("not alike or low < d")
+        wanted = scratch.write(hashes.groupBy(*key).agg(F.collect_set(F.when(F.col("alike"), F.col("h"))).alias("covered"), F.collect_set(F.when(~F.col("alike"), F.col("h"))).alias("asked")), "wanted")
+        cut = scratch.write(docs.join(wanted, key).select(*key, "text", "covered", "asked").mapInArrow(_cut(length), _CUT).withColumn("digest", F.unhex(F.md5("run"))), "runs")
+        runs = cut.where("run is not null")
+        once = runs.groupBy("run", "digest", "route").agg(F.min("d").alias("least"))
+        once = scratch.write(once.select("digest", "least", F.lit(0).cast("long").alias("at"), "route", "run"), "once")
         for salt in range(1, SPLITS + 1):
-            heavy = once.groupBy("route").agg(F.sum(F.octet_length("run")).alias("bytes")).where(F.col("bytes") > HEAVY).select("route")
-            heavy = scratch.write(heavy, "heavy")
+            heavy = scratch.write(once.groupBy("route").agg(F.sum(F.octet_length("run")).alias("bytes")).where(F.col("bytes") > HEAVY).select("route"), "heavy")
             if heavy.isEmpty():
                 break
             parted = once.join(heavy, "route", "left_semi").select(*once.columns).mapInArrow(_part(length, salt), once.schema)
             once = scratch.write(once.join(heavy, "route", "left_anti").select(*once.columns).unionByName(parted), "once")
         size = once.agg(F.sum(F.octet_length("run"))).first()[0] or 0
-        shards = max(1, -(-size // SHARD), min(4 * spark.sparkContext.defaultParallelism, -(-size // (SHARD // 12))))
+        shards = max(1, -(-size // SHARD), min(4 * spark.sparkContext.defaultParallelism, -(-size // (SHARD // 4))))
         found = once.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards))).groupBy("shard").applyInPandas(_sort_shard(length), _FOUND)
         found = scratch.write(found, "found")
-        places = cut.select("d", "k1", "k2", "start", "digest").join(found, "digest").where("earliest < d")
-        spans = places.groupBy("d", "k1", "k2").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("upto") + length - 1).alias("end"))).alias("spans"))
-        return scratch.write(spans, "spans")
+        placed = runs.select(*key, "start", "digest").join(found, "digest").where("earliest < d")
+        spans = placed.select(*key, (F.col("start") + F.col("first")).alias("start"), (F.col("start") + F.col("upto") + length - 1).alias("end"))
+        spans = spans.unionByName(cut.where("run is null").select(*key, "start", "end"))
+        return scratch.write(spans.groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 
 def _remove(batches):
     for batch in batches:
         spans, kept = [], []
         for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
-            text = text.as_py() or b""
+            text = text.as_py()
             if not found.is_valid:
                 spans.append([])
                 kept.append(text)
                 continue
-            pairs = found.values
-            start, end = (pairs.field(k).to_numpy() for k in (0, 1))
-            order = np.argsort(start, kind="stable")
-            start, end = start[order], np.maximum.accumulate(end[order])
-            head = np.concatenate(([True], start[1:] > end[:-1]))
-            start, end = start[head], end[np.append(np.flatnonzero(head)[1:] - 1, len(end) - 1)]
-            spans.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)])
-            kept.append(b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)))
-        rest = [batch.column(c) for c in batch.schema.names if c not in ("text", "found")]
-        names = [c for c in batch.schema.names if c not in ("text", "found")]
-        both = [pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*rest, *both], names=[*names, "spans", "kept"])
+            start, end = (x.tolist() for x in merged(*(found.values.field(k).to_numpy() for k in (0, 1))))
+            spans.append([{"start": a, "end": b} for a, b in zip(start, end, strict=True)])
+            kept.append(b"".join(text[a:b] for a, b in zip([0, *end], [*start, len(text)], strict=True)))
+        columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

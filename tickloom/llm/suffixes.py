@@ -112,6 +112,25 @@ def agreeing(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -
     return out
 
 
+#: Texts up to this length end the recursion.
+SHORT = 1 << 17
+
+
+def _doubled(text: np.ndarray) -> np.ndarray:
+    """The suffixes in order by ranks of prefixes that double in length: the end of the recursion."""
+    n, rank, reach = len(text), text.astype(np.int64), 1
+    while True:
+        behind = np.zeros(n, dtype=np.int64)
+        behind[: max(0, n - reach)] = rank[reach:] + 1
+        key = rank * (int(rank.max()) + 2) + behind
+        sa = np.argsort(key, kind="stable")
+        rank = np.empty(n, dtype=np.int64)
+        rank[sa] = np.cumsum(np.concatenate(([False], key[sa[1:]] != key[sa[:-1]])))
+        if rank[sa[-1]] == n - 1:
+            return sa.astype(np.int32)
+        reach *= 2
+
+
 def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
     """The suffixes of a text of integers from 0 to symbols - 1 in order; the last is 0 and no other is."""
     n = len(text)
@@ -142,7 +161,7 @@ def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
         else:
             reduced = np.empty(len(places), dtype=np.int32)
             reduced[number[found]] = names
-            places = places[suffix_array(reduced, total)]
+            places = places[_doubled(reduced) if len(reduced) <= SHORT else suffix_array(reduced, total)]
     return _sort(text, start, smaller, run, places)
 
 
