@@ -35,25 +35,80 @@ PIECE = 1 << 20
 MULTIPLIERS = (0x100000001B3, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
+#: Queries run inside let Spark delete their shuffle files as they end, and join by hash tables where each partition's measured size allows it.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m"}
+
+
 @contextmanager
-def freed(spark: SparkSession) -> Iterator[None]:
-    """Queries run inside let Spark delete their shuffle files as they end."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def configured(spark: SparkSession) -> Iterator[None]:
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    for name, value in SETTINGS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
-def runs_of(text: bytes | None, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, strings, hash, digest) of the runs of a text: `strings` consecutive strings from `start` on share the hash, the least of their substrings of half the length; equal runs have equal digests."""
-    data = np.frombuffer(text or b"", dtype=np.uint8)
-    found = [_runs(data[at : at + PIECE + length - 1], at, length, salt) for at in range(0, len(data) - length + 1, PIECE)]
-    if not found:
-        return (np.zeros(0, np.int64),) * 4
-    return found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def runs_of(text: bytes | None, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, strings, hash) of the runs of a text: `strings` consecutive strings from `start` on share the hash, the least of their substrings of half the length."""
+    return next(iter(runs_of_many([text], length, salt)))[:3]
+
+
+def runs_of_many(texts: list[bytes | None], length: int, salt: int = 0, digests: bool = False) -> Iterator[tuple[np.ndarray, ...]]:
+    """(start, strings, hash, digest) of the runs of each text; equal runs have equal digests (None unless asked for). Short texts are hashed together."""
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        text = text or b""
+        if held and size + len(text) > PIECE // 4:
+            yield from _together(held, length, salt, digests)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+        if size > PIECE:
+            yield from _long(held.pop(), length, salt, digests)  # it is alone
+            size = 0
+    yield from _together(held, length, salt, digests)
+
+
+def _long(text: bytes, length: int, salt: int, digests: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """A text in pieces that overlap by a string; a run that a piece ends is two."""
+    parts = [next(_together([text[at : at + PIECE + length - 1]], length, salt, digests)) for at in range(0, len(text) - length + 1, PIECE)]
+    starts = [p[0] + k * PIECE for k, p in enumerate(parts)]
+    yield (np.concatenate(starts), *(np.concatenate([p[i] for p in parts]) for i in (1, 2)), np.concatenate([p[3] for p in parts]) if digests else None)
+
+
+def _together(texts: list[bytes], length: int, salt: int, digests: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    if not texts:
+        return
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if len(data) < length:
+        none = np.zeros(0, np.int64)
+        yield from ((none, none, none, none if digests else None) for _ in texts)
+        return
+    least = _least(data, length, salt)
+    new = np.concatenate(([True], least[1:] != least[:-1]))
+    new[(ends - sizes)[ends - sizes < len(new)]] = True
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(least))
+    who = np.searchsorted(ends, start, side="right")
+    strings = np.minimum(stop, ends[who] - length + 1) - start
+    whole = strings > 0
+    start, strings, who = start[whole], strings[whole], who[whole]
+    hashes, digest = least[start].view(np.int64), None
+    if digests:
+        with np.errstate(over="ignore"):
+            values, up, down = _powers()
+            total = np.concatenate(([np.uint64(0)], np.cumsum(values[data] * up[: len(data)])))
+            digest = (total[start + strings + length - 1] - total[start]) * down[start] + strings.astype(np.uint64)
+            digest = ((digest ^ (digest >> np.uint64(31))) * np.uint64(MULTIPLIERS[2])).view(np.int64)
+    edges = np.searchsorted(who, np.arange(len(texts) + 1))
+    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+        yield start[a:b] - (ends[i] - sizes[i]), strings[a:b], hashes[a:b], digest[a:b] if digests else None
 
 
 @cache
@@ -65,7 +120,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return values, *(np.concatenate(([np.uint64(1)], np.cumprod(np.full(many, x, dtype=np.uint64)))) for x in (np.uint64(odd), np.uint64(pow(odd, -1, 1 << 64))))
 
 
-def _runs(text: np.ndarray, at: int, length: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _least(text: np.ndarray, length: int, salt: int) -> np.ndarray:
+    """For each string of `length` bytes of a text, the least hash of its substrings of half that."""
     width = max(1, length // 2)
     with np.errstate(over="ignore"):
         power, part, size, out, have = np.uint64(MULTIPLIERS[salt]), text.astype(np.uint64) + np.uint64(1 + salt), 1, None, 0
@@ -80,19 +136,18 @@ def _runs(text: np.ndarray, at: int, length: int, salt: int) -> tuple[np.ndarray
                 part, power, size = part[:n] * power + part[size : size + n], power * power, size * 2
         out = (out ^ (out >> np.uint64(32))) * np.uint64(MULTIPLIERS[1])
         out ^= out >> np.uint64(29)
-        many, size = length - width + 1, 1
-        while size * 2 <= many:
-            out = np.minimum(out[:-size], out[size:])
-            size *= 2
-        if many > size:
-            out = np.minimum(out[: len(out) - (many - size)], out[many - size :])
-        start = np.flatnonzero(np.concatenate(([True], out[1:] != out[:-1])))
-        strings = np.diff(np.append(start, len(out)))
-        values, up, down = _powers()
-        total = np.concatenate(([np.uint64(0)], np.cumsum(values[text] * up[: len(text)])))
-        digest = (total[start + strings + length - 1] - total[start]) * down[start] + strings.astype(np.uint64)
-        digest = (digest ^ (digest >> np.uint64(31))) * np.uint64(MULTIPLIERS[2])
-    return start + at, strings, out[start].view(np.int64), digest.view(np.int64)
+    many, size = length - width + 1, 1
+    while size * 2 <= many:
+        out = np.minimum(out[:-size], out[size:])
+        size *= 2
+    return np.minimum(out[: len(out) - (many - size)], out[many - size :]) if many > size else out
+
+
+def _in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    known = np.sort(known)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -106,15 +161,17 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 
 def _hashes(length: int, digests: bool):
-    """(d, h, g) of the runs of texts, or (d, k1, k2, h)."""
-    names = ["d", "h", "g"] if digests else ["d", "k1", "k2", "h"]
+    """(d, h, g) of the runs of texts, or (d, k1, h)."""
+    names = ["d", "h", "g"] if digests else ["d", "k1", "h"]
 
     def run(batches):
         for part in (p for batch in batches for p in _slices(batch)):
-            found = [runs_of(t.as_py(), length) for t in part.column("text")]
+            found = list(runs_of_many(part.column("text").to_pylist(), length, digests=digests))
             counts = [len(f[0]) for f in found]
             columns = {c: np.repeat(part.column(c).to_numpy(), counts) for c in names if c in part.schema.names}
-            columns |= {"h": np.concatenate([f[2] for f in found]), "g": np.concatenate([f[3] for f in found])}
+            columns["h"] = np.concatenate([f[2] for f in found])
+            if digests:
+                columns["g"] = np.concatenate([f[3] for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(columns[c]) for c in names], names=names)
 
     return run
@@ -131,13 +188,12 @@ def _cut(length: int):
             texts, covered, asked = (part.column(c) for c in ("text", "covered", "asked"))
             ids = [part.column(c).to_numpy() for c in ("d", "k1", "k2")]
             rows, starts, ends, routes, pieces = [], [], [], [], []
-            for i in range(part.num_rows):
-                text = texts[i].as_py()
-                start, strings, hashes, _ = runs_of(text, length)
-                end = start + strings + length - 1
-                whole = np.isin(hashes, covered[i].values.to_numpy(zero_copy_only=False))
+            bodies = texts.to_pylist()
+            for i, (start, strings, hashes, _) in enumerate(runs_of_many(bodies, length)):
+                text, end = bodies[i], start + strings + length - 1
+                whole = _in(hashes, covered[i].values.to_numpy(zero_copy_only=False))
                 a, b = merged(start[whole], end[whole])
-                send = np.isin(hashes, asked[i].values.to_numpy(zero_copy_only=False))
+                send = _in(hashes, asked[i].values.to_numpy(zero_copy_only=False))
                 starts += [a, start[send]]
                 ends += [b, end[send]]
                 routes += [np.zeros(len(a), np.int64), hashes[send]]
@@ -167,7 +223,7 @@ def _part(length: int, salt: int):
         for batch in batches:
             out = []
             for run_, digest, least, at in zip(*(batch.column(c).to_pylist() for c in ("run", "digest", "least", "at")), strict=True):
-                for s, n, h in zip(*(x.tolist() for x in runs_of(run_, length, salt)[:3]), strict=True):
+                for s, n, h in zip(*(x.tolist() for x in runs_of(run_, length, salt)), strict=True):
                     out.append((digest, least, at + s, h, run_[s : s + n + length - 1]))
             if out:
                 columns = list(zip(*out, strict=True))
@@ -225,12 +281,12 @@ def _sort_shard(length: int):
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataFrame:
     """(d, k1, k2, spans) for rows (d, k1, k2, text binary): spans, in no order and overlapping, whose strings of `length` bytes also start in a row with a smaller d."""
     spark, key = docs.sparkSession, ["d", "k1", "k2"]
-    with freed(spark):
+    with configured(spark):
         known = docs.select("d", "text").mapInArrow(_hashes(length, True), "d long, h long, g long").groupBy("h").agg(F.min("d").alias("low"), (F.min("g") == F.max("g")).alias("alike"), F.max("d").alias("high"))
         known = scratch.write(known.where("low < high").select("h", "low", "alike"), "shared")
-        hashes = docs.mapInArrow(_hashes(length, False), "d long, k1 long, k2 long, h long").join(known, "h").where("not alike or low < d")
-        wanted = scratch.write(hashes.groupBy(*key).agg(F.collect_set(F.when(F.col("alike"), F.col("h"))).alias("covered"), F.collect_set(F.when(~F.col("alike"), F.col("h"))).alias("asked")), "wanted")
-        cut = scratch.write(docs.join(wanted, key).select(*key, "text", "covered", "asked").mapInArrow(_cut(length), _CUT).withColumn("digest", F.unhex(F.md5("run"))), "runs")
+        hashes = docs.select("d", "k1", "text").mapInArrow(_hashes(length, False), "d long, k1 long, h long").join(known, "h").where("not alike or low < d")
+        wanted = scratch.write(hashes.groupBy("d", "k1").agg(F.collect_set(F.when(F.col("alike"), F.col("h"))).alias("covered"), F.collect_set(F.when(~F.col("alike"), F.col("h"))).alias("asked")), "wanted")
+        cut = scratch.write(docs.join(wanted, ["d", "k1"]).select(*key, "text", "covered", "asked").mapInArrow(_cut(length), _CUT).withColumn("digest", F.unhex(F.md5("run"))), "runs")
         runs = cut.where("run is not null")
         once = runs.groupBy("run", "digest", "route").agg(F.min("d").alias("least"))
         once = scratch.write(once.select("digest", "least", F.lit(0).cast("long").alias("at"), "route", "run"), "once")
@@ -252,17 +308,19 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 50) -> DataF
 
 def _remove(batches):
     for batch in batches:
-        spans, kept = [], []
-        for text, found in zip(batch.column("text"), batch.column("found"), strict=True):
-            text = text.as_py()
+        starts, ends, counts, kept = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [0], []
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("found"), strict=True):
             if not found.is_valid:
-                spans.append([])
+                counts.append(0)
                 kept.append(text)
                 continue
-            start, end = (x.tolist() for x in merged(*(found.values.field(k).to_numpy() for k in (0, 1))))
-            spans.append([{"start": a, "end": b} for a, b in zip(start, end, strict=True)])
-            kept.append(b"".join(text[a:b] for a, b in zip([0, *end], [*start, len(text)], strict=True)))
-        columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())]
+            start, end = merged(*(found.values.field(k).to_numpy() for k in (0, 1)))
+            starts.append(start)
+            ends.append(end)
+            counts.append(len(start))
+            kept.append(b"".join(text[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(text)], strict=True)))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=["start", "end"])
+        columns = [batch.column("doc_id"), batch.column("n_bytes"), pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pairs), pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
 
 
