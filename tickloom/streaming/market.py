@@ -40,6 +40,15 @@ def unseen(items: DataFrame, key: str, ts: str = "ts", late: str = "1 day") -> D
     return items.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def monitor(items: DataFrame, key: str, path: str, checkpoint: str, late: str = "1 day", ts: str = "ts", every: str | None = None) -> StreamingQuery:
+    """Append each item once to the Parquet folder `path`: items whose key came before within `late` of event time are left out, over restarts too, as are items that come later than that.
+
+    every: seconds or minutes between looks; without it, what is there is taken and the query ends.
+    """
+    writer = unseen(items, key, ts, late).writeStream.outputMode("append").option("checkpointLocation", checkpoint).format("parquet").option("path", path)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def alerts(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """(symbol, ts, rule_id, kind, price, limit): rows that a rule (rule_id, symbol, kind, limit) of their symbol fires on, bounds excluded.
 
