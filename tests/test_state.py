@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.operators.regimes import ks_statistic
 from tickloom.plans import registry, state_queries
 from tickloom.plans.base import bars
-from tickloom.streaming import keyed, machines, market
+from tickloom.streaming import keyed, machines, market, shapes
 from tickloom.streaming.snapshots import Snapshots, newer
 
 SF = "/root/testdata/sf0.01"
@@ -333,6 +333,29 @@ def test_level_breakouts_fire(spark):
     assert {r.direction for r in rows} == {"UP", "DOWN"}
 
 
+def shape_rows(closes, symbol="p", spread=0.02):
+    return [(symbol, DAY + dt.timedelta(hours=k), c + spread, c - spread, c, 10.0) for k, c in enumerate(closes)]
+
+
+def test_planted_triangle_and_rectangle(spark):
+    """Swings that close in on 100 and a jump: a triangle. Swings between 99 and 101 and a fall: a rectangle."""
+    narrowing = [100 + (8 - 0.15 * k) * math.sin(k * math.pi / 5) for k in range(45)]
+    level = [100 + math.sin(k * math.pi / 5) for k in range(60)]
+    rows = shape_rows([*narrowing, 109.0], "up") + shape_rows([*level, 97.0], "down") + shape_rows([*narrowing, 91.0], "low")
+    got = {(r.symbol, r.kind): r for r in keyed.run(spark.createDataFrame(rows, BARS), shapes.shapes()).collect() if (r.symbol, r.ts) in {("up", DAY + dt.timedelta(hours=45)), ("down", DAY + dt.timedelta(hours=60)), ("low", DAY + dt.timedelta(hours=45))}}
+    up, low, box = got["up", "triangle"], got["low", "triangle"], got["down", "rectangle"]
+    assert up.direction == "UP" and low.direction == "DOWN" and up.level > low.level and up.high_r < -0.95 and up.low_r > 0.95
+    assert up.target - up.level == pytest.approx(up.level - up.stop) and low.stop == pytest.approx(up.level)
+    assert box.direction == "DOWN" and box.level == pytest.approx(99.0, abs=0.1) and box.stop == pytest.approx(101.0, abs=0.1) and box.target == pytest.approx(97.0, abs=0.2)
+
+
+def test_shapes_on_a_stream_are_those_of_the_table(spark, tmp_path):
+    rows = some_bars(300)
+    table = keyed.run(spark.createDataFrame(rows, BARS), shapes.shapes()).collect()
+    assert {r.kind for r in table} == {"triangle", "rectangle"}
+    assert_rows(streamed(spark, tmp_path, [rows[:130], rows[130:260], rows[260:]], BARS, lambda s: keyed.run(s, shapes.shapes())), table)
+
+
 # Saved states
 
 

@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.windows import lag, last
-from tickloom.operators import strategies as st
 from tickloom.plans.base import Registry, bars, full, r, rounded
 from tickloom.plans.base import lag as lag_sql
-from tickloom.plans.snapshot_sql import snaps
 from tickloom.sources.market import table
 from tickloom.streaming import keyed, machines, market
 from tickloom.streaming.snapshots import Snapshots, newer, shared_folder
@@ -71,20 +69,6 @@ def level_rows(spark, d: str) -> DataFrame:
     return keyed.run(bars(spark, d), machines.price_levels())
 
 
-def level_breakouts(spark, d: str) -> DataFrame:
-    """Breaks of living levels, aimed the height further, judged like other breakouts with the snapshot's regime and volatility."""
-    c = F.col
-    up = c("side") == "resistance"
-    found = level_rows(spark, d).where("broken")
-    own = snaps(spark, d).select("symbol", "ts", "price", "regime", "volatility", F.col("volume_ratio").alias("_ratio"))
-    rows = found.withColumnsRenamed({"level": "level_id", "price": "at", "volume_ratio": "ratio"}).join(own, ["symbol", "ts"])
-    rows = rows.select(
-        "symbol", "ts", "regime", "volatility", "level_id", "strength", F.col("side").alias("kind"), F.when(up, "UP").otherwise("DOWN").alias("direction"), st.breakout_quality(c("strength"), c("ratio"), c("momentum")).alias("quality"), c("at").alias("level"),
-        c("price").alias("entry"), F.when(up, c("at") + c("height")).otherwise(c("at") - c("height")).alias("target"), (c("at") * F.when(up, 0.98).otherwise(1.02)).alias("stop"), (c("age") + 20).cast("int").alias("width"), c("ratio").alias("volume_ratio"), "momentum", (c("strength") * 100).alias("sure"),
-    )
-    return st.judged(rows).select("symbol", "ts", "kind", "level_id", "direction", "quality", "level", "entry", "target", "stop", "score", "signal", "signal_confidence", "risks", "valid")
-
-
 def seen_items(spark, d: str) -> DataFrame:
     """A stream over the events: each kind of event of a user once within a day, as a monitor's folder has it."""
     path = shared_folder(spark, "monitor")
@@ -104,7 +88,6 @@ def register(reg: Registry) -> None:
         select symbol, ts, least(500, row_number() over (partition by symbol order by ts)) as held, {r(full(20, 'avg(close)', 'close'), 'mean_20')}, {r(full(20, 'stddev_pop(close)', 'close'), 'deviation_20')},
         {', '.join(r(f"close / nullif({lag_sql('close', k)}, 0) - 1", f'momentum_{k}') for k in (5, 20, 60))}, {r(f"volume / nullif({full(20, 'avg(volume)', 'volume')}, 0)", 'volume_ratio')} from bars""")
     reg.add("state_levels", lambda spark, d: rounded(level_rows(spark, d)))
-    reg.add("sig_level_breakouts", lambda spark, d: rounded(level_breakouts(spark, d)))
     reg.add("stream_unseen", seen_items, "select distinct event_type || '/' || user_id as item from events")
 
 
