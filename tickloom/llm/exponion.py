@@ -20,7 +20,7 @@ from .common import Scratch
 
 def most_component(dims: int) -> int:
     """Largest magnitude of a component for which squared distances over so many dimensions fit a signed 64-bit integer."""
-    return min(1 << 30, int((((1 << 63) - 1) / max(1, dims)) ** 0.5 / 2))
+    return min(1 << 30, int(((1 << 63) / max(1, dims)) ** 0.5 / 2) - 1)
 
 
 class Centres:
@@ -125,7 +125,7 @@ def bounded(x: np.ndarray, centres: Centres, held: Bounds) -> Bounds:
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
     """Arrays of so many integers as rows of a matrix."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, dims)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(len(column), dims)
 
 
 def is_whole(vector: Column) -> Column:
