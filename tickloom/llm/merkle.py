@@ -1,7 +1,7 @@
 """Operator 2, document fingerprints: a Merkle tree over paragraphs and sections.
 
-Paragraphs end at line ends, and long lines at spaces that their own neighbourhood chooses, so an
-edit moves no boundary but those beside it. Runs of paragraphs form sections, whose ends the
+Paragraphs end at line ends, and long lines at spaces that their own neighbourhood chooses, or between characters
+chosen so where no space is near, so an edit moves no boundary but those beside it. Runs of paragraphs form sections, whose ends the
 paragraphs' digests choose. The root is the digest of the section digests. Equal roots mean equal
 texts; where roots differ, equal sections are skipped and the rest names the paragraphs that changed.
 """
@@ -24,6 +24,8 @@ from .common import ordered_buckets
 SPACE_CUT, LEAST_BYTES = 8, 16
 #: A run without such a space is cut at the first space after so many bytes.
 MOST_BYTES = 128
+#: Without a space in so many bytes more, a run is cut before characters instead: where the hash of the bytes before is 0 modulo this.
+FAR_BYTES, CHARACTER_CUT = 512, 64
 #: A paragraph ends its section if its digest is 0 modulo this.
 SECTION_CUT = 8
 #: Bytes of text that a task of the ordered pass gets, about, in so many buckets.
@@ -39,6 +41,21 @@ def _short(digest: bytes, size: int) -> str:
     return b64encode(digest[:size], b"-_").decode().rstrip("=")
 
 
+def _between_characters(data: bytes, start: int, end: int) -> list[int]:
+    """Cuts inside data[start:end], a run without spaces: only where a UTF-8 character begins, LEAST_BYTES apart."""
+    array = np.frombuffer(data, dtype=np.uint8)[start:end].astype(np.uint32)
+    mixed = array[6:-1]
+    for back, times in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)):
+        mixed = mixed + array[5 - back : -2 - back] * np.uint32(times) if back else array[5:-2] * np.uint32(times)
+    places = np.flatnonzero(((mixed >> np.uint32(16)) % CHARACTER_CUT == 0) & ((array[6:-1] & 0xC0) != 0x80)) + 6
+    out, last = [], 0
+    for at in places.tolist():
+        if at - last >= LEAST_BYTES:
+            out.append(start + at)
+            last = at
+    return out
+
+
 def _cuts(data: bytes) -> list[int]:
     """Ends of the paragraphs."""
     array = np.frombuffer(data, dtype=np.uint8)
@@ -53,7 +70,12 @@ def _cuts(data: bytes) -> list[int]:
     ends, last = [], 0
     for at, fixed in [*zip(both[order].tolist(), hard[order].tolist(), strict=True), (len(data), True)]:
         if at - last >= LEAST_BYTES or fixed and at > last:
-            while at - last > MOST_BYTES and 0 < (space := data.find(b" ", last + MOST_BYTES, at - 1) + 1):
+            while at - last > MOST_BYTES:
+                space = data.find(b" ", last + MOST_BYTES, at - 1) + 1
+                if (space or at) - last > FAR_BYTES:
+                    ends += _between_characters(data, last, space or at)
+                if not space:
+                    break
                 ends.append(space)
                 last = space
             ends.append(at)
