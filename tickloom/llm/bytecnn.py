@@ -156,8 +156,9 @@ def is_held_out(id_col: str = "doc_id", folds: int = 5):
 def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **kw) -> Network:
     """Fit on a bounded sample of labelled rows outside the held-out fold; the share of each label comes from all of them.
 
-    The sample of a label is the rows with the least digests of their ids. An executor cuts the chunks, so that the
-    driver gets at most 2 * documents * chunks * CHUNK_BYTES bytes.
+    The sample of a label is the ids with the least digests, one document each: of rows that share an id the one with the least hash of its text. An executor cuts the chunks, so that the
+    driver gets at most 2 * documents * chunks * CHUNK_BYTES bytes. Labels other than 0 and 1 and null ids are left out; an id with both labels counts as 0;
+    null and empty texts give one chunk. Without documents the network is the one that it starts as.
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~is_held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"))
     known = known.groupBy("_id").agg(F.min("_label").alias("_label"))
@@ -177,6 +178,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: Sample = Sample(), id_col:
 
     slim = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     rows = slim.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select(F.col("_id").cast("long").alias("id"), F.col("_label").alias("label"), F.col("_text").alias("text"))
+    rows = rows.groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = rows.mapInArrow(cut, "id long, label int, n int, chunks binary").toPandas().sort_values(["id", "chunks"])  # bounded by `sample`
     documents = [np.frombuffer(c, dtype=np.int16).reshape(n, CHUNK_BYTES) for n, c in zip(found["n"], found["chunks"], strict=True)]
     total = sum(counts.values())
