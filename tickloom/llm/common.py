@@ -101,20 +101,26 @@ def hash_cell(column: Column, salt: str, cells: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.lit(cells)
 
 
-def row_keys(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `_text` and `_row`, 64-bit hashes of the text and of all columns: rows that share both are repeats of one row."""
-    return docs.withColumns({"_text": F.xxhash64(text_col), "_row": F.xxhash64(*docs.columns)})
+def row_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, _text, _row, text) of docs, whatever its columns are called: 64-bit hashes of the text and of all columns; rows that share both are repeats of one row."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("_text"), _row_hash(docs).alias("_row"), F.col(text_col).alias("text"))
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def one_of_each(docs: DataFrame, classes: DataFrame, text_col: str = "text") -> DataFrame:
     """One row of docs for each root of classes (doc_id, _text, _row, root): the least doc_id (null: last), then text hash, then row hash.
 
     The id alone chooses nothing: rows without an id, and different texts that share one, stand for their own classes.
-    The chosen rows' keys are written, so that what classes come from may go.
+    The chosen rows' keys are written, so that what classes come from may go. All columns of docs come out as they are.
     """
     stay = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_text", "_row")).alias("x")).select("x._text", "x._row")
     stay = materialise(stay, "stay")
-    return row_keys(docs, text_col).join(stay, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    keyed = docs.select(whole, F.xxhash64(text_col).alias("_text"), _row_hash(docs).alias("_row"))
+    return keyed.join(stay, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select("_whole.*")
 
 
 def ordered_buckets(df: DataFrame, key: str, buckets: int, descending: bool = False) -> DataFrame:

@@ -141,7 +141,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
             prints = [fingerprint(x.as_py(), words, seed) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(prints, pa.int64())], ["doc_id", "_text", "_row", "fp"])
 
-    keyed = row_keys(docs, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "_text", "_row", F.col(text_col).alias("text"))
+    keyed = row_keys(docs, id_col, text_col)
     prints = materialise(keyed.mapInArrow(run, "doc_id long, _text long, _row long, fp long"), "fingerprints")
     classes = roots(materialise(prints.select("fp").distinct(), "distinct"), radius)
     return one_of_each(docs, prints.join(classes, "fp"), text_col)
