@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.operators.strategies import by_name
+from tickloom.operators.strategies import RULE_CONFIDENCE, by_name, simple_rules, stop_loss
+from tickloom.streaming import keyed
 
 # Fee rates by asset type, and in which order exits are done.
 FEES = {"crypto": 0.001, "forex": 0.0001, "commodity": 0.0005}
@@ -46,44 +47,76 @@ def closed(rows: DataFrame) -> DataFrame:
     return out.withColumns({"realized_pct": F.col("realized") / (F.col("entry") * F.col("quantity")) * 100, "back": F.when(long, F.col("price") * F.col("quantity")).otherwise(F.col("pnl")) - F.col("fee")})
 
 
+def _admission() -> keyed.Machine:
+    """An account's entries in turn: one is taken if what it needs is left."""
+
+    def step(state: dict, row: tuple) -> list[tuple]:
+        _, symbol, need, cash = row
+        left = cash if state["left"] is None else state["left"]
+        taken = need is not None and left is not None and need <= left
+        state["left"] = left - need if taken else left
+        return [(symbol, taken, state["left"])]
+
+    return keyed.Machine(("symbol", "need", "cash"), "symbol string, taken boolean, cash_left double", lambda: {"left": None}, step, "account", "turn")
+
+
 def admitted(wanted: DataFrame, cash: DataFrame) -> DataFrame:
-    """Of entries (account, symbol, confidence, value, fee) those that the account's cash (account, cash) allows one after the other, surest first: `taken`, and the cash left after each. An account's entries of one cycle are folded in the row; a symbol comes once."""
-    order = F.struct((-F.col("confidence")).alias("c"), "symbol", (F.col("value") + F.col("fee")).alias("need"))
-    listed = wanted.groupBy("account").agg(F.array_sort(F.collect_list(order)).alias("_w")).join(cash, "account")
-    step = lambda s, x: F.struct(
-        F.when(x["need"] <= s["left"], s["left"] - x["need"]).otherwise(s["left"]).alias("left"),
-        F.concat(s["done"], F.array(F.struct(x["symbol"].alias("symbol"), (x["need"] <= s["left"]).alias("taken"), F.when(x["need"] <= s["left"], s["left"] - x["need"]).otherwise(s["left"]).alias("cash_left")))).alias("done"),
-    )
-    start = F.struct(F.col("cash").cast("double").alias("left"), F.array().cast("array<struct<symbol:string,taken:boolean,cash_left:double>>").alias("done"))
-    done = listed.select("account", F.explode(F.aggregate("_w", start, step)["done"]).alias("_d")).select("account", "_d.*")
-    return wanted.join(done, ["account", "symbol"])
+    """Of entries (account, symbol, confidence, value, fee) those that the account's cash (account, cash) allows one after the other, surest first, then by symbol: `taken`, and the cash left after each.
+
+    An account's entries are read once in order with the cash left at hand, however many they are; a symbol comes once.
+    """
+    turn = F.row_number().over(Window.partitionBy("account").orderBy(F.desc("confidence"), "symbol"))
+    rows = wanted.join(cash.select("account", F.col("cash").cast("double").alias("cash")), "account") if "cash" not in wanted.columns else wanted
+    rows = rows.withColumns({"turn": turn, "need": (F.col("value") + F.col("fee")).cast("double")})
+    return wanted.drop("cash").join(keyed.run(rows.select("account", "turn", "symbol", "need", "cash"), _admission()), ["account", "symbol"])
 
 
-def cycle(snaps: DataFrame, signals: DataFrame, positions: DataFrame, accounts: DataFrame, hold_days: float = 30) -> DataFrame:
+def standing(snaps: DataFrame) -> DataFrame:
+    """(symbol, ts, asset_type, price, regime, confidence, signal, signal_confidence, stop): a row a symbol, its latest snapshot and the surest signal that is no HOLD, of the last row at which any rule spoke, with its stop; null without one.
+
+    One aggregate over the snapshots: a row's best signal is an expression.
+    """
+    rules = F.array(*[F.when(s.isNotNull(), F.struct((s != "HOLD").alias("acts"), (F.col("confidence") * RULE_CONFIDENCE.get(n, 1.0)).alias("sure"), F.lit(n).alias("rule"), s.alias("signal"))) for n, s in simple_rules().items()])
+    best = F.array_max(F.filter(rules, lambda x: x.isNotNull()))
+    rows = snaps.withColumn("_b", best)
+    now = F.max_by(F.struct("ts", "asset_type", "price", "regime", "confidence"), "ts").alias("n")
+    spoke = F.max_by(F.struct("_b", "asset_type", "price", "volatility"), F.when(F.col("_b").isNotNull(), F.col("ts"))).alias("s")
+    out = rows.groupBy("symbol").agg(now, spoke)
+    acts, signal = F.col("s._b.acts"), F.col("s._b.signal")
+    stop = stop_loss(F.col("s.asset_type"), F.col("s.price"), signal.isin("BUY", "STRONG_BUY"), F.col("s.volatility"))
+    return out.select("symbol", "n.*", F.when(acts, signal).alias("signal"), F.when(acts, F.col("s._b.sure")).alias("signal_confidence"), F.when(acts, stop).alias("stop"))
+
+
+#: Signals that a cycle offers to each account, the surest: what is broadcast has so many rows at most.
+MOST_OFFERED = 1000
+
+
+def cycle(snaps: DataFrame, signals: DataFrame, positions: DataFrame, accounts: DataFrame, hold_days: float = 30, most: int = MOST_OFFERED) -> DataFrame:
     """(account, symbol, step, reason, urgency, side, quantity, price, pnl, fee, cash_left): what one cycle does with each position and each signal.
 
     snaps: the latest snapshot of each symbol. signals: the surest signal of a symbol (symbol, signal, confidence, stop, target). Exits come first
     and give their cash back; then symbols without a position are entered, 2 % of the account's value at risk and a tenth of it at most, as long as
-    the cash lasts.
+    the cash lasts. An account is offered the `most` surest signals, the smaller symbol first on ties.
     """
     held = marked(positions, snaps).withColumn("reason", exit_reason(days=hold_days))
-    out = closed(held)
-    value = held.groupBy("account").agg(F.sum("market_value").alias("_mv"))
-    back = out.groupBy("account").agg(F.sum("back").alias("_back"))
-    cash = accounts.join(back, "account", "left").join(value, "account", "left").fillna(0.0, ["_back", "_mv"])
-    cash = cash.select("account", (F.col("cash") + F.col("_back")).alias("cash"), (F.col("cash") + F.col("_mv")).alias("worth"))
-    offered = signals.where(F.col("signal").isin("BUY", "STRONG_BUY", "SELL", "STRONG_SELL")).join(snaps.select("symbol", "asset_type", "price"), "symbol")
-    free = accounts.select("account").crossJoin(F.broadcast(offered)).join(positions.select("account", "symbol"), ["account", "symbol"], "left_anti").join(cash.select("account", "worth"), "account")  # signals: one a symbol, bounded by the snapshot
+    gone, paid = F.col("reason").isNotNull(), fee(F.col("asset_type"), F.col("quantity") * F.col("entry"))
+    back = F.when(gone, F.when(F.col("side") == "LONG", F.col("price") * F.col("quantity")).otherwise(F.col("pnl")) - paid)
+    sums = held.groupBy("account").agg(F.sum("market_value").alias("_mv"), F.sum(back).alias("_back"))
+    purse = accounts.join(sums, "account", "left").fillna(0.0, ["_back", "_mv"]).select("account", (F.col("cash") + F.col("_back")).cast("double").alias("cash"), (F.col("cash") + F.col("_mv")).alias("worth"))
+    offered = signals.where(F.col("signal").isin("BUY", "STRONG_BUY", "SELL", "STRONG_SELL")).join(snaps.select("symbol", "asset_type", "price"), "symbol").orderBy(F.desc("confidence"), "symbol").limit(most)
+    free = purse.join(F.broadcast(offered)).join(positions.select("account", "symbol"), ["account", "symbol"], "left_anti")  # at most `most` rows are sent
     loss = F.abs(F.col("price") - F.col("stop"))
     size = F.least(F.when(loss > 0, F.col("worth") * 0.02 / loss * F.col("price")).otherwise(F.col("worth") * 0.05) * F.least(F.col("confidence") / 100, F.lit(1.0)), F.col("worth") * 0.1)
     wanted = free.withColumn("value", F.round(size, 6)).where("value > 0").withColumn("fee", fee(F.col("asset_type"), F.col("value")))
-    entered = admitted(wanted, cash.select("account", "cash"))
+    entered = admitted(wanted, purse)
     none = lambda t: F.lit(None).cast(t)
-    left = out.select("account", "symbol", F.lit("exit").alias("step"), "reason", "urgency", "side", "quantity", "price", F.col("realized").alias("pnl"), "fee", none("double").alias("cash_left"))
-    kept = held.where("reason is null").select("account", "symbol", F.lit("hold"), none("string"), none("string"), "side", "quantity", "price", "pnl", F.lit(0.0), none("double"))
+    old = held.select(
+        "account", "symbol", F.when(gone, "exit").otherwise("hold").alias("step"), "reason", by_name(F.col("reason"), URGENCY, None).alias("urgency"), "side", "quantity", "price", F.when(gone, F.col("pnl") - paid).otherwise(F.col("pnl")).alias("pnl"),
+        F.when(gone, paid).otherwise(0.0).alias("fee"), none("double").alias("cash_left"),
+    )
     side = F.when(F.col("signal").isin("BUY", "STRONG_BUY"), "LONG").otherwise("SHORT")
     new = entered.select("account", "symbol", F.when(F.col("taken"), "enter").otherwise("skip"), F.col("signal"), none("string"), side, F.col("value") / F.col("price"), "price", F.lit(0.0), "fee", "cash_left")
-    return left.union(kept).union(new)
+    return old.union(new)
 
 
 # Orders

@@ -10,6 +10,7 @@ from tickloom.plans.base import BARS_SQL, Registry, bars, r, rounded
 from tickloom.plans.snapshot_sql import SNAPS_SQL, snaps
 from tickloom.plans.strategy_queries import SPOKEN_SQL, STOP
 from tickloom.sources.market import latest, table
+from tickloom.streaming.snapshots import written
 
 ACCOUNTS, LOT = 25, 200.0
 POSITIONS_SQL = f"""po0 as (select user_id % {ACCOUNTS} as account, event_type as symbol, sum(case when event_id % 2 = 0 then 1 else -1 end * coalesce((props->>'$.k')::double, 0.0)) as net, 200 + avg(value) as entry, arg_max(ts, (value, event_id)) as opened from events group by all),
@@ -47,19 +48,11 @@ def accounts(spark, d):
     return table(spark, d, "events").select(a.alias("account"), (4000 + a * 1500).cast("double").alias("cash")).distinct()
 
 
-def surest(s):
-    spoke = st.rule_signals(s).where("signal <> 'HOLD'").join(s.select("symbol", "ts", "volatility"), ["symbol", "ts"])
-    newest = st.rule_signals(s).groupBy("symbol").agg(F.max("ts").alias("ts"))
-    best = spoke.join(newest, ["symbol", "ts"]).groupBy("symbol").agg(F.max_by(F.struct("signal", "confidence", "asset_type", "price", "volatility"), F.struct("confidence", "rule")).alias("_b")).select("symbol", "_b.*")
-    buys = F.col("signal").isin("BUY", "STRONG_BUY")
-    return best.select("symbol", "signal", "confidence", st.stop_loss(F.col("asset_type"), F.col("price"), buys, F.col("volatility")).alias("stop"))
-
-
 def cycle(spark, d):
-    """Hourly bars, indicators, regimes; marks, exits, entries, sizes and cash: the flagship."""
-    s = snaps(spark, d)
-    now = latest(s, ["symbol"], [F.desc("ts")])
-    return rounded(trading.cycle(now, surest(s), positions(spark, d), accounts(spark, d), hold_days=20))
+    """Hourly bars, indicators, regimes; marks, exits, entries, sizes and cash: the flagship. What every symbol stands at, a row each, and the positions are written once and read where they are needed."""
+    now, held = written(trading.standing(snaps(spark, d)), "standing"), written(positions(spark, d), "positions")
+    sure = now.select("symbol", "signal", F.col("signal_confidence").alias("confidence"), "stop")
+    return rounded(trading.cycle(now.drop("signal", "signal_confidence", "stop"), sure, held, accounts(spark, d), hold_days=20))
 
 
 ORDERS_SQL = """orders_ as (select event_id as order_id, event_type as symbol, ts, user_id % 25 as account, case when event_id % 2 = 0 then 'BUY' else 'SELL' end as side, ['MARKET', 'LIMIT', 'STOP', 'TRAILING_STOP'][event_id % 4 + 1] as order_type,

@@ -28,6 +28,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """rows as a Parquet table of the shared folder, for what a plan would else derive more than once."""
+    path = shared_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Snapshots:
     """States (key, payload, rows, at) saved under numbers from 1 on.
 
