@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,59 +35,75 @@ def _any(low: Column, words) -> Column:
     return out
 
 
-def _found(low: Column, words: dict[str, float | str]) -> Column:
-    """(word, value) of the words that stand in the text, in order: one small loop over a constant array, not a branch a word."""
-    return F.filter(F.array(*[F.struct(F.lit(k).alias("word"), F.lit(v).alias("value")) for k, v in words.items()]), lambda e: F.contains(low, e["word"]))
-
-
 def _sum(low: Column, words: dict[str, float]) -> Column:
-    return F.aggregate(_found(low, words), F.lit(0.0), lambda a, e: a + e["value"])
+    """The values of the words that stand in the text, added up; compiled, a look a word."""
+    out = F.lit(0.0)
+    for word, value in words.items():
+        out = out + F.when(_has(low, word), float(value)).otherwise(0.0)
+    return out
 
 
 def _first(low: Column, words: dict[str, str]) -> Column:
-    return F.try_element_at(_found(low, words), F.lit(1))["value"]
+    """The value of the first word in order that stands in the text."""
+    return F.coalesce(*[F.when(_has(low, word), value) for word, value in words.items()])
+
+
+GROUP_OF = {word: name for name, group in CATEGORIES.items() for word in group}
+
+
+def _low(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
 
 
 def category(text: Column) -> Column:
     """The first group of which a keyword stands in the text, else GENERAL."""
-    words = {word: name for name, group in CATEGORIES.items() for word in group}
-    return F.coalesce(_first(F.lower(F.coalesce(text, F.lit(""))), words), F.lit("GENERAL"))
+    return F.coalesce(_first(_low(text), GROUP_OF), F.lit("GENERAL"))
 
 
 def impact(text: Column, reliability: Column, relevance: Column) -> Column:
     """The level of the first impact keyword in the text; else MEDIUM, LOW or MINIMAL by reliability and relevance."""
     usual = F.when((reliability > 0.9) & (relevance > 0.7), "MEDIUM").when(relevance > 0.5, "LOW").otherwise("MINIMAL")
-    return F.coalesce(_first(F.lower(F.coalesce(text, F.lit(""))), IMPACT), usual)
+    return F.coalesce(_first(_low(text), IMPACT), usual)
 
 
 def urgency(text: Column, published: Column, as_of: Column, level: Column, relevance: Column) -> Column:
     """BREAKING by keyword, URGENT under an hour of high impact, IMPORTANT under six hours of high relevance."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    low = _low(text)
     hours = (F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(published.cast("timestamp"))) / 3600
     return F.when(_any(low, ("breaking", "urgent", "alert")), "BREAKING").when((hours < 1) & level.isin("VERY_HIGH", "HIGH"), "URGENT").when((hours < 6) & (relevance > 0.7), "IMPORTANT").otherwise("NORMAL")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What `use` makes of a value that is worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def quality(text: Column) -> Column:
-    """Up to 0.3 for length, 0.4 for keywords a hundred words, 0.3 for sentences of 10 to 25 words; 0 for an empty text."""
-    body = F.coalesce(text, F.lit(""))
-    words = F.size(F.filter(F.split(body, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).cast("double")
-    hits = _sum(F.lower(body), dict.fromkeys(KEYWORDS, 1.0))
-    sentences = F.size(F.split(body, r"\."))
-    length = F.when(F.length(body) > 500, 0.3).when(F.length(body) > 200, 0.2).otherwise(0.1)
-    score = length + at_most(hits / F.greatest(F.lit(1.0), words / 100), 0.4) + F.when((words / sentences).between(10, 25), 0.3).otherwise(0.1)
-    return F.when(F.length(body) > 0, at_most(score, 1.0)).otherwise(0.0)
+    """Up to 0.3 for length, 0.4 for keywords a hundred words, 0.3 for sentences of 10 to 25 words; 0 for an empty text. Text and counts are worked out once each."""
+
+    def scored(body: Column, words: Column, sentences: Column) -> Column:
+        hits = _once(F.lower(body), lambda low: _sum(low, dict.fromkeys(KEYWORDS, 1.0)))
+        length = F.when(F.length(body) > 500, 0.3).when(F.length(body) > 200, 0.2).otherwise(0.1)
+        share = _once(hits / F.greatest(F.lit(1.0), words / 100), lambda x: at_most(x, 0.4))
+        return _once(length + share + F.when((words / sentences).between(10, 25), 0.3).otherwise(0.1), lambda x: at_most(x, 1.0))
+
+    def of(body: Column) -> Column:
+        words = F.size(F.filter(F.split(body, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).cast("double")
+        return F.when(F.length(body) > 0, _once(F.struct(words.alias("w"), F.size(F.split(body, r"\.")).alias("s")), lambda n: scored(body, n["w"], n["s"]))).otherwise(0.0)
+
+    return _once(F.coalesce(text, F.lit("")), of)
 
 
 def annotated(articles: DataFrame, as_of: Column) -> DataFrame:
     """Articles (title, summary, source_reliability, published, symbol) with relevance, category, impact, urgency, recency and rank score 0.7 relevance + 0.3 recency."""
-    both = F.concat_ws(" ", "title", "summary")
-    recent = T.recency(F.col("published"), as_of)
-    low = F.lower(both)
-    weight, head = _sum(low, {k: 0.1 * w for k, w in KEYWORDS.items()}), _sum(F.lower(F.coalesce("title", F.lit(""))), dict.fromkeys(KEYWORDS, 0.1))
-    relevance = at_most((weight + F.when(F.contains(low, F.lower("symbol")), 0.5).otherwise(0.0)) * F.col("source_reliability") + 0.1 * recent + head, 1.0)
-    out = articles.withColumns({"relevance": F.round(relevance, 9), "recency": recent, "category": category(both)})
-    out = out.withColumn("impact", impact(both, F.col("source_reliability"), F.col("relevance")))
-    return out.withColumns({"urgency": urgency(both, F.col("published"), as_of, F.col("impact"), F.col("relevance")), "rank_score": F.round(0.7 * F.col("relevance") + 0.3 * F.col("recency"), 9)})
+    low, head = F.col("_low"), F.col("_head")
+    out = articles.withColumns({"_low": F.lower(F.concat_ws(" ", "title", "summary")), "_head": _low(F.col("title")), "recency": T.recency(F.col("published"), as_of)})
+    weight = _sum(low, {k: 0.1 * w for k, w in KEYWORDS.items()}) + F.when(F.contains(low, F.lower("symbol")), 0.5).otherwise(0.0)
+    out = out.withColumns({"_weight": weight, "_hits": _sum(head, dict.fromkeys(KEYWORDS, 0.1)), "category": category(low)})
+    out = out.withColumn("relevance", F.round(at_most(F.col("_weight") * F.col("source_reliability") + 0.1 * F.col("recency") + F.col("_hits"), 1.0), 9))
+    out = out.withColumn("impact", impact(low, F.col("source_reliability"), F.col("relevance")))
+    out = out.withColumns({"urgency": urgency(low, F.col("published"), as_of, F.col("impact"), F.col("relevance")), "rank_score": F.round(0.7 * F.col("relevance") + 0.3 * F.col("recency"), 9)})
+    return out.drop("_low", "_head", "_weight", "_hits")
 
 
 def best(articles: DataFrame, least: float, k: int) -> DataFrame:

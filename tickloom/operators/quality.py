@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.windows import in_order
+from tickloom.streaming.snapshots import written
 
 PRICES = ("open", "high", "low", "close")
 
@@ -97,13 +98,29 @@ def clean(bars: DataFrame) -> DataFrame:
     return correct(interpolate(remove_outliers(bars)))
 
 
+def exact_percentiles(rows: DataFrame, column: str, shares: dict[str, float], by: str = "symbol") -> DataFrame:
+    """(by, *names): percentiles of a column for each key, interpolated between neighbours, by the places of the values in a sort that may spill; no buffer holds a key's values. Nulls are not counted."""
+    some = rows.where(F.col(column).isNotNull()).select(by, F.col(column).cast("double").alias("_v"))
+    placed = some.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy("_v"))).join(some.groupBy(by).agg(F.count("*").alias("_n")), by)
+    out = []
+    for name, share in shares.items():
+        place = share * (F.col("_n") - 1) + 1
+        part = place - F.floor(place)
+        out.append(F.sum(F.when(F.col("_at") == F.floor(place), F.col("_v") * (1 - part)).when(F.col("_at") == F.floor(place) + 1, F.col("_v") * part)).alias(name))
+    return placed.groupBy(by).agg(*out)
+
+
 def drop_extremes(bars: DataFrame, by: str = "symbol") -> DataFrame:
-    """Rows without a null or broken bar, then, price by price, those within half the 1st and twice the 99th percentile of what is left."""
-    out = bars.dropna(subset=[*PRICES, "volume"]).where(~broken_order() & (F.col("volume") >= 0))
+    """Rows without a null or broken bar, then, price by price, those within half the 1st and twice the 99th percentile of what is left.
+
+    The rows are written once, and after them a row a key with the bounds of each price in turn, so that nothing is worked out again for the next price. Rows without a key go.
+    """
+    kept = written(bars.dropna(subset=[by, *PRICES, "volume"]).where(~broken_order() & (F.col("volume") >= 0)), "bars")
+    out = kept
     for c in PRICES:
-        out = with_group(out, by, F.percentile(c, 0.01).alias("_lo"), F.percentile(c, 0.99).alias("_hi"))
-        out = out.where((F.col(c) <= 2 * F.col("_hi")) & (F.col(c) >= 0.5 * F.col("_lo"))).select(*bars.columns)
-    return out
+        bounds = written(exact_percentiles(out, c, {f"_lo_{c}": 0.01, f"_hi_{c}": 0.99}, by), "bounds")
+        out = out.join(bounds, by).where((F.col(c) <= 2 * F.col(f"_hi_{c}")) & (F.col(c) >= 0.5 * F.col(f"_lo_{c}"))).drop(f"_lo_{c}", f"_hi_{c}")
+    return out.select(*bars.columns)
 
 
 def valid_quotes(quotes: DataFrame, as_of: Column, seconds: int = 300) -> DataFrame:
