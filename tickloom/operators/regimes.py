@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.sequential import pack
 from tickloom.functions.windows import full, in_order, islands, lag, last
 
 #: Shares of the detectors' votes.
@@ -77,6 +78,57 @@ def ensemble(bars: DataFrame) -> DataFrame:
     return f.drop("_r", "_i", *[f"_{k}" for k in votes])
 
 
+def votes(rows: DataFrame) -> DataFrame:
+    """Rows of features with adx, rsi_14, macd_hist and bb_position to four votes, (regime, confidence) each: statistical, technical, volatility, trend."""
+    c, cap = F.col, lambda x: F.least(F.lit(0.9), x)
+    strength, up, down = F.abs("slope"), c("slope") > 0.001, c("slope") < -0.001
+    rising, falling = F.coalesce((c("mean_return") > 0.001) & up, F.lit(False)), F.coalesce((c("mean_return") < -0.001) & down, F.lit(False))
+    wild, steep = c("volatility") > 0.30, strength > 0.01
+    quiet = F.when((c("higher_highs") > 0) & (c("lower_lows") == 0), "ACCUMULATION").when((c("lower_lows") > 0) & (c("higher_highs") == 0), "DISTRIBUTION").otherwise("SIDEWAYS")
+    first = F.when(wild, "VOLATILE").when(rising, F.when(steep, "BREAKOUT").otherwise("BULL")).when(falling, F.when(steep, "BREAKDOWN").otherwise("BEAR")).otherwise(quiet)
+    first_sure = F.when(wild, cap(c("volatility") / 0.30 * 0.7)).when(rising | falling, F.when(steep, cap(strength * 50)).otherwise(0.7)).otherwise(0.6)
+    second = technical_vote(F.coalesce("adx", F.lit(25.0)), F.coalesce("rsi_14", F.lit(50.0)), F.coalesce("macd_hist", F.lit(0.0)), F.coalesce("bb_position", F.lit(0.5)), F.coalesce("momentum_20", F.lit(0.0)))
+    band = volatility_band(c("volatility"))
+    third = F.when(band.isin("EXTREME", "HIGH"), "VOLATILE").when((band == "LOW") & (c("momentum_60") > 0), "ACCUMULATION").otherwise("SIDEWAYS")
+    third_sure = F.when(band == "EXTREME", 0.9).when(band == "HIGH", 0.7).when(band == "LOW", 0.6).otherwise(0.4)
+    even = cap(F.coalesce("fit", F.lit(0.0)) * 0.8 + 0.3)
+    far = strength > 0.02
+    fourth = F.when(up, F.when(far, "BREAKOUT").otherwise("BULL")).when(down, F.when(far, "BREAKDOWN").otherwise("BEAR")).otherwise("SIDEWAYS")
+    fourth_sure = even * F.when(up | down, F.when(far, 1.0).otherwise(0.8)).otherwise(0.6)
+    named = {"statistical": (first, first_sure), "technical": (second["technical_regime"], second["technical_confidence"]), "volatility": (third, third_sure), "trend": (fourth, fourth_sure)}
+    return rows.withColumns({f"{k}_vote": F.struct(a.alias("regime"), b.alias("confidence")) for k, (a, b) in named.items()})
+
+
+REGIMES = ("ACCUMULATION", "BEAR", "BREAKDOWN", "BREAKOUT", "BULL", "DISTRIBUTION", "SIDEWAYS", "VOLATILE")
+
+
+def decision(bars: DataFrame) -> DataFrame:
+    """(symbol, ts, regime, regime_confidence, regime_second, strength): votes weighted by method and confidence, over all methods' weights; the first name on ties, the second if over 0.7 of the first.
+
+    bars (symbol, ts, high, low, close, volume). The indicators that are recurrences come from one grouped pass; votes are conditional sums in the row. Null until 20 returns are there.
+    """
+    packed = pack(bars).select("symbol", "ts", "high", "low", "close", "volume", "adx", "rsi_14", "macd_hist")
+    mid, dev = full("close", F.avg("close"), 5), full("close", F.stddev_pop("close"), 5)
+    f = votes(features(packed).withColumns({"_mid": mid, "_dev": dev}).withColumn("bb_position", F.when(F.col("_dev") > 0, (F.col("close") - F.col("_mid") + 2 * F.col("_dev")) / (4 * F.col("_dev"))).when(F.col("_dev") == 0, 0.5)))
+    weight = lambda name: sum((F.when(F.col(f"{k}_vote.regime") == name, w * F.col(f"{k}_vote.confidence")).otherwise(0.0) for k, w in VOTES.items()), F.lit(0.0)) / sum(VOTES.values())
+    ranked = f.withColumn("_r", F.array_sort(F.array(*[F.struct((-F.round(weight(n), 9)).alias("w"), F.lit(n).alias("name")) for n in REGIMES])))
+    first, second, known = F.col("_r")[0], F.col("_r")[1], F.col("volatility").isNotNull()
+    sure = F.when(known, -first["w"])
+    grade = F.when(sure > 0.85, "VERY_STRONG").when(sure > 0.75, "STRONG").when(sure > 0.65, "MODERATE").when(known, "WEAK")
+    return ranked.select("symbol", "ts", F.when(known, first["name"]).alias("regime"), sure.alias("regime_confidence"), F.when(known & (-second["w"] > -0.7 * first["w"]), second["name"]).alias("regime_second"), grade.alias("strength"))
+
+
+def trend_strength(bars: DataFrame) -> DataFrame:
+    """(symbol, ts, trend_strength): the mean of twice the ADX, of 100 where price and means of 20 and 50 are in order and else 50, and of five times the move of 19 rows in percent, each at most 100; null before 50 rows."""
+    c = F.col
+    rows = pack(bars).select("symbol", "ts", "close", "adx")
+    rows = rows.withColumns({"_n": F.row_number().over(in_order()), "_m20": full("close", F.avg("close"), 20), "_m50": full("close", F.avg("close"), 50), "_back": lag("close", 19)})
+    lined = ((c("close") > c("_m20")) & (c("_m20") > c("_m50"))) | ((c("close") < c("_m20")) & (c("_m20") < c("_m50")))
+    at_most = lambda x: F.when(x > 100, 100.0).otherwise(x)
+    parts = (at_most(2 * c("adx")) + F.when(lined, 100.0).otherwise(50.0) + at_most(F.abs(c("close") / c("_back") - 1) * 500)) / 3
+    return rows.select("symbol", "ts", F.when(c("_n") >= 50, parts).alias("trend_strength"))
+
+
 def persistence(rows: DataFrame, regime: str = "regime") -> DataFrame:
     """rows with how long the regime has lasted, changes in the last 20 rows, and the share of the last 10 that equal it."""
     out = islands(rows, regime).withColumnRenamed("run_length", "regime_duration").drop("island")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import features as ft
 from tickloom.operators import regimes
 from tickloom.plans.base import Registry, lag, over, r, rounded
+from tickloom.plans.sequential_queries import ADX_TABLES, MACD_TABLES, RSI_TABLES
 from tickloom.plans.snapshot_sql import SNAPS_SQL, snaps
 
 CLIP = lambda x, low, high: f"case when {x} > {high} then {high} when {x} < {low} then {low} else {x} end"
@@ -49,6 +50,28 @@ def exploded(rows):
     return rows.select("symbol", "ts", F.explode("features").alias("_f")).select("symbol", "ts", "_f.name", "_f.value")
 
 
+_W = lambda n, agg, col: f"case when count({col}) over (partition by symbol order by i rows {n - 1} preceding) = {n} then {agg} over (partition by symbol order by i rows {n - 1} preceding) end"
+_LAG = lambda col, k: f"lag({col}, {k}) over (partition by symbol order by i)"
+DECISION_SQL = f"""with recursive {SNAPS_SQL}, i as (select symbol, ts, price * 1.01 as high, price * 0.99 as low, price as close, volume, row_number() over (partition by symbol order by ts) - 1 as i from snaps), {ADX_TABLES}, {RSI_TABLES}, {MACD_TABLES},
+    q0 as (select *, i::double as x, case when close > 0 and {_LAG('close', 1)} > 0 then ln(close / {_LAG('close', 1)}) end as ret, (close > {_LAG('close', 1)})::int as rose, (close < {_LAG('close', 1)})::int as fell, close / {_LAG('close', 20)} - 1 as m20, close / {_LAG('close', 60)} - 1 as m60 from i),
+    q1 as (select *, coalesce(rose = 1 and {_LAG('rose', 1)} = 1, false) as hh, coalesce(fell = 1 and {_LAG('fell', 1)} = 1, false) as ll, {_W(5, 'avg(close)', 'close')} as mid, {_W(5, 'stddev_pop(close)', 'close')} as dev from q0),
+    q2 as (select *, ({_W(20, 'stddev_pop(ret)', 'ret')}) * sqrt(252) as vol, {_W(20, 'avg(ret)', 'ret')} as mean_ret, ({_W(14, 'regr_slope(close, x)', 'close')}) / first_value(close) over (partition by symbol order by i rows 13 preceding) as slope, {_W(14, 'regr_r2(close, x)', 'close')} as fit,
+        count(*) filter (where hh) over (partition by symbol order by i rows 17 preceding) as nh, count(*) filter (where ll) over (partition by symbol order by i rows 17 preceding) as nl from q1),
+    q3 as (select q2.*, coalesce(adx.v, 25.0) as adx_, coalesce(case when ga.v + lo.v > 0 then 100 * ga.v / (ga.v + lo.v) when ga.v is not null then 0.0 end, 50.0) as rsi_, coalesce(mm.d - mm.v, 0.0) as hist, coalesce(case when dev > 0 then (close - mid + 2 * dev) / (4 * dev) when dev = 0 then 0.5 end, 0.5) as place, coalesce(m20, 0.0) as mo
+        from q2 left join adx using (symbol, i) left join ga using (symbol, i) left join lo using (symbol, i) left join mm using (symbol, i) where vol is not null),
+    q4 as (select *, case when vol > 0.3 then 'VOLATILE' when mean_ret > 0.001 and slope > 0.001 then case when abs(slope) > 0.01 then 'BREAKOUT' else 'BULL' end when mean_ret < -0.001 and slope < -0.001 then case when abs(slope) > 0.01 then 'BREAKDOWN' else 'BEAR' end
+            when nh > 0 and nl = 0 then 'ACCUMULATION' when nl > 0 and nh = 0 then 'DISTRIBUTION' else 'SIDEWAYS' end as r1,
+        case when vol > 0.3 then least(0.9, vol / 0.3 * 0.7) when (mean_ret > 0.001 and slope > 0.001) or (mean_ret < -0.001 and slope < -0.001) then case when abs(slope) > 0.01 then least(0.9, abs(slope) * 50) else 0.7 end else 0.6 end as c1,
+        case when adx_ > 25 then case when rsi_ > 60 and hist > 0 then 'BULL' when rsi_ < 40 and hist < 0 then 'BEAR' else 'VOLATILE' end when adx_ < 20 then case when place > 0.8 then 'DISTRIBUTION' when place < 0.2 then 'ACCUMULATION' else 'SIDEWAYS' end when mo > 0.05 then 'BULL' when mo < -0.05 then 'BEAR' else 'SIDEWAYS' end as r2,
+        case when adx_ > 25 then case when (rsi_ > 60 and hist > 0) or (rsi_ < 40 and hist < 0) then least(0.9, abs(rsi_ - 50) / 50 * 0.8) else 0.7 end when adx_ < 20 then case when place > 0.8 or place < 0.2 then 0.6 else 0.7 end else 0.6 end as c2,
+        case when vol >= 0.2 then 'VOLATILE' when vol < 0.1 and m60 > 0 then 'ACCUMULATION' else 'SIDEWAYS' end as r3, case when vol >= 0.4 then 0.9 when vol >= 0.2 then 0.7 when vol < 0.1 then 0.6 else 0.4 end as c3,
+        case when slope > 0.001 then case when slope > 0.02 then 'BREAKOUT' else 'BULL' end when slope < -0.001 then case when slope < -0.02 then 'BREAKDOWN' else 'BEAR' end else 'SIDEWAYS' end as r4,
+        least(0.9, coalesce(fit, 0.0) * 0.8 + 0.3) * case when abs(slope) > 0.02 then 1.0 when abs(slope) > 0.001 then 0.8 else 0.6 end as c4 from q3),
+    q5 as (select symbol, ts, unnest([{{'n': r1, 'w': 0.3 * c1}}, {{'n': r2, 'w': 0.25 * c2}}, {{'n': r3, 'w': 0.2 * c3}}, {{'n': r4, 'w': 0.15 * c4}}]) as v from q4), q6 as (select symbol, ts, v.n as name, round(sum(v.w) / 0.9, 9) as w from q5 group by all),
+    q7 as (select *, row_number() over (partition by symbol, ts order by w desc, name) as rn, lead(name) over (partition by symbol, ts order by w desc, name) as name2, lead(w) over (partition by symbol, ts order by w desc, name) as w2 from q6)
+    select s.symbol, s.ts, name as regime, {r('w::double', 'regime_confidence')}, case when w2 > 0.7 * w then name2 end as regime_second, case when w > 0.85 then 'VERY_STRONG' when w > 0.75 then 'STRONG' when w > 0.65 then 'MODERATE' when w is not null then 'WEAK' end as strength from snaps s left join q7 on q7.symbol = s.symbol and q7.ts = s.ts and rn = 1"""
+
+
 def register(reg: Registry) -> None:
     cols = (*ft.MARKET, "agreement")
     reg.add("feat_market", lambda spark, d: rounded(market(spark, d)), f"with {MARKET_SQL} select ts, {', '.join(r(f'({c})::double', c) for c in cols)}, n from fm")
@@ -107,6 +130,11 @@ def register(reg: Registry) -> None:
         return rounded(s.withColumns(regimes.technical_vote(c("volatility") / 2, c("rsi"), c("macd"), c("place"), c("momentum"))).select("symbol", "ts", "technical_regime", "technical_confidence"))
 
     place = "case when bb_upper > bb_lower then (price - bb_lower) / (bb_upper - bb_lower) end"
+    def market(spark, d):
+        p = F.col("price")
+        return snaps(spark, d).select("symbol", "ts", (p * 1.01).alias("high"), (p * 0.99).alias("low"), p.alias("close"), "volume")
+
+    reg.add("regime_decision", lambda spark, d: rounded(regimes.decision(market(spark, d))), DECISION_SQL)
     reg.add("regime_technical_vote", vote, f"""with {SNAPS_SQL}, v as (select *, volatility / 2 as adx, {place} as place, (rsi > 60 and macd > 0) or (rsi < 40 and macd < 0) as sided from snaps)
         select symbol, ts, case when adx > 25 then case when rsi > 60 and macd > 0 then 'BULL' when rsi < 40 and macd < 0 then 'BEAR' else 'VOLATILE' end when adx < 20 then case when place > 0.8 then 'DISTRIBUTION' when place < 0.2 then 'ACCUMULATION' else 'SIDEWAYS' end
             when adx is not null then case when momentum > 0.05 then 'BULL' when momentum < -0.05 then 'BEAR' else 'SIDEWAYS' end end as technical_regime,

@@ -6,13 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars, text
-from tickloom.functions.windows import full, in_order, lag, last, mean
-from tickloom.operators import quality, risk
-from tickloom.operators.strategies import at_most
+from tickloom.functions.windows import full, in_order, lag, last
+from tickloom.operators import quality, regimes, risk
 from tickloom.plans.base import BARS_SQL, Registry, bars, r, rounded
 from tickloom.plans.base import full as sql_full
 from tickloom.plans.base import lag as sql_lag
 from tickloom.plans.base import over as sql_over
+from tickloom.plans.sequential_queries import ADX_TABLES
 from tickloom.plans.snapshot_sql import SNAPS_SQL, snaps
 from tickloom.plans.trading_queries import POSITIONS_SQL, positions
 from tickloom.sources import market
@@ -81,16 +81,9 @@ def register(reg: Registry) -> None:
         select symbol, ts, {r('least(1.0, case when volatility > 50 then 0.3 else 0 end + case when tr > 2 then 0.2 else 0 end + case when rsi > 80 or rsi < 20 then 0.2 else 0 end + case when confidence > 30 then 0.1 else 0 end + case when abs(sentiment) < 0.3 then 0.1 else 0 end)::double', 'transition', 4)},
         {r('t::double', 'triangle', 4)}, case when t >= 0.9 then 'VERY_HIGH' when t >= 0.8 then 'HIGH' when t >= 0.6 then 'MEDIUM' when t >= 0.4 then 'LOW' else 'VERY_LOW' end as reliability, {r('case when abs(hi - lo) > 1e-10 then (la - ha) / (hi - lo) end', 'meets_at', 4)} from d""")
 
-    def strength(spark, d):
-        b = bars(spark, d)
-        c, m20, m50 = F.col("close"), mean("close", 20), mean("close", 50)
-        b = b.withColumns({"_n": F.row_number().over(in_order()), "_m20": m20, "_m50": m50, "_back": lag("close", 19)})
-        lined = ((c > F.col("_m20")) & (F.col("_m20") > F.col("_m50"))) | ((c < F.col("_m20")) & (F.col("_m20") < F.col("_m50")))
-        parts = (F.when(lined, 100.0).otherwise(50.0) + at_most(F.abs(c / F.col("_back") - 1) * 100 * 5, 100.0)) / 2
-        return rounded(b.select("symbol", "ts", F.when(F.col("_n") >= 50, parts).alias("trend_strength")))
-
-    reg.add("ind_trend_strength", strength, f"""with {BARS_SQL}, a as (select *, row_number() over (partition by symbol order by ts) as n, {sql_full(20, 'avg(close)', 'close')} as m20, {sql_full(50, 'avg(close)', 'close')} as m50, {sql_lag('close', 19)} as b from bars)
-        select symbol, ts, {r('case when n >= 50 then (case when (close > m20 and m20 > m50) or (close < m20 and m20 < m50) then 100.0 else 50.0 end + least(100.0, abs(close / b - 1) * 500)) / 2 end', 'trend_strength')} from a""")
+    reg.add("ind_trend_strength", lambda spark, d: rounded(regimes.trend_strength(bars(spark, d))), f"""with recursive {BARS_SQL}, i as (select *, row_number() over (partition by symbol order by ts) - 1 as i from bars), {ADX_TABLES},
+        a as (select *, {sql_full(20, 'avg(close)', 'close')} as m20, {sql_full(50, 'avg(close)', 'close')} as m50, {sql_lag('close', 19)} as b from i)
+        select a.symbol, ts, {r('case when a.i >= 49 then (least(100.0, 2 * adx.v) + case when (close > m20 and m20 > m50) or (close < m20 and m20 < m50) then 100.0 else 50.0 end + least(100.0, abs(close / b - 1) * 500)) / 3 end', 'trend_strength')} from a left join adx on adx.symbol = a.symbol and adx.i = a.i""")
 
     # summaries
     top = lambda spark, d: positions(spark, d).withColumn("market_value", F.col("quantity") * F.col("entry"))
