@@ -16,16 +16,20 @@ def test_first_bars_against_a_walk(spark):
     r = random.Random(5)
     bars = [("A", i, *sorted((r.uniform(10, 20), r.uniform(10, 20))), r.uniform(10, 20)) for i in range(300)]
     bars = [(s, i, max(b, c), min(a, c), c) for s, i, a, b, c in bars]
-    orders = [(k, "A", r.randrange(310), r.choice(("BUY", "SELL")), r.choice(("MARKET", "LIMIT", "STOP", "TRAILING_STOP")), r.uniform(9, 21), r.uniform(1, 11)) for k in range(400)]
+    orders = [(k, "A", r.randrange(310), r.choice(("BUY", "SELL")), r.choice(("MARKET", "LIMIT", "STOP", "TRAILING_STOP", "STOP_LIMIT")), r.uniform(9, 21), r.uniform(1, 11), r.uniform(9, 21)) for k in range(500)]
     want = {}
-    for key, _, at, side, kind, price, amount in orders:
-        low, high = float("inf"), float("-inf")
+    for key, _, at, side, kind, price, amount, limit in orders:
+        low, high, open_ = float("inf"), float("-inf"), False
         for _, i, h, lo, c in bars[at:]:
             low, high = min(low, lo), max(high, h)
             if kind == "MARKET":
                 hit, paid = True, c
             elif kind == "LIMIT":
                 hit, paid = (lo <= price if side == "BUY" else h >= price), price
+            elif kind == "STOP_LIMIT":
+                hit, paid = open_ and (lo <= limit if side == "BUY" else h >= limit), limit
+                if not open_ and (c >= price if side == "BUY" else c <= price):
+                    open_, hit = True, c <= limit if side == "BUY" else c >= limit
             elif kind == "STOP":
                 hit, paid = (c >= price if side == "BUY" else c <= price), c
             else:
@@ -35,7 +39,7 @@ def test_first_bars_against_a_walk(spark):
                 break
     stamp = lambda c: F.timestamp_seconds(F.col(c) * 60).cast("timestamp_ntz")
     b = spark.createDataFrame(bars, "symbol string, i long, high double, low double, close double").withColumn("ts", stamp("i")).drop("i")
-    o = spark.createDataFrame(orders, "order_id long, symbol string, i long, side string, order_type string, price double, amount double").withColumn("ts", stamp("i")).drop("i")
+    o = spark.createDataFrame(orders, "order_id long, symbol string, i long, side string, order_type string, price double, amount double, limit_price double").withColumn("ts", stamp("i")).drop("i")
     got = {x.order_id: (x.m, x.fill_price) for x in trading.first_bars(o, b).withColumn("m", F.unix_timestamp(F.col("filled_ts").cast("timestamp")) / 60).collect()}
     assert got == {k: (float(i), p) for k, (i, p) in want.items()}
 

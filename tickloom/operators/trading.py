@@ -156,12 +156,14 @@ def first_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
     """(order_id, filled_ts, fill_price) of orders (order_id, symbol, ts, side, order_type, price, amount): the first bar at or after the order that reaches the price, no row if none does.
 
     A market order takes the first close, a limit order its own price. A stop order takes the close that passes its price; a trailing one that which
-    falls by the amount from the highest high since the order (a buy: rises from the lowest low).
+    falls by the amount from the highest high since the order (a buy: rises from the lowest low). A stop-limit order (with limit_price) becomes a limit order
+    at the close that passes its price: it is filled at its limit by that close, or by the first bar after it that reaches the limit.
 
     A symbol's bars and orders meet in one task. There a tree of minima and maxima over the bars answers each order in logarithmic time; no order meets its symbol's bars one by one.
     """
-    both = orders.select("symbol", "ts", "order_id", "side", "order_type", "price", "amount", F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("close"))
-    both = both.unionByName(bars.select("symbol", "ts", F.lit(None).cast("long").alias("order_id"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("order_type"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("amount"), "high", "low", "close"))
+    limit_price = F.col("limit_price").cast("double") if "limit_price" in orders.columns else F.lit(None).cast("double")
+    both = orders.select("symbol", "ts", "order_id", "side", "order_type", "price", "amount", limit_price.alias("limit_price"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("close"))
+    both = both.unionByName(bars.select("symbol", "ts", F.lit(None).cast("long").alias("order_id"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("order_type"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("double").alias("limit_price"), "high", "low", "close"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         b = group[group["order_id"].isna()].sort_values("ts")
@@ -205,7 +207,7 @@ def first_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
             return -1
 
         starts = np.searchsorted(ts, o["ts"].to_numpy(), side="left")
-        for key, side, kind, price, amount, start in zip(o["order_id"], o["side"].str.lower(), o["order_type"].str.lower(), o["price"], o["amount"], starts, strict=True):
+        for key, side, kind, price, amount, limit, start in zip(o["order_id"], o["side"].str.lower(), o["order_type"].str.lower(), o["price"], o["amount"], o["limit_price"], starts, strict=True):
             buy = side == "buy"
             if start >= len(ts):
                 continue
@@ -217,6 +219,10 @@ def first_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
             elif kind == "trailing_stop":
                 k = trailing(int(start), buy, amount)
                 paid = close[k] if k >= 0 else None
+            elif kind == "stop_limit":
+                k, paid = first("close_high", int(start), lambda x: x >= price) if buy else first("close_low", int(start), lambda x: x <= price), limit
+                if k >= 0 and not (close[k] <= limit if buy else close[k] >= limit):
+                    k = first("low", k + 1, lambda x: x <= limit) if buy else first("high", k + 1, lambda x: x >= limit)
             else:
                 k = first("close_high", int(start), lambda x: x >= price) if buy else first("close_low", int(start), lambda x: x <= price)
                 paid = close[k] if k >= 0 else None

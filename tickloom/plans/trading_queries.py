@@ -105,6 +105,16 @@ def register(reg: Registry) -> None:
     reg.add("trading_closed", closing, f"with {CYCLE_SQL.split(', purse as')[0]} select account, symbol, reason, case when reason in ('stop_loss', 'large_loss') then 0 when reason = 'max_hold' then 2 else 1 end as turn, {r('realized', 'realized')}, {r('realized / (entry * quantity) * 100', 'realized_pct')}, minutes from gone")
     reg.add("order_checks", lambda spark, d: checked(spark, d).select("order_id", "account", "error"), f"with {CHECKED_SQL} select order_id, account, error from checked")
     reg.add("order_fills", lambda spark, d: rounded(trading.first_bars(orders(spark, d), bars(spark, d))), f"with {BARS_SQL}, {ORDERS_SQL}, {FILLS_SQL} select order_id, filled_ts, {r('fill_price', 'fill_price')} from filled")
+    def stop_limits(spark, d):
+        buys = F.col("side") == "BUY"
+        o = orders(spark, d).withColumns({"order_type": F.lit("STOP_LIMIT"), "price": F.col("amount") - 20, "limit_price": F.col("amount") - 20 + F.when(buys, -1).otherwise(1) * (F.col("order_id") % 7 - 3)})
+        return rounded(trading.first_bars(o, bars(spark, d)))
+
+    reg.add("order_stop_limits", stop_limits, f"""with {BARS_SQL}, {ORDERS_SQL}, o as (select order_id, symbol, ts, side = 'BUY' as buys, amount - 20 as stop, amount - 20 + case when side = 'BUY' then -1 else 1 end * (order_id % 7 - 3) as lim from orders_),
+        hit as (select o.*, (select min(b.ts) from bars b where b.symbol = o.symbol and b.ts >= o.ts and case when buys then b.close >= stop else b.close <= stop end) as hit_ts from o),
+        trig as (select hit.*, b.close as c from hit join bars b on b.symbol = hit.symbol and b.ts = hit_ts),
+        f as (select order_id, lim, case when case when buys then c <= lim else c >= lim end then hit_ts else (select min(b.ts) from bars b where b.symbol = trig.symbol and b.ts > hit_ts and case when buys then b.low <= lim else b.high >= lim end) end as filled_ts from trig)
+        select order_id, filled_ts, {r('lim', 'fill_price')} from f where filled_ts is not null""")
     state = "case when error is not null then 'REJECTED' when filled_ts is not null and filled_ts <= expires_at then 'FILLED' when expires_at < timestamp '2024-01-30 12:00:00' then 'EXPIRED' when cancel then 'CANCELLED' else 'PENDING' end"
     reg.add("order_status", lambda spark, d: states(spark, d).groupBy("order_type", "status").agg(F.count("*").alias("orders")), f"with {BARS_SQL}, {CHECKED_SQL}, {FILLS_SQL} select order_type, {state} as status, count(*) as orders from checked left join filled using (order_id) group by all")
     reg.add("order_open", lambda spark, d: states(spark, d).where("status = 'PENDING'").select("order_id", "symbol", "order_type"), f"with {BARS_SQL}, {CHECKED_SQL}, {FILLS_SQL} select order_id, symbol, order_type from checked left join filled using (order_id) where {state} = 'PENDING'")
