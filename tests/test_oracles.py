@@ -17,7 +17,7 @@ from tickloom.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 #: One or more of each family: the driver compares all.
-GROUPS = ("sig_bear", "sig_bull", "sig_rules", "sig_crypto", "sig_volatility", "sig_breakouts", "select_c", "select_s", "news_aggregated", "news_annotated", "social_platforms", "feat_scaled", "feat_market", "trading_", "order_fills", "order_checks", "scalar_", "vol_garman", "vol_yang", "quality_c", "quality_q", "risk_metrics", "risk_sizes", "state_history", "state_order", "state_ledger", "stream_unseen", "sig_shape", "sig_size", "candles_", "patterns_")
+GROUPS = ("sig_bear", "sig_bull", "sig_rules", "sig_crypto", "sig_volatility", "sig_breakouts", "select_c", "select_s", "news_aggregated", "news_annotated", "social_platforms", "feat_scaled", "feat_market", "trading_", "order_fills", "order_checks", "scalar_", "vol_garman", "vol_yang", "quality_c", "quality_q", "risk_metrics", "risk_sizes", "state_history", "state_order", "state_ledger", "stream_unseen", "sig_shape", "sig_size", "candles_", "checks_", "risk_compound", "risk_summary", "scan_breakout_preset", "scan_momentum_preset", "text_known", "text_market", "vector_d", "stream_feed", "stream_book", "source_routing", "seq_adx", "seq_para", "regime_decision", "ind_trend", "order_stop")
 
 
 def value(x):

@@ -7,10 +7,10 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.plans import anomaly_queries, breakout_queries, candle_queries, feature_queries, indicator_queries, market_queries, news_queries, pattern_queries, portfolio_queries, range_queries, selector_queries, sequential_queries, small_queries, state_queries, strategy_queries, stream_queries, text_queries, trading_queries
+from tickloom.plans import anomaly_queries, breakout_queries, candle_queries, check_queries, feature_queries, indicator_queries, market_queries, news_queries, pattern_queries, portfolio_queries, range_queries, selector_queries, sequential_queries, small_queries, state_queries, strategy_queries, stream_queries, text_queries, trading_queries
 from tickloom.plans.base import Registry
 
-MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries, strategy_queries, selector_queries, news_queries, feature_queries, trading_queries, small_queries, range_queries, state_queries, anomaly_queries, breakout_queries, candle_queries)
+MODULES = (indicator_queries, sequential_queries, portfolio_queries, market_queries, text_queries, pattern_queries, stream_queries, strategy_queries, selector_queries, news_queries, feature_queries, trading_queries, small_queries, range_queries, state_queries, anomaly_queries, breakout_queries, candle_queries, check_queries)
 
 
 @cache

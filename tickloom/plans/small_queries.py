@@ -23,6 +23,10 @@ NAMES = ("BTC/USDT", "eth-usd", "C", "S", "W", "SB", "KC", "XX", "curl/8.0", "Mo
 FORMATS = ("yyyy-MM-dd", "dd MMM yyyy", "MM/dd/yyyy")
 
 
+#: Asset types that sources serve in the queries; the fifth has none.
+KINDS = ("stock", "crypto", "forex", "commodity", "bond")
+
+
 def register(reg: Registry) -> None:
     orders = lambda spark, d: table(spark, d, "orders").withColumn("word", F.element_at(F.array(*[F.lit(x) for x in NAMES]), (F.col("o_orderkey") % len(NAMES) + 1).cast("int")))
     base = f"with o as (select *, {_LIST(NAMES)}[o_orderkey % {len(NAMES)} + 1] as word from orders)"
@@ -56,12 +60,18 @@ def register(reg: Registry) -> None:
     reg.add("scalar_lookups", looked, f"""{base} select o_orderkey, {regions} as regions, case when word in ('C', 'S') then case when month(o_orderdate) between 3 and 5 then 'Planting' when month(o_orderdate) between 6 and 8 then 'Growing' when month(o_orderdate) between 9 and 11 then 'Harvest' else 'Dormant' end else 'Unknown' end as stage,
         {auto} as automatic, case when {threat} >= 70 then 'CRITICAL' when {threat} >= 50 then 'HIGH' when {threat} >= 30 then 'MEDIUM' else 'LOW' end as threat, coalesce(try_strptime(word, '%Y-%m-%d'), try_strptime(word, '%d %b %Y'), try_strptime(word, '%m/%d/%Y'))::date as parsed from o""")
 
+    def sources(spark, d):
+        """Suppliers as sources: their nation gives the type, the number the priority; those in debt are switched off."""
+        kinds = F.array(*[F.lit(k) for k in KINDS])
+        return table(spark, d, "supplier").select(F.element_at(kinds, (F.col("s_nationkey") % 5 + 1).cast("int")).alias("asset_type"), F.col("s_name").alias("source"), (F.col("s_suppkey") * 7 % 11).alias("priority"), (F.col("s_acctbal") > 0).alias("enabled"))
+
     def routed(spark, d):
-        s = snaps(spark, d)
-        ways = scalars.listed(F.col("asset_type"), scalars.SOURCES, ())
-        return rounded(s.select("symbol", "ts", F.concat_ws(",", ways).alias("sources"), market.liquidity_score(F.col("volume"), F.when(F.col("asset_type") == "crypto", F.col("price") * 1e5)).alias("liquidity")))
+        s = market.routed(snaps(spark, d), sources(spark, d), most=3)
+        return rounded(s.select("symbol", "ts", F.concat_ws(",", "sources").alias("sources"), market.liquidity_score(F.col("volume"), F.when(F.col("asset_type") == "crypto", F.col("price") * 1e5)).alias("liquidity")))
 
-    reg.add("source_routing", routed, f"with {SNAPS_SQL} select symbol, ts, case asset_type {' '.join(f"when '{k}' then '{','.join(v)}'" for k, v in scalars.SOURCES.items())} else '' end as sources, {r("case when volume is null then 0.3 when asset_type <> 'crypto' then 0.1 else least(1.0, 10 * volume / (price * 1e5)) end", 'liquidity')} from snaps")
+    reg.add("source_routing", routed, f"""with {SNAPS_SQL}, a as (select ({list(KINDS)})[s_nationkey % 5 + 1] as asset_type, s_name, s_suppkey * 7 % 11 as priority from supplier where s_acctbal > 0),
+        b as (select * from a qualify row_number() over (partition by asset_type order by priority, s_name) <= 3), c as (select asset_type, string_agg(s_name, ',' order by priority, s_name) as sources from b group by 1)
+        select symbol, ts, coalesce(sources, '') as sources, {r("case when volume is null then 0.3 when asset_type <> 'crypto' then 0.1 else least(1.0, 10 * volume / (price * 1e5)) end", 'liquidity')} from snaps left join c using (asset_type)""")
 
     # scores over snapshots
     def scores(spark, d):

@@ -72,6 +72,20 @@ def snapshots(rows: DataFrame) -> DataFrame:
     return latest(moved, ["symbol"], [F.desc("ts")]).withColumnRenamed("close", "price")
 
 
+def routes(sources: DataFrame, most: int = 10) -> DataFrame:
+    """(asset_type, sources): of a table (asset_type, source, priority, enabled) the enabled sources of each type, the least priority first, then by name; at most `most`."""
+    rank = F.row_number().over(Window.partitionBy("asset_type").orderBy("priority", "source"))
+    best = sources.where("enabled").withColumn("_rn", rank).where(F.col("_rn") <= most)
+    ordered = F.array_sort(F.collect_list(F.struct("_rn", "source")))
+    return best.groupBy("asset_type").agg(ordered["source"].alias("sources"))
+
+
+def routed(rows: DataFrame, sources: DataFrame, most: int = 10) -> DataFrame:
+    """rows (asset_type) with the sources to ask, in order; an empty list for a type that has none. One row a type is joined."""
+    none = F.array().cast("array<string>")
+    return rows.join(routes(sources, most), "asset_type", "left").withColumn("sources", F.coalesce("sources", none))
+
+
 def liquidity_score(volume: Column, cap: Column) -> Column:
     """min(1, 10 volume / cap); 0.1 without a cap, 0.3 where the volume is missing."""
     return F.when(volume.isNull(), 0.3).when(cap.isNull() | (cap <= 0), 0.1).otherwise(F.least(F.lit(1.0), 10 * volume / cap))
