@@ -201,7 +201,3 @@ def business_days(start: Column, end: Column) -> Column:
 
 def growing_stage(month: Column) -> Column:
     return F.when(month.between(3, 5), "PLANTING").when(month.between(6, 8), "GROWING").when(month.between(9, 11), "HARVEST").otherwise("DORMANT")
-
-
-def step_quantity(quantity: Column, step: float) -> Column:
-    return F.floor(quantity / step) * step

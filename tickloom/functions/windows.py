@@ -49,10 +49,6 @@ def total(value: Column | str, n: int) -> Column:
     return full(value, F.sum(value), n)
 
 
-def forward_fill(value: str, by: str = "symbol", order: str = "ts") -> Column:
-    return F.last(value, ignorenulls=True).over(so_far(by, order))
-
-
 def as_of_join(left: DataFrame, right: DataFrame, by: str, ts: str, values: list[str]) -> DataFrame:
     """left with the values of right's last row at or before each time, of the same key: one union and one window, no range join."""
     blank = [F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values]

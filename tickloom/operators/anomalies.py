@@ -1,4 +1,4 @@
-"""Anomalies by isolation forest: trees grown from bounded samples, kept as a table of nodes, and walked by column expressions for every row."""
+"""Anomalies by isolation forest: trees grown from bounded samples, kept as a table of nodes, and walked for every row, a batch at a time."""
 
 from __future__ import annotations
 
@@ -74,24 +74,35 @@ def forest(rows: DataFrame, features: list[str], trees: int = 100, sample: int =
 def path_lengths(rows: DataFrame, features: list[str], nodes: DataFrame, sample: int = 256) -> DataFrame:
     """rows with `path`, the mean path length of the forest, and `score`, 2 to the minus path over its mean for `sample` rows: over half is unusual, near 1 an outlier; null for rows with a null or infinite feature, and without nodes.
 
-    The nodes, at most 2 * sample - 1 a tree, come to each row as arrays from a table of one row; rows are not repeated a tree. All trees are walked together, a level a step: a leaf
-    stays where it is, as its split is infinite. Works on streams.
+    The nodes, at most 2 * sample - 1 a tree, go to the tasks as arrays. A batch of rows walks all trees together, a level a step: a leaf stays where it is, as its split is infinite. Works on streams.
     """
     depth = max(1, math.ceil(math.log2(max(2, sample))))
-    spark = rows.sparkSession
     known = nodes.orderBy("tree", "node").toPandas()  # bounded by trees and sample
-    base = known.groupby("tree")["node"].transform("size").groupby(known["tree"]).first().cumsum().shift(fill_value=0) if len(known) else pd.Series(dtype=int)
-    first = known["tree"].map(base).to_numpy(dtype=int) if len(known) else np.zeros(0, int)
+    if not len(known):
+        return rows.withColumns({"path": F.lit(None).cast("double"), "score": F.lit(None).cast("double")})
+    sizes = known.groupby("tree").size()
+    roots = (sizes.cumsum() - sizes).to_numpy()
     leaf = known["feature"].to_numpy() < 0
-    packed = (np.where(leaf, 0, known["feature"]).tolist(), np.where(leaf, np.inf, known["split"]).tolist(), (first + known["below"].to_numpy()).tolist(), known["length"].tolist(), [int(x) for x in base])
-    table = spark.createDataFrame([packed], "_feature array<int>, _split array<double>, _below array<int>, _length array<double>, _roots array<int>")
-    at = F.col("_roots")
-    for _ in range(depth):  # the upper side of a split follows the lower one
-        at = F.transform(at, lambda i: F.get("_below", i) + (F.get("_x", F.get("_feature", i)) >= F.get("_split", i)).cast("int"))
-    total = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.get("_length", i))
-    joined = rows.withColumn("_x", F.array(*[F.col(c).cast("double") for c in features])).join(F.broadcast(table))
-    mean = F.when(sound(features) & (F.size("_roots") > 0), total / F.size("_roots"))
-    return joined.withColumn("path", mean).withColumn("score", F.pow(F.lit(2.0), -F.col("path") / average_path(sample))).drop("_x", "_feature", "_split", "_below", "_length", "_roots")
+    feature, split, length = np.where(leaf, 0, known["feature"]), np.where(leaf, np.inf, known["split"]), known["length"].to_numpy()
+    below = np.repeat(roots, sizes) + known["below"].to_numpy()
+
+    @F.pandas_udf("double")
+    def walked(x: pd.Series) -> pd.Series:
+        out, told = np.full(len(x), np.nan), x.notna().to_numpy()
+        values = np.array(x[told].tolist(), dtype=float).reshape(-1, len(features))
+        found = np.empty(len(values))
+        for start in range(0, len(values), 2000):
+            part = values[start : start + 2000]
+            at, each = np.broadcast_to(roots, (len(part), len(roots))), np.arange(len(part))[:, None]
+            for _ in range(depth):  # the upper side of a split follows the lower one
+                at = below[at] + (part[each, feature[at]] >= split[at])
+            found[start : start + 2000] = length[at].mean(axis=1)
+        out[told] = found
+        return pd.Series(out)
+
+    values = F.when(sound(features), F.array(*[F.col(c).cast("double") for c in features]))
+    path = F.nanvl(walked(values), F.lit(None).cast("double"))
+    return rows.withColumn("path", path).withColumn("score", F.pow(F.lit(2.0), -F.col("path") / average_path(sample)))
 
 
 def limit(rows: DataFrame, features: list[str], nodes: DataFrame, contamination: float = 0.1, sample: int = 256) -> float | None:

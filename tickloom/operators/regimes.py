@@ -137,11 +137,6 @@ def persistence(rows: DataFrame, regime: str = "regime") -> DataFrame:
     return out.withColumn("regime_share", F.size(F.filter("_l", lambda x: x == F.col(regime))) / F.size("_l")).drop("_c", "_l")
 
 
-def adjusted_confidence(confidence: Column, share: Column, agreement: Column) -> Column:
-    """Times 0.7 + 0.3 of the share of recent equal regimes, times 0.8 + 0.2 of the agreement of direction, in 0.1..1."""
-    return F.greatest(F.lit(0.1), F.least(F.lit(1.0), confidence * (0.7 + 0.3 * share) * (0.8 + 0.2 * agreement)))
-
-
 def consolidations(bars: DataFrame, n: int = 5, window: int = 30) -> DataFrame:
     """(symbol, consolidations): runs, in each symbol's last `window` bars, where the deviation of n closes is under half its median."""
     rows = bars.withColumn("_rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("_rn") <= window)

@@ -117,10 +117,6 @@ def history(found: DataFrame, as_of: Column, hours: int, limit: int, scan_name:
     return recent.orderBy(F.desc("ts"), "symbol", "scan").limit(limit)
 
 
-def prefilter(snaps: DataFrame, price: tuple[float, float] = (1.0, 1000.0), volume: float = 0.0, change: tuple[float, float] = (-100.0, 100.0)) -> DataFrame:
-    return snaps.where(F.col("price").between(*price) & (F.col("volume") >= volume) & F.col("change_pct").between(*change))
-
-
 def best_per_symbol(found: DataFrame, k: int = 3) -> DataFrame:
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("score"), "ts", "scan")))
     return ranked.where(F.col("rank") <= k)
