@@ -45,8 +45,8 @@ def feed(spark, d):
 
 
 def register(reg: Registry) -> None:
-    age = F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    reg.add("checks_live", lambda spark, d: live(spark, d).select("record_id", "kind", checks.live_error(age, 864000).alias("error")), LIVE_SQL)
+    age = lambda: F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    reg.add("checks_live", lambda spark, d: live(spark, d).select("record_id", "kind", checks.live_error(age(), 864000).alias("error")), LIVE_SQL)
 
     def parameters(spark, d):
         o = table(spark, d, "orders")
