@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import scalars, text
 from tickloom.functions.windows import full, in_order, lag, last
-from tickloom.operators import quality, regimes, risk
+from tickloom.operators import quality, regimes, reports
 from tickloom.plans.base import BARS_SQL, Registry, bars, r, rounded
 from tickloom.plans.base import full as sql_full
 from tickloom.plans.base import lag as sql_lag
@@ -96,47 +95,23 @@ def register(reg: Registry) -> None:
         select a.symbol, ts, {r('case when a.i >= 49 then (least(100.0, 2 * adx.v) + case when (close > m20 and m20 > m50) or (close < m20 and m20 < m50) then 100.0 else 50.0 end + least(100.0, abs(close / b - 1) * 500)) / 3 end', 'trend_strength')} from a left join adx on adx.symbol = a.symbol and adx.i = a.i""")
 
     # summaries
-    top = lambda spark, d: positions(spark, d).withColumn("market_value", F.col("quantity") * F.col("entry"))
-    reg.add("top_positions", lambda spark, d: rounded(top(spark, d).orderBy(F.desc(F.abs("market_value")), "account", "symbol").limit(5).select("account", "symbol", "market_value"), 4), f"with {POSITIONS_SQL} select account, symbol, {r('quantity * entry', 'market_value', 4)} from positions order by quantity * entry desc, account, symbol limit 5")
-    reg.add("recent_trades", lambda spark, d: table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20).select("event_id", "event_type", "ts"), "select event_id, event_type, ts from events order by ts desc, event_id desc limit 20")
-
-    def totals(spark, d):
-        p = top(spark, d).withColumn("_g", F.when(F.col("side") == "LONG", 235.0 - F.col("entry")).otherwise(F.col("entry") - 235.0) * F.col("quantity"))
-        return rounded(p.groupBy("account").agg(F.count("*").alias("positions"), F.sum("market_value").alias("market_value"), F.sum("_g").alias("unrealized"), F.max("market_value").alias("largest"), F.count_if(F.col("side") == "LONG").alias("long"), F.count_if(F.col("_g") > 0).alias("winning")), 4)
+    top = lambda spark, d: reports.valued(positions(spark, d), F.lit(235.0))
+    reg.add("top_positions", lambda spark, d: rounded(reports.top_positions(top(spark, d)).select("account", "symbol", "market_value"), 4), f"with {POSITIONS_SQL} select account, symbol, {r('quantity * entry', 'market_value', 4)} from positions order by quantity * entry desc, account, symbol limit 5")
+    reg.add("recent_trades", lambda spark, d: reports.newest(table(spark, d, "events"), 20).select("event_id", "event_type", "ts"), "select event_id, event_type, ts from events order by ts desc, event_id desc limit 20")
 
     gain = "case when side = 'LONG' then 235.0 - entry else entry - 235.0 end * quantity"
-    reg.add("account_totals", totals, f"with {POSITIONS_SQL} select account, count(*) as positions, {r('sum(quantity * entry)', 'market_value', 4)}, {r(f'sum({gain})', 'unrealized', 4)}, {r('max(quantity * entry)', 'largest', 4)}, count(*) filter (where side = 'LONG') as long, count(*) filter (where {gain} > 0) as winning from positions group by account")
-
-    def metrics(spark, d):
-        rets = risk.returns(snaps(spark, d).select("symbol", "ts", "price"), "price")
-        out = risk.value_at_risk(rets, value=1000.0).join(risk.volatility(rets), "symbol").join(risk.performance(rets).select("symbol", "sharpe", "win_rate"), "symbol").join(risk.max_drawdown(snaps(spark, d).select("symbol", "ts", "price"), "price"), "symbol")
-        return rounded(out.withColumn("risk_adjusted", F.when(F.col("sharpe") > 0, F.col("sharpe") * 252**0.5).otherwise(0.0)).select("symbol", "n", "var_95", "var_99", "expected_shortfall", "volatility", "sharpe", "win_rate", "max_drawdown_pct", "risk_adjusted"))
+    reg.add("account_totals", lambda spark, d: rounded(reports.account_totals(top(spark, d)), 4), f"with {POSITIONS_SQL} select account, count(*) as positions, {r('sum(quantity * entry)', 'market_value', 4)}, {r(f'sum({gain})', 'unrealized', 4)}, {r('max(quantity * entry)', 'largest', 4)}, count(*) filter (where side = 'LONG') as long, count(*) filter (where {gain} > 0) as winning from positions group by account")
 
-    reg.add("risk_metrics", metrics, f"""with {SNAPS_SQL}, q as (select symbol, ts, price, {sql_lag('price')} as b, max(price) over (partition by symbol order by ts rows unbounded preceding) as peak from snaps), t as (select symbol, price / b - 1 as x from q where b > 0),
+    reg.add("risk_metrics", lambda spark, d: rounded(reports.risk_metrics(snaps(spark, d))), f"""with {SNAPS_SQL}, q as (select symbol, ts, price, {sql_lag('price')} as b, max(price) over (partition by symbol order by ts rows unbounded preceding) as peak from snaps), t as (select symbol, price / b - 1 as x from q where b > 0),
         a as (select symbol, count(*) as n, quantile_cont(x, 0.05) as p5, quantile_cont(x, 0.01) as p1, stddev_pop(x) * sqrt(252) as v, avg(x) / stddev_samp(x) as sh, avg((x > 0)::int) as w from t group by symbol), e as (select t.symbol, avg(x) as es from t join a using (symbol) where x <= p5 group by t.symbol),
         m as (select symbol, max((peak - price) / peak * 100) as dd from q group by symbol) select symbol, n, {r('abs(p5) * 1000', 'var_95')}, {r('abs(p1) * 1000', 'var_99')}, {r('abs(es) * 1000', 'expected_shortfall')}, {r('v', 'volatility')}, {r('sh', 'sharpe')}, {r('w', 'win_rate')}, {r('dd', 'max_drawdown_pct')}, {r('case when sh > 0 then sh * sqrt(252) else 0.0 end', 'risk_adjusted')}
         from a join e using (symbol) join m using (symbol)""")
 
-    def validation(spark, d):
-        recent = snaps(spark, d).where("rsi is not null").withColumn("_rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).where(F.col("_rn") <= 10)
-        ends = F.max_by("rsi", "ts") > F.min_by("rsi", "ts")
-        return rounded(recent.groupBy("symbol").agg(F.avg("rsi").alias("mean_score"), F.min("rsi").alias("least"), F.max("rsi").alias("most"), F.when(ends, "improving").otherwise("declining").alias("trend")))
-
-    reg.add("validation_summary", validation, f"with {SNAPS_SQL}, t as (select * from snaps where rsi is not null qualify row_number() over (partition by symbol order by ts desc) <= 10) select symbol, {r('avg(rsi)', 'mean_score')}, {r('min(rsi)', 'least')}, {r('max(rsi)', 'most')}, case when arg_max(rsi, ts) > arg_min(rsi, ts) then 'improving' else 'declining' end as trend from t group by symbol")
-    alerts = lambda s: s.withColumns({"type": F.when(F.col("rsi") > 70, "RSI_HIGH").when(F.col("rsi") < 30, "RSI_LOW").when(F.abs("change_pct") > 3, "MOVE"), "priority": F.when(F.col("confidence") > 85, "HIGH").otherwise("NORMAL")}).where("type is not null")
+    reg.add("validation_summary", lambda spark, d: rounded(reports.validation_summary(snaps(spark, d).select("symbol", "ts", F.col("rsi").alias("score")))), f"with {SNAPS_SQL}, t as (select * from snaps where rsi is not null qualify row_number() over (partition by symbol order by ts desc) <= 10) select symbol, {r('avg(rsi)', 'mean_score')}, {r('min(rsi)', 'least')}, {r('max(rsi)', 'most')}, case when arg_max(rsi, ts) > arg_min(rsi, ts) then 'improving' else 'declining' end as trend from t group by symbol")
     alert_sql = "al as (select *, case when rsi > 70 then 'RSI_HIGH' when rsi < 30 then 'RSI_LOW' when abs(change_pct) > 3 then 'MOVE' end as type, case when confidence > 85 then 'HIGH' else 'NORMAL' end as priority from snaps)"
-    reg.add("alert_counts", lambda spark, d: alerts(snaps(spark, d)).groupBy("type", "priority").agg(F.count("*").alias("alerts"), F.max("ts").alias("last_ts")), f"with {SNAPS_SQL}, {alert_sql} select type, priority, count(*) as alerts, max(ts) as last_ts from al where type is not null group by all")
-    reg.add("alert_history", lambda spark, d: alerts(snaps(spark, d)).orderBy(F.desc("ts"), "symbol").limit(50).select("symbol", "ts", "type", "priority"), f"with {SNAPS_SQL}, {alert_sql} select symbol, ts, type, priority from al where type is not null order by ts desc, symbol limit 50")
-    vote = lambda name, signal, sure: F.struct(F.lit(name).alias("name"), signal.alias("signal"), sure.alias("sure"))
-
-    def summary(spark, d):
-        side = lambda c: F.when(F.col(c) > 0, "BULLISH").otherwise("BEARISH")
-        votes = F.array(vote("rsi", F.when(F.col("rsi") > 70, "BEARISH").when(F.col("rsi") < 30, "BULLISH").otherwise("HOLD"), F.col("confidence")), vote("macd", side("macd"), F.lit(60.0)), vote("momentum", side("momentum"), F.lit(50.0)))
-        given = latest(snaps(spark, d), ["symbol"], [F.desc("ts")]).select("symbol", F.explode(votes).alias("v"))
-        n = lambda *names: F.count_if(F.col("v.signal").isin(*names))
-        return rounded(given.groupBy("symbol").agg(F.count("*").alias("indicators"), n("BULLISH").alias("bullish"), n("BEARISH").alias("bearish"), n("HOLD", "NEUTRAL").alias("neutral"), F.avg("v.sure").alias("mean_confidence")))
-
-    reg.add("indicator_summary", summary, f"""with {SNAPS_SQL}, n as (select * from snaps qualify row_number() over (partition by symbol order by ts desc) = 1),
+    reg.add("alert_counts", lambda spark, d: reports.alert_counts(reports.alerting(snaps(spark, d))), f"with {SNAPS_SQL}, {alert_sql} select type, priority, count(*) as alerts, max(ts) as last_ts from al where type is not null group by all")
+    reg.add("alert_history", lambda spark, d: reports.alert_history(reports.alerting(snaps(spark, d))).select("symbol", "ts", "type", "priority"), f"with {SNAPS_SQL}, {alert_sql} select symbol, ts, type, priority from al where type is not null order by ts desc, symbol limit 50")
+    reg.add("indicator_summary", lambda spark, d: rounded(reports.indicator_summary(reports.indicator_votes(latest(snaps(spark, d), ["symbol"], [F.desc("ts")])))), f"""with {SNAPS_SQL}, n as (select * from snaps qualify row_number() over (partition by symbol order by ts desc) = 1),
         i as (select symbol, case when rsi > 70 then 'BEARISH' when rsi < 30 then 'BULLISH' else 'HOLD' end as s, confidence as c from n union all select symbol, case when macd > 0 then 'BULLISH' else 'BEARISH' end, 60 from n union all select symbol, case when momentum > 0 then 'BULLISH' else 'BEARISH' end, 50 from n)
         select symbol, count(*) as indicators, count(*) filter (where s = 'BULLISH') as bullish, count(*) filter (where s = 'BEARISH') as bearish, count(*) filter (where s = 'HOLD') as neutral, {r('avg(c)', 'mean_confidence')} from i group by symbol""")
 
@@ -147,11 +122,6 @@ def register(reg: Registry) -> None:
 
     reg.add("quality_quotes", quotes, """with q as (select event_id, case when event_id % 17 <> 0 then event_type end as symbol, ts, value as bid, value + event_id % 5 - 1 as ask from events), f as (select event_id, symbol is null or bid is null or ask is null or ts is null as missing, coalesce(ask <= bid, false) as crossed, coalesce(epoch(timestamp '2024-01-30 23:30:00') - floor(epoch(ts)) > 86400, false) as stale from q)
         select *, case when missing then 'missing field' when crossed then 'ask not over bid' when stale then 'stale' end as error from f""")
-    reg.add("scan_filter", lambda spark, d: rounded(snaps(spark, d).where(F.col("price").between(210, 260) & (F.col("volume") >= 500000) & F.col("change_pct").between(-5, 5)).select("symbol", "ts", "price", "volume", "change_pct")), f"with {SNAPS_SQL} select symbol, ts, {r('price', 'price')}, {r('volume', 'volume')}, {r('change_pct', 'change_pct')} from snaps where price between 210 and 260 and volume >= 500000 and change_pct between -5 and 5")
-
-    def running(spark, d):
-        s = snaps(spark, d).where("rsi is not null")
-        order = Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-        return rounded(s.select("symbol", "ts", F.count("*").over(order).alias("n"), F.avg("confidence").over(order).alias("mean_confidence"), F.avg((F.col("change_pct") > 0).cast("double")).over(order).alias("success_rate")), 8)
+    reg.add("scan_filter", lambda spark, d: rounded(reports.matching(snaps(spark, d), (210, 260), 500000, (-5, 5)).select("symbol", "ts", "price", "volume", "change_pct")), f"with {SNAPS_SQL} select symbol, ts, {r('price', 'price')}, {r('volume', 'volume')}, {r('change_pct', 'change_pct')} from snaps where price between 210 and 260 and volume >= 500000 and change_pct between -5 and 5")
 
-    reg.add("running_metrics", running, f"with {SNAPS_SQL} select symbol, ts, count(*) over w as n, {r('avg(confidence) over w', 'mean_confidence', 8)}, {r('avg((change_pct > 0)::int) over w', 'success_rate', 8)} from snaps where rsi is not null window w as (partition by symbol order by ts rows unbounded preceding)")
+    reg.add("running_metrics", lambda spark, d: rounded(reports.running_metrics(snaps(spark, d).where("rsi is not null").select("symbol", "ts", "confidence", (F.col("change_pct") > 0).alias("success"))), 8), f"with {SNAPS_SQL} select symbol, ts, count(*) over w as n, {r('avg(confidence) over w', 'mean_confidence', 8)}, {r('avg((change_pct > 0)::int) over w', 'success_rate', 8)} from snaps where rsi is not null window w as (partition by symbol order by ts rows unbounded preceding)")
