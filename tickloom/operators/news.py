@@ -12,9 +12,9 @@ from tickloom.operators.strategies import at_least, at_most
 
 # Keyword groups in order of precedence, impact levels by keyword in order, keyword weights, source weights.
 CATEGORIES = {
-    "EARNINGS": ("earnings", "quarterly", "revenue", "profit", "eps"), "MERGERS": ("merger", "acquisition", "buyout", "takeover"), "REGULATORY": ("sec", "fda", "regulation", "compliance", "investigation"),
-    "MANAGEMENT": ("ceo", "cfo", "president", "director", "appointed", "resigned"), "PRODUCTS": ("launch", "product", "service", "release", "debut"), "PARTNERSHIPS": ("partnership", "alliance", "collaboration", "joint venture"),
-    "RESULTS": ("results", "performance", "guidance", "outlook"), "BREAKING": ("breaking", "urgent", "alert", "developing"),
+    "EARNINGS": ("earnings", "quarterly", "revenue", "profit", "eps"), "MERGERS_ACQUISITIONS": ("merger", "acquisition", "buyout", "takeover"), "REGULATORY": ("sec", "fda", "regulation", "compliance", "investigation"),
+    "MANAGEMENT_CHANGES": ("ceo", "cfo", "president", "director", "appointed", "resigned"), "PRODUCT_LAUNCHES": ("launch", "product", "service", "release", "debut"), "PARTNERSHIPS": ("partnership", "alliance", "collaboration", "joint venture"),
+    "FINANCIAL_RESULTS": ("results", "performance", "guidance", "outlook"), "BREAKING_NEWS": ("breaking", "urgent", "alert", "developing"),
 }
 IMPACT = {
     "crash": "VERY_HIGH", "bankruptcy": "VERY_HIGH", "merger": "VERY_HIGH", "acquisition": "VERY_HIGH", "ipo": "VERY_HIGH", "delisting": "VERY_HIGH", "earnings": "HIGH", "revenue": "HIGH", "guidance": "HIGH", "dividend": "HIGH", "buyback": "HIGH", "lawsuit": "HIGH",
