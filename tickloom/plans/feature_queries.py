@@ -130,11 +130,11 @@ def register(reg: Registry) -> None:
         return rounded(s.withColumns(regimes.technical_vote(c("volatility") / 2, c("rsi"), c("macd"), c("place"), c("momentum"))).select("symbol", "ts", "technical_regime", "technical_confidence"))
 
     place = "case when bb_upper > bb_lower then (price - bb_lower) / (bb_upper - bb_lower) end"
-    def market(spark, d):
+    def index_bars(spark, d):
         p = F.col("price")
         return snaps(spark, d).select("symbol", "ts", (p * 1.01).alias("high"), (p * 0.99).alias("low"), p.alias("close"), "volume")
 
-    reg.add("regime_decision", lambda spark, d: rounded(regimes.decision(market(spark, d))), DECISION_SQL)
+    reg.add("regime_decision", lambda spark, d: rounded(regimes.decision(index_bars(spark, d))), DECISION_SQL)
     reg.add("regime_technical_vote", vote, f"""with {SNAPS_SQL}, v as (select *, volatility / 2 as adx, {place} as place, (rsi > 60 and macd > 0) or (rsi < 40 and macd < 0) as sided from snaps)
         select symbol, ts, case when adx > 25 then case when rsi > 60 and macd > 0 then 'BULL' when rsi < 40 and macd < 0 then 'BEAR' else 'VOLATILE' end when adx < 20 then case when place > 0.8 then 'DISTRIBUTION' when place < 0.2 then 'ACCUMULATION' else 'SIDEWAYS' end
             when adx is not null then case when momentum > 0.05 then 'BULL' when momentum < -0.05 then 'BEAR' else 'SIDEWAYS' end end as technical_regime,
