@@ -48,7 +48,7 @@ def by_size(snaps: DataFrame) -> DataFrame:
     c, before = F.col, lag("close")
     move = c("close") - before
     true = F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before))
-    out = p.withColumns({"_move": move, "_change": move / before, "_true": true, "_range": c("high") - c("low"), "_n": F.row_number().over(in_order())})
+    out = p.withColumns({"_move": move, "_change": move / F.nullif(before, F.lit(0.0)), "_true": true, "_range": c("high") - c("low"), "_n": F.row_number().over(in_order())})
     out = out.withColumns({"_ratio": c("volume") / F.nullif(F.avg("volume").over(last(20)), F.lit(0.0)), "_mean": full("close", F.avg("close"), 20), "_dev": full("close", F.stddev_samp("close"), 20), "_atr": full("_true", F.avg("_true"), 14), "_span": F.avg("_range").over(last(20))})
     up, price = c("_move") > 0, c("close")
     way = F.when(up, 1.0).otherwise(-1.0)
@@ -59,11 +59,11 @@ def by_size(snaps: DataFrame) -> DataFrame:
         return F.when(cond, F.struct(*[x.cast("double").alias(k) if k in ("level", "entry", "target", "stop", "volume_ratio", "momentum", "sure") else x.alias(k) for k, x in names.items()]))
 
     by = c("_span") * c("_ratio") * 0.5
-    times = F.abs("_move") / c("_atr")
+    times = F.abs("_move") / F.nullif(c("_atr"), F.lit(0.0))
     every = F.array(
         shape((c("_n") >= 20) & (c("_ratio") > 3) & (F.abs("_change") > 0.01), "volume", up, F.when(c("_ratio") > 6, "STRONG").otherwise("MODERATE"), price, price + way * by, price - way * c("_span"), 1, c("_ratio"), F.abs("_change"), F.least(F.lit(90.0), 60 + c("_ratio") * 5)),
-        shape(price > top, "bands", F.lit(True), F.lit("MODERATE"), top, price + (top - low) * 0.5, c("_mean"), 20, F.lit(1.0), (price - top) / top, F.lit(70.0)),
-        shape(price < low, "bands", F.lit(False), F.lit("MODERATE"), low, price - (top - low) * 0.5, c("_mean"), 20, F.lit(1.0), (low - price) / low, F.lit(70.0)),
+        shape(price > top, "bands", F.lit(True), F.lit("MODERATE"), top, price + (top - low) * 0.5, c("_mean"), 20, F.lit(1.0), (price - top) / F.nullif(top, F.lit(0.0)), F.lit(70.0)),
+        shape(price < low, "bands", F.lit(False), F.lit("MODERATE"), low, price - (top - low) * 0.5, c("_mean"), 20, F.lit(1.0), (low - price) / F.nullif(low, F.lit(0.0)), F.lit(70.0)),
         shape((c("_atr") > 0) & (times > 1.5), "range", up, F.when(times > 3, "STRONG").otherwise("MODERATE"), price, price + way * c("_atr") * 2, price - way * c("_atr"), 14, F.lit(1.0), times, F.least(F.lit(90.0), 60 + times * 10)),
     )
     return out.select("symbol", "ts", "regime", "volatility", F.explode(F.filter(every, lambda x: x.isNotNull())).alias("_p")).select("symbol", "ts", "regime", "volatility", "_p.*")

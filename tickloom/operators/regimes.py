@@ -125,7 +125,7 @@ def trend_strength(bars: DataFrame) -> DataFrame:
     rows = rows.withColumns({"_n": F.row_number().over(in_order()), "_m20": full("close", F.avg("close"), 20), "_m50": full("close", F.avg("close"), 50), "_back": lag("close", 19)})
     lined = ((c("close") > c("_m20")) & (c("_m20") > c("_m50"))) | ((c("close") < c("_m20")) & (c("_m20") < c("_m50")))
     at_most = lambda x: F.when(x > 100, 100.0).otherwise(x)
-    parts = (at_most(2 * c("adx")) + F.when(lined, 100.0).otherwise(50.0) + at_most(F.abs(c("close") / c("_back") - 1) * 500)) / 3
+    parts = (at_most(2 * c("adx")) + F.when(lined, 100.0).otherwise(50.0) + at_most(F.abs(c("close") / F.nullif(c("_back"), F.lit(0.0)) - 1) * 500)) / 3
     return rows.select("symbol", "ts", F.when(c("_n") >= 50, parts).alias("trend_strength"))
 
 

@@ -17,7 +17,8 @@ def vectors(rows: DataFrame) -> DataFrame:
     """(symbol, ts, features) of bars: change, distance from the mean of 20, range and volume against its mean, each in units that a few make much."""
     c = F.col
     mean, size = F.avg("close").over(last(20)), F.avg("volume").over(last(20))
-    named = [(c("close") / lag("close") - 1) * 2, c("close") / mean - 1, (c("high") - c("low")) / c("close") - 1, c("volume") / size - 1]
+    over = lambda a, b: a / F.nullif(b, F.lit(0.0))
+    named = [(over(c("close"), lag("close")) - 1) * 2, over(c("close"), mean) - 1, over(c("high") - c("low"), c("close")) - 1, over(c("volume"), size) - 1]
     return rows.select("symbol", "ts", F.array(*[F.coalesce(x, F.lit(0.0)) for x in named]).alias("features"))
 
 
