@@ -152,6 +152,11 @@ def levels(prices: np.ndarray, spread: float) -> list[tuple[float, int, float]]:
     return [(float(np.mean(g)), len(g), min(1.0, len(g) / 5)) for g in groups if len(g) >= 2]
 
 
+def _apart(a: float, b: float) -> float:
+    """How far two prices differ, as a share of the larger; two zeros are equal."""
+    return abs(a - b) / max(abs(a), abs(b)) if a != b else 0.0
+
+
 PATTERN = "symbol string, pattern string, start timestamp_ntz, end timestamp_ntz, level double, target double, confidence double"
 _COLUMNS = [x.split()[0] for x in PATTERN.split(", ")]
 
@@ -166,9 +171,9 @@ def _peak_patterns(symbol: str, bars: pd.DataFrame) -> list[tuple]:
     for a, b, c in zip(top, top[1:], top[2:], strict=False):
         left, head, right = high[a], high[b], high[c]
         inner = [v for v in bottom if a < v < c]
-        if head > max(left, right) and abs(left - right) / max(left, right) < 0.05 and len(inner) >= 2:
+        if head > max(left, right) and _apart(left, right) < 0.05 and len(inner) >= 2:
             neck = float(low[inner[:2]].mean())
-            symmetry, rise = 1 - abs(left - right) / max(left, right), (head - max(left, right)) / head
+            symmetry, rise = 1 - _apart(left, right), (head - max(left, right)) / head
             out.append((symbol, "HEAD_AND_SHOULDERS", ts[a], ts[c], neck, neck - (head - neck), float(np.clip(0.4 * symmetry + 0.4 * min(1, rise * 10) + 0.2 * min(1, (head - neck) / head * 10), 0.1, 0.95))))
     for mirror, name in ((1, "DOUBLE_TOP"), (-1, "DOUBLE_BOTTOM")):
         x, y = (high, low) if mirror > 0 else (-low, -high)
@@ -176,8 +181,8 @@ def _peak_patterns(symbol: str, bars: pd.DataFrame) -> list[tuple]:
         for a, b in zip(tops, tops[1:], strict=False):
             between = float(y[a : b + 1].min())
             first, second = float(x[a]), float(x[b])
-            if abs(first - second) / max(abs(first), abs(second)) < 0.03 and between < min(first, second):
-                alike, depth = 1 - abs(first - second) / max(abs(first), abs(second)), (min(first, second) - between) / max(abs(first), 1e-12)
+            if _apart(first, second) < 0.03 and between < min(first, second):
+                alike, depth = 1 - _apart(first, second), (min(first, second) - between) / max(abs(first), 1e-12)
                 out.append((symbol, name, ts[a], ts[b], mirror * between, mirror * (between - (min(first, second) - between)), float(np.clip(0.6 * alike + 0.4 * min(1, depth * 10), 0.1, 0.95))))
     recent = slice(max(0, len(bars) - 50), None)
     price = float(close[-1])
