@@ -26,3 +26,10 @@ def test_two_bottoms_at_zero_are_a_double_bottom(spark):
     lows[10] = lows[25] = 0.0
     found = patterns.peak_patterns(spark.createDataFrame(_hours(lows), BARS)).where("pattern = 'DOUBLE_BOTTOM'").collect()
     assert [(r["start"], r["end"], r["confidence"]) for r in found] == [(START + dt.timedelta(hours=10), START + dt.timedelta(hours=25), 0.95)]
+
+
+def test_double_extremes_at_zero(spark):
+    lows = [40.0] * 30
+    lows[18], lows[25] = 0.0, 0.0
+    found = patterns.double_extremes(spark.createDataFrame(_hours(lows), BARS)).collect()
+    assert [(r["pattern"], r["first"], r["second"]) for r in found] == [("DOUBLE_BOTTOM", 0.0, 0.0)]

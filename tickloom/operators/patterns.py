@@ -90,7 +90,8 @@ def double_extremes(bars: DataFrame, window: int = 20, within: float = 0.02) ->
         some = marked.where(flag).select("symbol", "ts", F.col(value).alias("second"), F.lag(value).over(order).alias("first"), F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts"))).alias("_k"))
         some = some.where("_k = 1 and first is not null").select("symbol", F.lit(name).alias("pattern"), "first", "second", "ts")
         found = some if found is None else found.unionByName(some)
-    both = found.join(ends, "symbol").where(F.abs(F.col("first") - F.col("second")) / F.greatest(F.abs("first"), F.abs("second")) < within)
+    apart = F.when(F.col("first") != F.col("second"), F.abs(F.col("first") - F.col("second")) / F.greatest(F.abs("first"), F.abs("second"))).otherwise(0.0)
+    both = found.join(ends, "symbol").where(apart < within)
     beyond = F.when(F.col("pattern") == "DOUBLE_BOTTOM", F.col("_last") > 1.01 * F.greatest("first", "second")).otherwise(F.col("_last") < 0.99 * F.least("first", "second"))
     return both.where(beyond).drop("_last")
 
