@@ -33,3 +33,20 @@ def test_double_extremes_at_zero(spark):
     lows[18], lows[25] = 0.0, 0.0
     found = patterns.double_extremes(spark.createDataFrame(_hours(lows), BARS)).collect()
     assert [(r["pattern"], r["first"], r["second"]) for r in found] == [("DOUBLE_BOTTOM", 0.0, 0.0)]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    import duckdb
+
+    values = [0.5095, 0.5035, -0.5105, 1.005, 2.675, -1.005, 1.0000005, 0.1234565, 3e10 + 0.1, 1e307, 0.0, None, math.inf]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: (r["a"], r["b"], r["v"]) for r in rounded(rows.select("i", text.nearest(F.col("v"), 3).alias("a"), text.nearest(F.col("v"), 2).alias("b"), "v")).collect()}
+    for i, v in enumerate(values):
+        a, b, c = duckdb.execute("select round(x, 3), round(x, 2), round(x, 6) + 0.0 from (select ?::double as x)", [v]).fetchone()
+        assert got[i] == (a, b, c)
+
+
+def test_percentage_is_that_of_the_sql(spark):
+    # 250950 lies 0.5095 over 200000 in units of 100000: its double is under the half
+    share = text.nearest((F.col("v") - 200000) / 1e5, 3) + 0.0001
+    assert spark.createDataFrame([(250950.0,)], "v double").select(scalars.format_percentage(share)).head()[0] == "+50.91%"
