@@ -50,3 +50,8 @@ def test_percentage_is_that_of_the_sql(spark):
     # 250950 lies 0.5095 over 200000 in units of 100000: its double is under the half
     share = text.nearest((F.col("v") - 200000) / 1e5, 3) + 0.0001
     assert spark.createDataFrame([(250950.0,)], "v double").select(scalars.format_percentage(share)).head()[0] == "+50.91%"
+
+
+def test_large_numbers_are_rounded_as_in_sql(spark):
+    rows = spark.createDataFrame([(19115.0,), (77195.0,), (128605.0,), (1500.0,)], "v double")
+    assert [r[0] for r in rows.select(text.format_large(F.col("v"))).collect()] == ["19.11K", "77.19K", "128.60K", "1.50K"]
