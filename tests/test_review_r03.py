@@ -55,3 +55,11 @@ def test_percentage_is_that_of_the_sql(spark):
 def test_large_numbers_are_rounded_as_in_sql(spark):
     rows = spark.createDataFrame([(19115.0,), (77195.0,), (128605.0,), (1500.0,)], "v double")
     assert [r[0] for r in rows.select(text.format_large(F.col("v"))).collect()] == ["19.11K", "77.19K", "128.60K", "1.50K"]
+
+
+def test_recency_counts_fractions_of_a_second(spark):
+    now = dt.datetime(2024, 1, 30, 23, 30)
+    ages = [dt.timedelta(hours=h) + dt.timedelta(microseconds=m) for h in (1, 6, 24, 72) for m in (-1, 0, 1)]
+    rows = spark.createDataFrame([(i, now - a) for i, a in enumerate(ages)], "i int, ts timestamp_ntz")
+    found = rows.select("i", text.recency(F.col("ts"), F.lit(now).cast("timestamp_ntz"))).orderBy("i").collect()
+    assert [r[1] for r in found] == [1.0, 0.8, 0.8, 0.8, 0.6, 0.6, 0.6, 0.4, 0.4, 0.4, 0.2, 0.2]
