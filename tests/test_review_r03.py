@@ -63,3 +63,8 @@ def test_recency_counts_fractions_of_a_second(spark):
     rows = spark.createDataFrame([(i, now - a) for i, a in enumerate(ages)], "i int, ts timestamp_ntz")
     found = rows.select("i", text.recency(F.col("ts"), F.lit(now).cast("timestamp_ntz"))).orderBy("i").collect()
     assert [r[1] for r in found] == [1.0, 0.8, 0.8, 0.8, 0.6, 0.6, 0.6, 0.4, 0.4, 0.4, 0.2, 0.2]
+
+
+def test_whole_minutes_held_are_counted_whole(spark):
+    rows = spark.range(1, 3000).select(F.lit("stop_loss").alias("reason"), F.lit("LONG").alias("side"), F.lit("stock").alias("asset_type"), F.lit(1.0).alias("quantity"), F.lit(1.0).alias("entry"), F.lit(1.0).alias("price"), F.lit(0.0).alias("pnl"), F.lit(START).cast("timestamp_ntz").alias("opened"), (F.lit(START).cast("timestamp_ntz") + F.make_dt_interval(mins=F.col("id").cast("int"))).alias("now"), "id")
+    assert trading.closed(rows).where("minutes <> id").count() == 0

@@ -19,8 +19,12 @@ def fee(asset_type: Column, value: Column) -> Column:
     return value * by_name(asset_type, FEES, 0.0)
 
 
+def _seconds(later: Column, sooner: Column) -> Column:
+    return F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(sooner.cast("timestamp"))
+
+
 def _days(later: Column, sooner: Column) -> Column:
-    return (F.unix_timestamp(later.cast("timestamp")) - F.unix_timestamp(sooner.cast("timestamp"))) / 86400
+    return _seconds(later, sooner) / 86400
 
 
 def marked(positions: DataFrame, snaps: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def closed(rows: DataFrame) -> DataFrame:
     """Marked positions that leave: fee, realised profit and percent after it, minutes held, what comes back in cash."""
     long, paid = F.col("side") == "LONG", fee(F.col("asset_type"), F.col("quantity") * F.col("entry"))
     out = rows.where("reason is not null").withColumns({"fee": paid, "urgency": by_name(F.col("reason"), URGENCY, None)})
-    out = out.withColumns({"realized": F.col("pnl") - F.col("fee"), "minutes": F.floor(_days(F.col("now"), F.col("opened")) * 1440)})
+    out = out.withColumns({"realized": F.col("pnl") - F.col("fee"), "minutes": F.floor(_seconds(F.col("now"), F.col("opened")) / 60)})
     return out.withColumns({"realized_pct": F.col("realized") / (F.col("entry") * F.col("quantity")) * 100, "back": F.when(long, F.col("price") * F.col("quantity")).otherwise(F.col("pnl")) - F.col("fee")})
 
 
