@@ -80,3 +80,8 @@ def dips(spark):
 def test_garman_klass_is_infinite_while_a_low_is_zero(dips):
     found = [r[0] for r in volatility.garman_klass(dips).orderBy("ts").select("garman_klass_vol").collect()]
     assert found[:19] == [None] * 19 and found[19:35] == [math.inf] * 16 and all(0 < x < 100 for x in found[35:])
+
+
+def test_parkinson_is_infinite_while_a_low_is_zero(dips):
+    found = [r[0] for r in volatility.parkinson(dips).orderBy("ts").select("parkinson_vol").collect()]
+    assert found[:19] == [None] * 19 and found[19:35] == [math.inf] * 16 and all(0 < x < 100 for x in found[35:])
