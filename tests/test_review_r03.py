@@ -85,3 +85,8 @@ def test_garman_klass_is_infinite_while_a_low_is_zero(dips):
 def test_parkinson_is_infinite_while_a_low_is_zero(dips):
     found = [r[0] for r in volatility.parkinson(dips).orderBy("ts").select("parkinson_vol").collect()]
     assert found[:19] == [None] * 19 and found[19:35] == [math.inf] * 16 and all(0 < x < 100 for x in found[35:])
+
+
+def test_yang_zhang_is_infinite_while_a_low_is_zero(dips):
+    found = [r[0] for r in volatility.yang_zhang(dips).orderBy("ts").select("yang_zhang_vol").collect()]
+    assert found[:20] == [None] * 20 and found[20:35] == [math.inf] * 15 and all(0 < x < 100 for x in found[35:])
