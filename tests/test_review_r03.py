@@ -90,3 +90,24 @@ def test_parkinson_is_infinite_while_a_low_is_zero(dips):
 def test_yang_zhang_is_infinite_while_a_low_is_zero(dips):
     found = [r[0] for r in volatility.yang_zhang(dips).orderBy("ts").select("yang_zhang_vol").collect()]
     assert found[:20] == [None] * 20 and found[20:35] == [math.inf] * 15 and all(0 < x < 100 for x in found[35:])
+
+
+def test_a_symbols_orders_are_never_held_together(spark):
+    """Batches of three orders: a task sees no more at once, and every order, also one with a large id, gets the bar that a plain loop gives it."""
+    bars = [("a" if i % 2 else None, START + dt.timedelta(hours=i // 2), 50.0, 50.0 + i * 7 % 11, 50.0 - i * 5 % 13, None if i == 20 else 50.0 + i * 3 % 7 - 3, 1.0) for i in range(80)]
+    orders = [(2**60 + i, None if i % 3 else "a", START + dt.timedelta(minutes=37 * i), "BUY" if i % 2 else "SELL", "LIMIT", 42.0 + i % 17, 2.0) for i in range(60)]
+    taken = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        o = spark.createDataFrame(orders, "order_id long, symbol string, ts timestamp_ntz, side string, order_type string, price double, amount double")
+        plan = trading.first_bars(o, spark.createDataFrame(bars, BARS))
+        got = {r["order_id"]: (r["filled_ts"], r["fill_price"]) for r in plan.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", taken)
+    assert "FlatMapGroupsInPandas" not in plan._jdf.queryExecution().toString()
+    want = {}
+    for key, symbol, ts, side, _, price, _ in orders:
+        hits = [b[1] for b in sorted(bars, key=lambda b: b[1]) if b[0] == symbol and b[1] >= ts and (b[4] <= price if side == "BUY" else b[3] >= price)]
+        if hits:
+            want[key] = (hits[0], price)
+    assert got == want

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,78 +166,109 @@ def first_bars(orders: DataFrame, bars: DataFrame) -> DataFrame:
     falls by the amount from the highest high since the order (a buy: rises from the lowest low). A stop-limit order (with limit_price) becomes a limit order
     at the close that passes its price: it is filled at its limit by that close, or by the first bar after it that reaches the limit.
 
-    A symbol's bars and orders meet in one task. There a tree of minima and maxima over the bars answers each order in logarithmic time; no order meets its symbol's bars one by one.
+    A symbol's orders are dealt to SLOTS groups, and each group gets the symbol's bars, which come first. A task holds the bars of one group and one batch of its orders, however many they
+    are. A tree of minima and maxima over the bars answers each order in logarithmic time; no order meets its symbol's bars one by one.
     """
-    limit_price = F.col("limit_price").cast("double") if "limit_price" in orders.columns else F.lit(None).cast("double")
-    both = orders.select("symbol", "ts", "order_id", "side", "order_type", "price", "amount", limit_price.alias("limit_price"), F.lit(None).cast("double").alias("high"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("close"))
-    both = both.unionByName(bars.select("symbol", "ts", F.lit(None).cast("long").alias("order_id"), F.lit(None).cast("string").alias("side"), F.lit(None).cast("string").alias("order_type"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("double").alias("amount"), F.lit(None).cast("double").alias("limit_price"), "high", "low", "close"))
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        b = group[group["order_id"].isna()].sort_values("ts")
-        o = group[group["order_id"].notna()]
-        ts, out = b["ts"].to_numpy(), []
-        low, high, close = (b[c].to_numpy(dtype=float) for c in ("low", "high", "close"))
-        tables = {}
-        for name, values, pick in (("low", low, np.minimum), ("high", high, np.maximum), ("close_low", close, np.minimum), ("close_high", close, np.maximum)):
+    columns = {"ts": "timestamp_ntz", "order_id": "long", "side": "string", "order_type": "string", "price": "double", "amount": "double", "limit_price": "double", "high": "double", "low": "double", "close": "double"}
+    cells = lambda rows: [(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+    asked = orders.select("symbol", F.pmod(F.xxhash64("order_id"), F.lit(SLOTS)).cast("int").alias("_slot"), F.lit(1).alias("_kind"), *cells(orders.drop("high", "low", "close")))
+    known = bars.where(F.col("ts").isNotNull()).select("symbol", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("_slot"), F.lit(0).alias("_kind"), *cells(bars.select("symbol", "ts", "high", "low", "close")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, book = None, [], None
+        for batch in batches:
+            at, out = 0, []
+            for group, same in groupby(zip(*(batch.column(c).to_pylist() for c in ("symbol", "_slot", "_kind")), strict=True)):
+                part = batch.slice(at, sum(1 for _ in same))
+                at += part.num_rows
+                if group[:2] != last:
+                    last, held, book = group[:2], [], None
+                if group[2] == 0:
+                    held.append([part.column(c).to_numpy(zero_copy_only=False) for c in ("ts", "low", "high", "close")])
+                elif held:
+                    book = book or _Book(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    out.append(book.fills(part))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out, strict=True)], ["order_id", "filled_ts", "fill_price"])
+
+    return asked.unionByName(known).repartition("symbol", "_slot").sortWithinPartitions("symbol", "_slot", "_kind", "ts").mapInArrow(run, "order_id long, filled_ts timestamp_ntz, fill_price double")
+
+
+#: Groups to which a symbol's orders are dealt, each with the symbol's bars.
+SLOTS = 16
+
+
+class _Book:
+    """A symbol's bars in time order, with trees of minima and maxima over them; bars without a price are passed over."""
+
+    def __init__(self, ts: np.ndarray, low: np.ndarray, high: np.ndarray, close: np.ndarray):
+        self.ts, self.low, self.high, self.close = ts, low.astype(float), high.astype(float), close.astype(float)
+        self.trees = {}
+        for name, values, pick in (("low", self.low, np.fmin), ("high", self.high, np.fmax), ("close_low", self.close, np.fmin), ("close_high", self.close, np.fmax)):
             levels = [values]
             while len(levels[-1]) > 1:
                 last = levels[-1]
                 half = last[: len(last) // 2 * 2].reshape(-1, 2)
                 up = pick(half[:, 0], half[:, 1])
                 levels.append(np.append(up, last[-1]) if len(last) % 2 else up)
-            tables[name] = levels
-
-        def first(name: str, start: int, fits) -> int:
-            """The first place from start on whose value fits, by climbing and descending a tree of minima or maxima."""
-            levels, depth, at = tables[name], 0, start
-            while depth < len(levels) and at < len(levels[depth]):
-                if fits(levels[depth][at]):
-                    while depth:
-                        depth, at = depth - 1, 2 * at
-                        if not fits(levels[depth][at]):
-                            at += 1
-                    return at
-                at += 1
-                while depth + 1 < len(levels) and at % 2 == 0 and at < len(levels[depth]):
-                    depth, at = depth + 1, at // 2
-            return -1
-
-        def trailing(start: int, buy: bool, amount: float) -> int:
-            best = np.inf if buy else -np.inf
-            for at in range(start, len(ts), 1024):
-                part = slice(at, at + 1024)
-                run = np.minimum(np.minimum.accumulate(low[part]), best) if buy else np.maximum(np.maximum.accumulate(high[part]), best)
-                hit = close[part] >= run + amount if buy else close[part] <= run - amount
-                if hit.any():
-                    return at + int(hit.argmax())
-                best = run[-1]
-            return -1
-
-        starts = np.searchsorted(ts, o["ts"].to_numpy(), side="left")
-        for key, side, kind, price, amount, limit, start in zip(o["order_id"], o["side"].str.lower(), o["order_type"].str.lower(), o["price"], o["amount"], o["limit_price"], starts, strict=True):
-            buy = side == "buy"
-            if start >= len(ts):
-                continue
-            if kind == "market":
-                k, paid = int(start), close[start]
-            elif kind == "limit":
-                k = first("low", int(start), lambda x: x <= price) if buy else first("high", int(start), lambda x: x >= price)
-                paid = price
-            elif kind == "trailing_stop":
-                k = trailing(int(start), buy, amount)
-                paid = close[k] if k >= 0 else None
-            elif kind == "stop_limit":
-                k, paid = first("close_high", int(start), lambda x: x >= price) if buy else first("close_low", int(start), lambda x: x <= price), limit
-                if k >= 0 and not (close[k] <= limit if buy else close[k] >= limit):
-                    k = first("low", k + 1, lambda x: x <= limit) if buy else first("high", k + 1, lambda x: x >= limit)
-            else:
-                k = first("close_high", int(start), lambda x: x >= price) if buy else first("close_low", int(start), lambda x: x <= price)
-                paid = close[k] if k >= 0 else None
-            if k >= 0:
-                out.append((int(key), ts[k], float(paid)))
-        return pd.DataFrame(out, columns=["order_id", "filled_ts", "fill_price"])
-
-    return both.groupBy("symbol").applyInPandas(run, "order_id long, filled_ts timestamp_ntz, fill_price double")
+            self.trees[name] = levels
+
+    def first(self, name: str, start: int, fits: Callable[[float], bool]) -> int:
+        """The first place from start on whose value fits, by climbing and descending a tree of minima or maxima."""
+        levels, depth, at = self.trees[name], 0, start
+        while depth < len(levels) and at < len(levels[depth]):
+            if fits(levels[depth][at]):
+                while depth:
+                    depth, at = depth - 1, 2 * at
+                    if not fits(levels[depth][at]):
+                        at += 1
+                return at
+            at += 1
+            while depth + 1 < len(levels) and at % 2 == 0 and at < len(levels[depth]):
+                depth, at = depth + 1, at // 2
+        return -1
+
+    def trailing(self, start: int, buy: bool, amount: float) -> int:
+        best = np.inf if buy else -np.inf
+        for at in range(start, len(self.ts), 1024):
+            part = slice(at, at + 1024)
+            run = np.fmin(np.fmin.accumulate(self.low[part]), best) if buy else np.fmax(np.fmax.accumulate(self.high[part]), best)
+            hit = self.close[part] >= run + amount if buy else self.close[part] <= run - amount
+            if hit.any():
+                return at + int(hit.argmax())
+            best = run[-1]
+        return -1
+
+    def fill(self, buy: bool, kind: str | None, price: float, amount: float, limit: float, start: int) -> tuple[int, float | None]:
+        """The place of the bar that fills an order placed before the bar at `start`, -1 if none does, and the price paid."""
+        if kind == "market":
+            return start, self.close[start]
+        if kind == "limit":
+            return self.first("low", start, lambda x: x <= price) if buy else self.first("high", start, lambda x: x >= price), price
+        if kind == "trailing_stop":
+            k = self.trailing(start, buy, amount)
+        else:
+            k = self.first("close_high", start, lambda x: x >= price) if buy else self.first("close_low", start, lambda x: x <= price)
+        if kind != "stop_limit" or k < 0:
+            return k, self.close[k]
+        if not (self.close[k] <= limit if buy else self.close[k] >= limit):
+            k = self.first("low", k + 1, lambda x: x <= limit) if buy else self.first("high", k + 1, lambda x: x >= limit)
+        return k, limit
+
+    def fills(self, orders: pa.RecordBatch) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Ids, times and prices of the orders that are filled."""
+        lower = lambda c: [x and x.lower() for x in orders.column(c).to_pylist()]
+        number = lambda c: orders.column(c).to_numpy(zero_copy_only=False).astype(float)
+        starts = np.searchsorted(self.ts, orders.column("ts").to_numpy(zero_copy_only=False), side="left")
+        rows, places, prices = [], [], []
+        for i, (side, kind, price, amount, limit, start) in enumerate(zip(lower("side"), lower("order_type"), number("price"), number("amount"), number("limit_price"), starts.tolist(), strict=True)):
+            if start < len(self.ts):
+                k, paid = self.fill(side == "buy", kind, price, amount, limit, start)
+                if k >= 0:
+                    rows.append(i)
+                    places.append(k)
+                    prices.append(paid)
+        return orders.column("order_id").take(pa.array(rows, pa.int64())), pa.array(self.ts[np.array(places, dtype=int)], pa.timestamp("us")), pa.array(prices, pa.float64())
 
 
 def running_book(fills: DataFrame) -> DataFrame:
