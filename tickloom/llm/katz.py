@@ -258,32 +258,53 @@ def _spell(ranks: np.ndarray, others: np.ndarray, uni: Unigrams) -> np.ndarray:
 
 
 def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
-    """Step 3: from pairs to messages `row` and `ask` (key: block), `context` and `ask_context` (key: part), `hot` and `tally`."""
+    """Step 3: from pairs to messages `row` and `ask` (key: block), `context` and `ask_context` (key: part), `hot` and `tally`.
 
-    def run(table: pa.Table) -> pa.Table:
+    A part's slices come one after the other, and what a slice gives leaves before the next one is counted; the rows' sums alone stay until the part ends.
+    """
+
+    def run(batches):
         give_memory_back()
-        out, slices, rows = [], {}, {}
-        for kind, block, data in zip(table.column("kind").to_pylist(), table.column("block").to_pylist(), table.column("data"), strict=True):
-            if kind == "info":
-                out.append(("info", block, block, data.as_py()))
-            else:
-                slices.setdefault(kind, []).append((block, data))
-        for held in slices.values():
-            columns, blocks = [], []
-            for block, data in held:
-                rw, wx, ru, ux, sizes, cells, times = pickle.loads(data.as_buffer())
-                columns.append((_spell(rw, wx, uni), _spell(ru, ux, uni), rw, ru, sizes, cells, times))
-                blocks.append(block)
-            counts = [len(c[0]) for c in columns]
-            columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
-            for kind, key, block, data in score_part(columns, np.repeat(np.arange(len(blocks), dtype=np.int64), counts), blocks):
-                if kind == "row":
-                    rows[block] = _added([rows[block], data]) if block in rows else data
+        part, slice_, held, rows = None, None, [], {}
+        for batch in batches:
+            for kind, key, block, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "key", "block")), batch.column("data"), strict=True):
+                if (key, kind) != (part, slice_):
+                    yield from count_slice(held, rows)
+                    held = []
+                    if key != part:
+                        yield from sent_rows(rows)
+                    part, slice_ = key, kind
+                if kind == "info":
+                    yield _send([("info", block, block, data.as_py())])
                 else:
-                    out.append((kind, key, block, data))
-            del columns
-        out += [("row", block, block, pickle.dumps(sums, protocol=5)) for block, sums in rows.items()]
-        return pa.Table.from_batches([_send(out)])
+                    held.append((block, data))
+        yield from count_slice(held, rows)
+        held = []
+        yield from sent_rows(rows)
+
+    def sent_rows(rows):
+        """What rows get, each block's sums dropped as they leave."""
+        while rows:
+            block, sums = rows.popitem()
+            yield _send([("row", block, block, pickle.dumps(sums, protocol=5))])
+
+    def count_slice(held, rows):
+        """A slice's messages; what rows get is added to `rows`."""
+        if not held:
+            return
+        columns, blocks, out = [], [], []
+        for block, data in held:
+            rw, wx, ru, ux, sizes, cells, times = pickle.loads(data.as_buffer())
+            columns.append((_spell(rw, wx, uni), _spell(ru, ux, uni), rw, ru, sizes, cells, times))
+            blocks.append(block)
+        counts = [len(c[0]) for c in columns]
+        columns = [np.concatenate(c) for c in zip(*columns, strict=True)]
+        for kind, key, block, data in score_part(columns, np.repeat(np.arange(len(blocks), dtype=np.int64), counts), blocks):
+            if kind == "row":
+                rows[block] = _added([rows[block], data]) if block in rows else data
+            else:
+                out.append((kind, key, block, data))
+        yield _send(out)
 
     def score_part(columns, pair_block, blocks):
         w, u, rank_w, rank_u, sizes, rows, times = columns
@@ -354,7 +375,7 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
             out.append(("ask_context", k, 0, pickle.dumps((au[mine], names[ablock[mine]], arow[mine], atf[mine]), protocol=5)))
         return out
 
-    return messages.groupBy("key").applyInArrow(run, _MESSAGE)
+    return messages.repartition("key").sortWithinPartitions("key", "kind", "block").mapInArrow(run, _MESSAGE)
 
 
 def weigh_contexts(messages: DataFrame, uni: Unigrams, d: np.ndarray) -> DataFrame:
