@@ -111,3 +111,12 @@ def test_a_symbols_orders_are_never_held_together(spark):
         if hits:
             want[key] = (hits[0], price)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["order_stop_limits", "order_open", "order_status"])
+def test_order_queries_hold_no_symbol_in_a_task(spark, name):
+    """Each of them fills its orders batch by batch; a grouped step would hold all orders of a symbol."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
