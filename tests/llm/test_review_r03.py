@@ -6,7 +6,8 @@ import pickle
 import random
 from collections import Counter
 
-from tickloom.llm import katz
+from tickloom.llm import katz, shingles
+from tickloom.llm.common import Scratch
 
 
 def test_a_table_part_is_counted_slice_by_slice(spark):
@@ -21,3 +22,70 @@ def test_a_table_part_is_counted_slice_by_slice(spark):
     blocks = {b for b, _ in parts}
     assert len(blocks) > 1 and all(parts[b, "info"] == 1 and 1 <= parts[b, "row"] <= 4 for b in blocks)
     assert sum(len(pickle.loads(x["data"])[0]) for x in sent if x["kind"] == "info") == 60
+
+
+def _by_all_pairs(sets, least=0.8):
+    group = list(range(len(sets)))
+
+    def find(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                group[find(a)] = find(b)
+    return [find(k) for k in range(len(sets))]
+
+
+def test_crowds_lose_no_link(spark, monkeypatch):
+    """Near copies of one text on both sides of 0.8, with and without that text, and texts that share a passage: groups are joined as all pairs would join them, and few pairs are looked at."""
+    r = random.Random(17)
+    word = lambda: f"w{r.randrange(10**6)}"
+    texts, of = [], []
+    for k in range(2):
+        base = [word() for _ in range(130)]
+        edits = [[i, word()] for i in range(0, 130, 6) for _ in range(2)]  # a place has two other words, so that copies share edits
+        for n in range(0 if k else 1, 160):
+            words = list(base)
+            for i, new in r.sample(edits, n % 9 if n else 0):
+                words[i] = new
+            texts.append(" ".join(words))
+            of.append(k)
+    passage = [word() for _ in range(60)]
+    texts += [" ".join(passage + [word() for _ in range(n)]) for n in range(0, 90, 2)]
+    of += [2] * (len(texts) - len(of))
+    texts, of = zip(*dict(zip(texts, of, strict=True)).items(), strict=True)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = _by_all_pairs(sets)
+    table = spark.createDataFrame(list(enumerate(texts)), "_text long, text string")
+    crowds = spark.createDataFrame([(i, i, g) for i, g in enumerate(of)], "_text long, root long, `group` long")
+    looked, before = [], shingles._by_texts
+    monkeypatch.setattr(shingles, "_by_texts", lambda pairs, *a: looked.append(pairs.count()) or before(pairs, *a))
+    found = [(x.a, x.b) for x in shingles._in_crowds(crowds, table, 5, 0.8, 42, Scratch(spark)).collect()]
+    group = list(range(len(texts)))
+    for a, b in found:
+        assert len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+        group = [group[b] if g == group[a] else g for g in group]
+    assert len({*zip(want, group, strict=True)}) == len(set(want)) == len(set(group))
+    assert 3 < len(set(want)) < len(texts) and 0 < sum(looked) < sum(of.count(k) ** 2 for k in range(3)) // 4
+
+
+def test_crowded_buckets_give_the_classes_of_all_pairs(spark, monkeypatch):
+    """From fingerprints on: buckets of more than four texts count as crowded, and the classes are those of all pairs."""
+    monkeypatch.setattr(shingles, "CROWD", 4)
+    went, before = [], shingles._in_crowds
+    monkeypatch.setattr(shingles, "_in_crowds", lambda *a: went.append(1) or before(*a))
+    r = random.Random(23)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for n in range(120):
+        words = list(base)
+        for i in r.sample(range(0, 150, 6), 2 + n % 6):
+            words[i] = f"new{r.randrange(10**9)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {x.doc_id: x.root for x in shingles.classes(docs).collect()}
+    want = _by_all_pairs([{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts])
+    assert went and len({(want[i], root[i]) for i in range(120)}) == len(set(want)) == len(set(root.values()))
