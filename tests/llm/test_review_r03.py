@@ -6,7 +6,9 @@ import pickle
 import random
 from collections import Counter
 
-from tickloom.llm import katz, shingles
+import pyarrow as pa
+
+from tickloom.llm import katz, repeats, shingles
 from tickloom.llm.common import Scratch
 
 
@@ -89,3 +91,15 @@ def test_crowded_buckets_give_the_classes_of_all_pairs(spark, monkeypatch):
     root = {x.doc_id: x.root for x in shingles.classes(docs).collect()}
     want = _by_all_pairs([{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts])
     assert went and len({(want[i], root[i]) for i in range(120)}) == len(set(want)) == len(set(root.values()))
+
+
+def test_runs_leave_a_slice_at_most_twice():
+    """What goes to a hash's task does not grow with the copies in a slice, and keeps the least and greatest id and digest."""
+    r = random.Random(6)
+    texts = ["the same passage in all of the texts, longer than fifty bytes by far; " + " ".join(f"w{r.randrange(9)}" for _ in range(k % 5)) for k in range(80)]
+    d = [r.randrange(1000) for _ in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["d", "text"])
+    rows = [x for b in repeats._hashes(50, True)([batch]) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = [(i, h, g) for i, found in zip(d, repeats.runs_of_many([t.encode() for t in texts], 50, digests=True), strict=True) for h, g in zip(found[2].tolist(), found[3].tolist(), strict=True)]
+    ends = lambda z: {h: (min(x[0] for x in z if x[1] == h), max(x[0] for x in z if x[1] == h), min(x[2] for x in z if x[1] == h), max(x[2] for x in z if x[1] == h)) for h in {x[1] for x in z}}
+    assert ends(rows) == ends(want) and len(rows) < len(want) and max(Counter(x[1:] for x in rows).values()) <= 2
