@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from tickloom.llm import tokens
+import pickle
+import random
+
+import numpy as np
+
+from tickloom.llm import katz, tokens
 
 
 def test_a_word_that_texts_share_is_looked_up_once(monkeypatch):
@@ -20,8 +25,36 @@ def test_a_word_that_texts_share_is_looked_up_once(monkeypatch):
 
 def test_words_are_parted_at_ascii_white_space_alone():
     texts = [" a \x0b b\x1c\x85c\n\n", "", None, "　x y z ", "\ud800 q", "end\r\n\f", "\x1d\x1e", "x" * 70_000 + " y"]
-    words, at, counts = tokens._different(texts)
-    rows = [(t or "").encode("utf-8", "replace").split() for t in texts]
+    data = [(t or "").encode("utf-8", "replace") for t in texts]
+    words, at, counts = tokens.different(data)
+    rows = [t.split() for t in data]
     assert counts.tolist() == [len(x) for x in rows] and len(set(words)) == len(words)
     assert [words[i] for i in at.tolist()] == [w for x in rows for w in x]
-    assert [len(x) for x in tokens._different([None, " "])] == [0, 0, 2]
+    assert [len(x) for x in tokens.different([b"", b" "])] == [0, 0, 2]
+
+
+def test_blocks_hash_a_word_once_and_send_small_numbers_small(spark, monkeypatch):
+    """op3: texts hashed together hash each different word once; a block's messages spell rows, sizes and counts in as few bytes as they need."""
+    hashed = []
+    real = katz.xxhash.xxh64_intdigest
+    monkeypatch.setattr(katz.xxhash, "xxh64_intdigest", lambda x, *a: hashed.append(x) or real(x, *a))
+    texts = ["Aa bb aa cc " * 50, None, "bb  AA\n", "é bb"]
+    found = [x.tolist() for x, _ in katz.token_hashes(texts)]
+    assert sorted(hashed) == sorted([b"aa", b"bb", b"cc", "é".encode()])
+    assert found == [[real(w) for w in (t or "").encode().lower().split()] for t in texts]
+    r = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(40)}" for _ in range(30))) for i in range(60)], "doc_id long, text string")
+    uni = katz.summarise(katz.count_words(docs, 7, 2, 300), 20, 8)
+    sent = [pickle.loads(x["data"]) for x in katz.make_blocks(docs, uni, 4, 7, 2, 300).collect() if x["kind"].startswith("pairs")]
+    assert sent and all(column.dtype.itemsize == 1 for message in sent for column in message[4:])
+
+
+def test_shortened_hashes_part_runs_and_mix_none():
+    """op3: rows of one pair stay in one part and in their order, whatever of its hash is left to sort by."""
+    r = np.random.default_rng(3)
+    mixed = r.integers(0, 1 << 63, 40, dtype=np.uint64)[r.integers(0, 40, 5000)]
+    for parts in (1, 7, 1 << 40):
+        part = mixed % np.uint64(parts)
+        order = katz._by_part(part, parts, mixed)
+        assert sorted(order.tolist()) == list(range(5000)) and (np.diff(part[order].astype(np.int64)) >= 0).all()
+        assert all((np.diff(order[mixed[order] == x]) > 0).all() for x in np.unique(mixed))

@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 import zlib
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,6 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import give_memory_back, let_go, materialise
+from .repeats import configured
+from .tokens import different
 
 DISCOUNTED = 5
 NOVEL = 0.1
@@ -93,10 +96,29 @@ class Unigrams(NamedTuple):
         return np.log10(np.where(counts > 0, p, self.unknown))
 
 
-def token_hashes(text: str | None) -> np.ndarray:
-    """XXH64 of the words, A-Z lower-cased, without the end."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+#: Bytes of texts whose words are hashed together, about.
+HASHED = 1 << 20
+
+
+def token_hashes(texts: Iterable[str | None], uni: Unigrams | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each text, XXH64 of the words, A-Z lower-cased, without the end, and their ranks. A word is hashed once for several texts."""
+
+    def together(held):
+        words, at, counts = different(held)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        ranks = uni.ranks(hashes)[at] if uni else None
+        hashes, edges = hashes[at], np.append(0, np.cumsum(counts)).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield hashes[a:b], ranks[a:b] if uni else None
+
+    held, size = [], 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "replace").lower())
+        size += len(held[-1])
+        if size >= HASHED:
+            yield from together(held)
+            held, size = [], 0
+    yield from together(held)
 
 
 def _held_out(doc_id: int | None, folds: int, fold: int) -> bool:
@@ -115,10 +137,10 @@ def count_words(docs: DataFrame, folds: int, fold: int, block_tokens: int) -> Da
         give_memory_back()
         held, size = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if not _held_out(doc_id, folds, fold):
-                    held += [token_hashes(text.as_py()), np.array([_END])]
-                    size += len(held[-2]) + 1
+            learned = (text.as_py() for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if not _held_out(doc_id, folds, fold))
+            for found, _ in token_hashes(learned):
+                held += [found, np.array([_END])]
+                size += len(found) + 1
                 if size >= block_tokens:
                     yield _counted(held)
                     held, size = [], 0
@@ -163,6 +185,18 @@ def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in the fewest bytes that hold the largest."""
+    return x.astype(np.min_scalar_type(int(x.max()) if len(x) else 0))
+
+
+def _by_part(part: np.ndarray, parts: int, mixed: np.ndarray) -> np.ndarray:
+    """The order of rows by part and hash, rows that share both as they come. The hash is shortened to what a 64-bit integer has left, so that rows of two hashes may alternate: that parts runs, and mixes none."""
+    bits, places = np.uint64(parts.bit_length()), np.uint64((1 << len(part).bit_length()) - 1)
+    key = (part << (np.uint64(64) - bits)) | (mixed >> bits)
+    return (np.sort((key & ~places) | np.arange(len(part), dtype=np.uint64)) & places).astype(np.int64)
+
+
 def _send(rows: list[tuple]) -> pa.RecordBatch:
     types = (pa.string(), pa.int64(), pa.int64(), pa.binary())
     columns = zip(*rows, strict=True) if rows else [[]] * 4
@@ -182,69 +216,69 @@ _MESSAGE = "kind string, key long, block long, data binary"
 def make_blocks(docs: DataFrame, uni: Unigrams, parts: int, folds: int, fold: int, block_tokens: int) -> DataFrame:
     """Messages to table parts: (kind, key: part, block, data)."""
 
-    def flush(block, ids, lengths, hashes):
+    def flush(block, ids, lengths, hashes, ranks):
         lengths = np.array(lengths)
         row = np.repeat(np.arange(len(ids), dtype=np.uint32), lengths + 1)
         ends = np.cumsum(lengths + 1) - 1
-        w, u = np.empty(len(row), np.uint64), np.empty(len(row), np.uint64)
+        w, u, rank_w, rank_u = (np.empty(len(row), t) for t in (np.uint64, np.uint64, np.uint16, np.uint16))
         inner = np.ones(len(row), dtype=bool)
         inner[ends] = False
-        w[inner], w[ends] = np.concatenate(hashes), _END
-        u[1:], u[ends - lengths] = w[:-1], _START
+        (end, start), firsts = uni.ranks(np.array([_END, _START])), ends - lengths
+        w[inner], w[ends], rank_w[inner], rank_w[ends] = np.concatenate(hashes), _END, np.concatenate(ranks), end
+        u[1:], u[firsts], rank_u[1:], rank_u[firsts] = w[:-1], _START, rank_w[:-1], start
         held = np.array([_held_out(i, folds, fold) for i in ids])
-        rank_w, rank_u = uni.ranks(w), uni.ranks(u)
         known, known_u = rank_w != _NONE, rank_u != _NONE
         counts = uni.counts[rank_w[known]] if len(uni.counts) else np.zeros(0)
         base = np.bincount(row[known], np.log10(counts + 1.0), minlength=len(ids)).astype(float)
         n_known = np.bincount(row[known], counts > 0, minlength=len(ids)).astype(np.int64)
         score = -np.bincount(row[known_u], np.log10(np.where(uni.counts[rank_u[known_u]] > 0, uni.counts[rank_u[known_u]] + NOVEL, 1.0)), minlength=len(ids)).astype(float)
         tagged = row | np.where(held[row], _HELD, np.uint32(0))
-        order = np.lexsort((tagged, u, w))
-        w, u, tagged, rank_w, rank_u = w[order], u[order], tagged[order], rank_w[order], rank_u[order]
+        mixed = _mix(w ^ _mix(u))
+        part = np.where(known, mixed, _mix(w)) % np.uint64(parts * SLICES)
+        order = _by_part(part, parts * SLICES, mixed)
+        w, u, tagged, rank_w, rank_u, part = w[order], u[order], tagged[order], rank_w[order], rank_u[order], part[order]
         cell = _runs(w, u, tagged)
         tf = np.diff(np.append(cell, len(w))).astype(np.uint32)
         pair_at = _runs(w[cell], u[cell])
-        w, u, rank_w, rank_u, tagged = w[cell][pair_at], u[cell][pair_at], rank_w[cell][pair_at], rank_u[cell][pair_at], tagged[cell]
+        tagged, pairs = tagged[cell], cell[pair_at]
+        w, u, rank_w, rank_u, part = w[pairs], u[pairs], rank_w[pairs], rank_u[pairs], part[pairs].astype(np.int64)
         n = np.diff(np.append(pair_at, len(cell)))
-        part = (np.where(rank_w != _NONE, _mix(w ^ _mix(u)), _mix(w)) % np.uint64(parts * SLICES)).astype(np.int64)
         hot_w, hot_u = (np.where(r != _NONE, uni.hot[np.minimum(r, len(uni.hot) - 1)], -1) for r in (rank_w, rank_u))
         hot = (hot_w >= 0) & (hot_u >= 0)
         at = _cells(pair_at[hot], n[hot])
         pair = np.repeat((hot_w[hot] * uni.hot_words + hot_u[hot]).astype(np.uint16), n[hot])
-        yield "info", block % parts, block, pickle.dumps((ids, held, lengths + 1, n_known, base, score, pair, tagged[at] & _ROW, tf[at]), protocol=5)
+        yield "info", block % parts, block, pickle.dumps((ids, held, lengths + 1, n_known, base, score, pair, _narrow(tagged[at] & _ROW), _narrow(tf[at])), protocol=5)
         trained = np.add.reduceat(np.where(tagged & _HELD, 0, tf), pair_at) if len(pair_at) else np.zeros(0)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
+        coded = ((tagged & _ROW) << np.uint32(1) | tagged >> np.uint32(31)) + np.uint32(1)  # of a row and whether it is held out; 0: all training rows
         edges = np.append(_runs(part), len(part))
         for start, end in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            k, mine = int(part[start]), order[start:end]
-            only = hot[mine]
-            cold, counted = mine[~only], mine[only]
+            k, only = int(part[start]), hot[start:end]
+            cold, counted = start + np.flatnonzero(~only), start + np.flatnonzero(only)
             at = _cells(pair_at[cold], n[cold])
             both = np.concatenate([cold, counted])
-            rows_ = np.concatenate([tagged[at], np.full(len(counted), _COUNTED, np.uint32)])
+            rows_ = np.concatenate([coded[at], np.zeros(len(counted), np.uint32)])
             times = np.concatenate([tf[at], trained[counted].astype(np.uint32)])
             sizes = np.concatenate([n[cold], np.ones(len(counted), np.int64)]).astype(np.uint32)
             rw, ru = rank_w[both], rank_u[both]
-            yield f"pairs {k % SLICES}", k // SLICES, block, pickle.dumps((rw, w[both][rw == _NONE], ru, u[both][ru == _NONE], sizes, rows_, times), protocol=5)
+            yield f"pairs {k % SLICES}", k // SLICES, block, pickle.dumps((rw, w[both][rw == _NONE], ru, u[both][ru == _NONE], *map(_narrow, (sizes, rows_, times))), protocol=5)
 
     def run(batches):
         give_memory_back()
         task, made = TaskContext.get().partitionId(), 0
-        ids, lengths, hashes, size = [], [], [], 0
+        ids, lengths, hashes, ranks, size = [], [], [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = token_hashes(text.as_py())
+            for doc_id, (found, rank) in zip(batch.column(0).to_pylist(), token_hashes((x.as_py() for x in batch.column(1)), uni), strict=True):
                 ids.append(doc_id)
                 lengths.append(len(found))
                 hashes.append(found)
+                ranks.append(rank)
                 size += len(found) + 1
                 if size >= block_tokens:
-                    for message in flush((task << 24) + made, ids, lengths, hashes):
+                    for message in flush((task << 24) + made, ids, lengths, hashes, ranks):
                         yield _send([message])
-                    ids, lengths, hashes, size, made = [], [], [], 0, made + 1
+                    ids, lengths, hashes, ranks, size, made = [], [], [], [], 0, made + 1
         if ids:
-            for message in flush((task << 24) + made, ids, lengths, hashes):
+            for message in flush((task << 24) + made, ids, lengths, hashes, ranks):
                 yield _send([message])
 
     return docs.mapInArrow(run, _MESSAGE)
@@ -286,7 +320,7 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         """What rows get, each block's sums dropped as they leave."""
         while rows:
             block, sums = rows.popitem()
-            yield _send([("row", block, block, pickle.dumps(sums, protocol=5))])
+            yield _send([("row", block, block, pickle.dumps((*sums[:3], *map(_narrow, sums[3:])), protocol=5))])
 
     def count_slice(held, rows):
         """A slice's messages; what rows get is added to `rows`."""
@@ -295,6 +329,8 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         columns, blocks, out = [], [], []
         for block, data in held:
             rw, wx, ru, ux, sizes, cells, times = pickle.loads(data.as_buffer())
+            cells = cells.astype(np.uint32) - np.uint32(1)  # 0 wraps to all ones
+            cells = np.where(cells == ~np.uint32(0), _COUNTED, cells >> np.uint32(1) | cells << np.uint32(31))
             columns.append((_spell(rw, wx, uni), _spell(ru, ux, uni), rw, ru, sizes, cells, times))
             blocks.append(block)
         counts = [len(c[0]) for c in columns]
@@ -311,7 +347,8 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         starts = np.cumsum(sizes, dtype=np.int64) - sizes
         held = (rows & _HELD) != 0
         trained = np.add.reduceat(np.where(held, 0, times).astype(np.int64), starts)
-        order = np.lexsort((u, w))
+        order = np.argsort(u)
+        order = order[np.argsort(w[order], kind="stable")]
         first = _runs(w[order], u[order])
         group = np.empty(len(w), np.int64)
         group[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
@@ -336,11 +373,12 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         at = _runs(su)
         if len(at):
             classes = [np.add.reduceat((sr == r).astype(np.int64), at).astype(np.uint32) for r in range(1, DISCOUNTED + 1)]
-            heads, share = su[at], np.add.reduceat(sp, at)
+            heads, ranks, share = su[at], gru[seen_group][by_u][at], np.add.reduceat(sp, at)
             target = (_mix(heads) % np.uint64(parts)).astype(np.int64)
             for k in np.unique(target).tolist():
-                mine = target == k
-                out.append(("context", k, 0, pickle.dumps((heads[mine], [c[mine] for c in classes], share[mine]), protocol=5)))
+                mine, others = (np.flatnonzero((target == k) & x) for x in (ranks != _NONE, ranks == _NONE))
+                both = np.concatenate([mine, others])  # ranks ascend as hashes do: their steps are small
+                out.append(("context", k, 0, pickle.dumps((_narrow(np.diff(ranks[mine], prepend=np.uint16(0))), heads[others], [_narrow(c[both]) for c in classes], share[both]), protocol=5)))
         # what rows get
         cell_pair = np.repeat(np.arange(len(w)), sizes)
         real = rows != _COUNTED
@@ -366,13 +404,13 @@ def count_pairs(messages: DataFrame, uni: Unigrams, parts: int) -> DataFrame:
         for i, name in enumerate(blocks):
             mine = (ablock == i) & (aru != _NONE)
             if mine.any():
-                out.append(("ask", name, name, pickle.dumps((aru[mine], arow[mine], atf[mine]), protocol=5)))
+                out.append(("ask", name, name, pickle.dumps((aru[mine], _narrow(arow[mine]), _narrow(atf[mine])), protocol=5)))
         rare = aru == _NONE
         target = (_mix(au) % np.uint64(parts)).astype(np.int64)
         names = np.array(blocks, dtype=np.int64)
         for k in np.unique(target[rare]).tolist():
             mine = rare & (target == k)
-            out.append(("ask_context", k, 0, pickle.dumps((au[mine], names[ablock[mine]], arow[mine], atf[mine]), protocol=5)))
+            out.append(("ask_context", k, 0, pickle.dumps((au[mine], names[ablock[mine]], _narrow(arow[mine]), _narrow(atf[mine])), protocol=5)))
         return out
 
     return messages.repartition("key").sortWithinPartitions("key", "kind", "block").mapInArrow(run, _MESSAGE)
@@ -385,7 +423,12 @@ def weigh_contexts(messages: DataFrame, uni: Unigrams, d: np.ndarray) -> DataFra
         give_memory_back()
         contexts, asks = [], []
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data"), strict=True):
-            (contexts if kind == "context" else asks).append(pickle.loads(data.as_py()))
+            message = pickle.loads(data.as_py())
+            if kind == "context":
+                steps, others, classes, share = message
+                contexts.append((np.concatenate([uni.keys[np.cumsum(steps, dtype=np.int64)], others]), classes, share))
+            else:
+                asks.append(message)
         out, heads, weight = [], np.zeros(0, np.uint64), np.zeros(0)
         if contexts:
             u = np.concatenate([c[0] for c in contexts])
@@ -462,9 +505,10 @@ def score(docs: DataFrame, folds: int = 7, fold: int = 2, id_col: str = "doc_id"
     empty table gives an empty one; other columns are not looked at. If no row is learned from, all scores are those of unknown words, 0.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    uni = summarise(materialise(count_words(rows, folds, fold, block_tokens), "words"), dictionary, hot_words)
-    parts = max(4, -(-uni.tokens // part_tokens))
-    found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold, block_tokens), uni, parts), "pairs", "zstd")
+    with configured(docs.sparkSession):  # what is shuffled goes once what comes of it is written
+        uni = summarise(materialise(count_words(rows, folds, fold, block_tokens), "words"), dictionary, hot_words)
+        parts = max(4, -(-uni.tokens // part_tokens))
+        found = materialise(count_pairs(make_blocks(rows, uni, parts, folds, fold, block_tokens), uni, parts), "pairs", "zstd")
     let_go(docs.sparkSession)
     of_kind = lambda *kinds: found.where(F.col("kind").isin(*kinds))
     tallies = [pickle.loads(r[0]) for r in of_kind("tally").select("data").collect()]  # a few numbers a part
