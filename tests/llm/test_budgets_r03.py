@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import pickle
 import random
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 
-from tickloom.llm import katz, tokens
+from tickloom.llm import katz, repeats, tokens
 
 
 def test_a_word_that_texts_share_is_looked_up_once(monkeypatch):
@@ -58,3 +60,19 @@ def test_shortened_hashes_part_runs_and_mix_none():
         order = katz._by_part(part, parts, mixed)
         assert sorted(order.tolist()) == list(range(5000)) and (np.diff(part[order].astype(np.int64)) >= 0).all()
         assert all((np.diff(order[mixed[order] == x]) > 0).all() for x in np.unique(mixed))
+
+
+def test_only_shared_hashes_and_few_others_pass_the_sieve(spark):
+    """op12: hashes that no other document has are sieved out before they are dealt; all that are shared pass, even where the sieve is small."""
+    r = np.random.default_rng(5)
+    known, others = r.integers(-(1 << 63), 1 << 63, 3000), r.integers(-(1 << 63), 1 << 63, 100_000)
+    table = spark.createDataFrame([(int(h),) for h in known], "h long")
+    sieve = repeats._sieve(table)
+    assert repeats._passes(known, sieve).all() and repeats._passes(others, sieve).mean() < 0.1
+    small = repeats._sieve(table, 1 << 10)
+    assert len(small) == 128 and repeats._passes(known, small).all()
+    assert not repeats._passes(others, repeats._sieve(table.limit(0))).any()
+    docs = pa.record_batch({"d": [1, 2], "k1": [3, 4], "text": [bytes(range(97, 123)) * 9, b"other " * 60]})
+    every = [b.num_rows for b in repeats._hashes(50, False)([docs])]
+    none = [b.num_rows for b in repeats._hashes(50, False, SimpleNamespace(value=repeats._sieve(table.limit(0))))([docs])]
+    assert every[0] > 0 and none == [0]
