@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 import random
+from collections import defaultdict
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
 from tickloom.llm import katz, repeats, tokens
+from tickloom.llm.common import shared_dir
 
 
 def test_a_word_that_texts_share_is_looked_up_once(monkeypatch):
@@ -76,3 +79,34 @@ def test_only_shared_hashes_and_few_others_pass_the_sieve(spark):
     every = [b.num_rows for b in repeats._hashes(50, False)([docs])]
     none = [b.num_rows for b in repeats._hashes(50, False, SimpleNamespace(value=repeats._sieve(table.limit(0))))([docs])]
     assert every[0] > 0 and none == [0]
+
+
+def test_shared_hashes_are_found_from_some_four_bytes_a_run(spark):
+    """op12: what is exchanged about all runs is four bytes each; hashes of two ids come out, in one slice or in several; those of one id's rows do not, if they are in one slice."""
+    r = random.Random(8)
+    prose = lambda n: " ".join(r.choice(["river", "stone", "Äpfel", "漢字", "walk"]) + str(r.randint(0, 9999)) for _ in range(n))
+    rows = [(i, prose(900).encode()) for i in range(40)] + [(100, b""), (101, b"short")]
+    rows += [(200 + i, prose(50).encode() + rows[3][1][:2000]) for i in range(3)] + [(300, rows[9][1]), (400, b"one id's rows " * 40), (400, b"one id's rows " * 40)]
+    who = defaultdict(set)
+    for d, text in rows:
+        for h in repeats.runs_of(text, 50)[2].tolist():
+            who[h & ((1 << 42) - 1)].add(d)
+    docs, shared = spark.createDataFrame(rows, "d long, text binary"), {h for h, ids in who.items() if len(ids) > 1}
+    assert {x.h for x in repeats._seen_twice(docs.coalesce(1), 50).collect()} == shared
+    dealt = {x.h for x in repeats._seen_twice(docs.repartition(3), 50).collect()}
+    assert shared <= dealt and all(who[h] == {400} for h in dealt - shared)  # rows of one id in several slices: the join that follows is exact
+    batch = pa.record_batch({"d": [d for d, _ in rows], "text": [t for _, t in rows]})
+    sent = list(repeats._messages(50)([batch]))
+    runs = sum(len(repeats.runs_of(t, 50)[0]) for _, t in rows)
+    assert sum(len(x) for b in sent for x in b.column("keys").to_pylist()) <= 4.5 * runs
+    assert [b.num_rows for b in repeats._messages(50)([batch.slice(40, 2)])] == [0]
+
+
+def test_tables_on_the_way_go_before_the_next_step(spark):
+    """op12: of the tables that it writes only the spans, from which the result is read, are left."""
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    text = "a passage of over fifty bytes that stands in several documents as it is, word for word"
+    rows = repeats.remove_repeats(spark.createDataFrame([(i, f"{i} {text} {i}") for i in range(6)], "doc_id long, text string"))
+    assert {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"spans"}
+    assert sorted(len(x.kept) for x in rows.collect()) == [2] * 5 + [len(text) + 4]

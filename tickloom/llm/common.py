@@ -83,10 +83,12 @@ class Scratch:
         df.write.parquet(self.paths[-1])
         return self.spark.read.schema(df.schema).parquet(self.paths[-1])
 
-    def drop(self) -> None:
-        for path in self.paths:
+    def drop(self, *names: str) -> None:
+        """Delete the tables of these names; all, if none is given."""
+        gone = [p for p in self.paths if not names or p.rsplit("/", 1)[1].rsplit("-", 1)[0] in names]
+        for path in gone:
             drop_path(self.spark, path)
-        self.paths = []
+        self.paths = [p for p in self.paths if p not in gone]
 
 
 def word_count(text: Column) -> Column:
