@@ -37,3 +37,8 @@ def _differences(spark, folder: str, name: str, table: str) -> tuple[int, set]:
 
 def test_annotated_news_count_from_the_second_of_publication(spark, bounds):
     assert _differences(spark, bounds, "news_annotated", "events") == (60 * 32 + 2, set())
+
+
+def test_news_of_earnings_count_from_the_second_of_publication(spark, bounds):
+    n, differing = _differences(spark, bounds, "news_earnings", "events")
+    assert n > 100 and not differing
