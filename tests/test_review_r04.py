@@ -42,3 +42,7 @@ def test_annotated_news_count_from_the_second_of_publication(spark, bounds):
 def test_news_of_earnings_count_from_the_second_of_publication(spark, bounds):
     n, differing = _differences(spark, bounds, "news_earnings", "events")
     assert n > 100 and not differing
+
+
+def test_insights_count_from_the_second_of_publication(spark, bounds):
+    assert _differences(spark, bounds, "news_insights", "events") == (60 * 32 + 2, set())
