@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 import duckdb
 import pytest
@@ -29,8 +30,9 @@ def _differences(spark, folder: str, name: str, table: str) -> tuple[int, set]:
     con = duckdb.connect()
     con.execute("set TimeZone = 'UTC'")
     con.execute(f"create view {table} as select * from '{folder}/{table}.parquet/*.parquet'")
-    got = [tuple(r) for r in frame.collect()]
-    want = con.execute(f"select {', '.join(frame.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    named = lambda row: tuple("nan" if isinstance(x, float) and math.isnan(x) else x for x in row)
+    got = [named(r) for r in frame.collect()]
+    want = [named(r) for r in con.execute(f"select {', '.join(frame.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()]
     assert len(got) == len(want)
     return len(got), set(got) ^ set(want)
 
@@ -46,3 +48,22 @@ def test_news_of_earnings_count_from_the_second_of_publication(spark, bounds):
 
 def test_insights_count_from_the_second_of_publication(spark, bounds):
     assert _differences(spark, bounds, "news_insights", "events") == (60 * 32 + 2, set())
+
+
+def test_forms_of_odd_prices_and_keys_are_those_of_the_sql(spark, tmp_path):
+    """Prices that are null, not finite, zero, below zero or beyond what a long holds; customers that doubles do not tell apart."""
+    prices = [None, math.nan, math.inf, -math.inf, 0.0, -0.0, -0.001, -5.0, -999.995, -250000.0, 1000.0, 200000.0, 199950.0, 250950.0, 300000.0, 123456.785, 0.125, 1e-320]
+    customers = [None, 0, 1, 2, 3, 14999, 2**53 + 1, 2**60 + 3]
+    rows = [(i, c, p, dt.datetime(1998, 2, 6)) for i, (p, c) in enumerate((p, c) for p in prices for c in customers for _ in range(13))]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    assert _differences(spark, str(tmp_path), "scalar_forms", "orders") == (len(rows), set())
+
+
+@pytest.mark.parametrize("price", [None, math.inf, math.nan, 5e18, 1e300])
+def test_steps_and_large_forms_of_prices(spark, tmp_path, price):
+    """Steps beyond a long stay as they are, and no null is written as a text."""
+    spark.createDataFrame([(1, 7, price, dt.datetime(1998, 2, 6))], "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    stepped = __spark_entry__.queries()["scalar_forms"](spark, str(tmp_path)).head()["stepped"]
+    assert stepped == price or math.isnan(stepped) and math.isnan(price)
+    if price is None or not math.isfinite(price):
+        assert _differences(spark, str(tmp_path), "text_formats", "orders") == (1, set())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tickloom.functions.text import nearest
+from tickloom.functions.text import fixed, nearest
 from tickloom.operators.strategies import at_least, at_most, points
 
 # Production regions of commodities, marks of automated clients.
@@ -28,12 +28,12 @@ def listed(key: Column, values: dict[str, tuple[str, ...]], other: tuple[str, ..
 def format_percentage(value: Column, digits: int = 2, sign: bool = True) -> Column:
     """A share up to 1 in size counts as such, more as percent; rises with a plus."""
     percent = F.when(F.abs(value) > 1, value).otherwise(value * 100)
-    text = F.format_string(f"%.{digits}f%%", nearest(percent, digits))
+    text = F.concat(fixed(nearest(percent, digits), digits), F.lit("%"))
     return F.when(F.lit(sign) & (percent > 0), F.concat(F.lit("+"), text)).otherwise(text)
 
 
 def format_number(value: Column, digits: int = 2, thousands: bool = True) -> Column:
-    return F.format_number(value, digits) if thousands else F.format_string(f"%.{digits}f", value)
+    return fixed(value, digits, thousands)
 
 
 def format_timestamp(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -34,9 +34,9 @@ def register(reg: Registry) -> None:
         v = F.col("o_totalprice")
         share = (v - 200000) / 1e5
         return orders(spark, d).select(
-            "o_orderkey", scalars.format_percentage(text.nearest(share, 3) + 0.0001).alias("percent"), scalars.format_number(v).alias("number"), scalars.format_timestamp(F.col("o_orderdate"), "yyyy/MM/dd").alias("day"), scalars.in_range(v, 1000, 200000).alias("inside"),
-            scalars.exchange_symbol(F.col("word")).alias("pair"), (F.floor(v / 0.25) * 0.25).alias("stepped"), text.safe_divide(v, (F.col("o_orderkey") % 3).cast("double")).alias("ratio"), text.percent_change((F.col("o_orderkey") % 4).cast("double"), F.col("o_custkey").cast("double")).alias("change"),
-            text.format_currency(v).alias("currency"), text.valid_symbol(F.col("word")).alias("symbol_ok"), text.valid_email(F.concat(F.col("word"), F.lit("@site.org"))).alias("email_ok"),
+            "o_orderkey", scalars.format_percentage(text.nearest(share, 3) + 0.0001).alias("percent"), scalars.format_number(v).alias("number"), scalars.format_timestamp(F.col("o_orderdate"), "yyyy/MM/dd").alias("day"), F.when(v.isNotNull(), scalars.in_range(v, 1000, 200000)).alias("inside"),
+            scalars.exchange_symbol(F.col("word")).alias("pair"), F.when(F.abs(v) < 2.0**53, F.floor(v / 0.25) * 0.25).otherwise(v).alias("stepped"), text.safe_divide(v, (F.col("o_orderkey") % 3).cast("double")).alias("ratio"), text.percent_change(F.col("o_orderkey") % 4, F.col("o_custkey")).alias("change"),
+            text.format_currency(v, minus_first=False).alias("currency"), text.valid_symbol(F.col("word")).alias("symbol_ok"), text.valid_email(F.concat(F.col("word"), F.lit("@site.org"))).alias("email_ok"),
         )
 
     share = "(round((o_totalprice - 200000) / 1e5, 3) + 0.0001)"
